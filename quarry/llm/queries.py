@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
+from .ngram_join import op1_ngram_join
+from .packing import op3_packing
+from .pii import op6_pii
+from .substrings import op4_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
+        "op3_packing": op3_packing,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op6_pii": op6_pii,
     }
 
 
