@@ -43,7 +43,7 @@ def rank_of(scored: DataFrame, targets: DataFrame, size: DataFrame) -> DataFrame
     """(qid, target, score, rank) of the target among all documents (R05): those that share no term score 0.
 
     rank = 1 + better ones + equal ones of smaller key, so only scored pairs meet.
-    size: the documents(doc); zero rows are counted, not made.
+    size: the label space (doc), a code-sized list; zero rows are counted, not made.
     """
     own = targets.join(scored.select("qid", F.col("doc").alias("target"), F.round("score", 9).alias("own")), ["qid", "target"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
     pairs = own.join(scored.select("qid", "doc", F.round("score", 9).alias("score")), "qid", "left")
