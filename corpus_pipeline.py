@@ -1,12 +1,64 @@
-"""Corpus pipeline: filter, deduplicate, decontaminate, mask and pack documents."""
+"""Corpus pipeline: drop what the quality classifier rejects, keep one document of each group of
+near duplicates, drop contaminated documents, mask personal data and pack the rest."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from quarry.llm import decontaminate, ngram_join, packing, pii, quality
+from quarry.llm.tables import kept
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labels that are not held out, predicts to be of quality."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by Jaccard 0.8 of five-word shingles: that of the smallest id.
+
+    Documents without shingles are nobody's duplicates; repeated rows of an id count as one.
+    """
+    groups = ngram_join.near_duplicates(docs, n=5, percent=80)
+    stays = groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in benchmark windows."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("NOT contaminated").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked and n_chars counted again."""
+    masked = pii.mask(pii.find(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier, components and packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = out if name == STAGES[-1][0] else kept(out)
+    return docs

@@ -7,19 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontaminate
+from .fingerprints import op10_fingerprints
+from .licenses import op2_licenses
+from .lm_score import op7_lm_score
 from .ngram_join import op1_ngram_join
 from .packing import op3_packing
 from .pii import op6_pii
+from .quality import op8_quality
 from .substrings import op4_substring_dedup
+from .urls import op9_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_licenses": op2_licenses,
         "op3_packing": op3_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_pii": op6_pii,
+        "op7_lm_score": op7_lm_score,
+        "op8_quality": op8_quality,
+        "op9_urls": op9_urls,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
