@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, release
 from .words import SPACED, Words, chunks
 
 #: Words of a minimiser.
@@ -251,6 +251,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, text: str = "text", id:
         .groupBy("_d", "_k")
         .agg(F.collect_list("run").alias("runs"))
     )
+    runs = kept(runs)
+    release(seen)
     with_runs = base.join(runs, ["_d", "_k"], "left").select("*", F.col(text).alias("_text")) if text != "_text" else base.join(runs, ["_d", "_k"], "left")
     packed = with_runs.mapInArrow(_packed(window), "mer long, salts int, _d long, _k long, first int, packed binary")
     bucketed = packed.withColumn("salt", F.pmod(F.xxhash64("_d", "_k", "first"), F.col("salts")).cast("int"))
@@ -260,6 +262,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, text: str = "text", id:
         .mapInArrow(_counted(window), "_d long, _k long, first int, n int, h1 long, h2 long, seen int")
     )
     counted = kept(counted)
+    release(runs)
     settled = counted.where("seen = 0").select("_d", "_k", "first", "n")
     across = (
         counted.where("seen > 0")

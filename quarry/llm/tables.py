@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
+    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing.
+
+    The shuffle files behind df are not needed from then on; Spark removes them once
+    the driver's collector has seen that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that kept() wrote, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,16 +64,14 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        step = labels.join(near, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("component")
-        )
+        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         parent = labels.select(F.col("node").alias("component"), F.col("component").alias("parent"))
         new = kept(
-            step.join(parent, "component", "left").select(
-                "node", F.least("component", F.coalesce("parent", "component")).alias("component"), "was"
-            )
+            step.join(parent, "component", "left").select("node", F.least("component", F.coalesce("parent", "component")).alias("component"), "was")
         )
         moved = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
+        release(labels)
+        labels = new
         if not moved:
-            return labels
+            release(both)
+            return labels.select("node", "component")
