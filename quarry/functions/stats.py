@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z = 1.96
 
@@ -37,7 +38,7 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(b + c == 0, 0.0).otherwise(F.pow(F.abs(b - c) - 1, 2) / (b + c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_p(x: pd.Series) -> pd.Series:
     """p of a chi-square statistic of one degree of freedom: one for 0."""
     return x.map(lambda v: 1.0 if not v else math.erfc(math.sqrt(v / 2)))
