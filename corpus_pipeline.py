@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by Jaccard 0.8 of five-word shingles: that of the smallest id.
 
-    Documents without shingles are nobody's duplicates; repeated rows of an id count as one.
+    Documents without shingles are nobody's duplicates; rows of one id stay or go together.
     """
     groups = ngram_join.near_duplicates(docs, n=5, percent=80)
     stays = groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()

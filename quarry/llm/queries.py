@@ -14,6 +14,7 @@ from .ngram_join import op1_ngram_join
 from .packing import op3_packing
 from .pii import op6_pii
 from .quality import op8_quality
+from .sql import DECONTAMINATE, NGRAM_JOIN, SUBSTRING_DEDUP
 from .substrings import op4_substring_dedup
 from .urls import op9_urls
 
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": NGRAM_JOIN, "op4_substring_dedup": SUBSTRING_DEDUP, "op5_decontaminate": DECONTAMINATE}
