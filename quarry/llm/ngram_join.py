@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import components, kept
+from .tables import components, kept, release
 from .words import SPACED_FOLDED, U64, Words, chunks, mix
 
 #: Counters of the sketch that orders shingles by rarity (one byte each once broadcast).
@@ -51,12 +51,20 @@ def _digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U64))
 
 
-def _parity(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """_BITS bits a set, each the parity of the shingles that fall on it: sets differ in at least as many shingles as bits."""
-    n = len(bounds) - 1
-    spot = np.repeat(np.arange(n), np.diff(bounds)) * _BITS + (h >> U64(20)).astype(np.int64) % _BITS
-    odd = (np.bincount(spot, minlength=n * _BITS) & 1).astype(np.uint8).reshape(n, _BITS)
-    return np.packbits(odd, axis=1)
+def _parity(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A bitmap a set, as longs: each bit the parity of the shingles that fall on it.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits.  A set
+    has half as many bits as shingles or more, by powers of two from _BITS on, as
+    bitmaps much smaller than the allowed difference could tell nothing.
+    """
+    size = np.diff(bounds)
+    bits = _BITS << np.ceil(np.log2(np.maximum(size / (2 * _BITS), 1))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    doc = np.repeat(np.arange(len(size)), size)
+    spot = first[doc] + ((h >> U64(20)).astype(np.int64) & (bits[doc] - 1))
+    odd = (np.bincount(spot, minlength=first[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -73,12 +81,12 @@ def _describe(n: int):
                 h, bounds = _sets(data, offsets, n)
                 sketch += np.bincount((h & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i), _long(_digests(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.array([x.tobytes() for x in _parity(h, bounds)], pa.binary())],
+                    [pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i), _long(_digests(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), _parity(h, bounds)],
                     names=["kind", "id", "node", "n", "bits"],
                 )
         at = np.flatnonzero(sketch)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(at), np.int8)), pa.array(at.astype(np.int64)), pa.array(sketch[at]), pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.binary())], names=["kind", "id", "node", "n", "bits"]
+            [pa.array(np.ones(len(at), np.int8)), pa.array(at.astype(np.int64)), pa.array(sketch[at]), pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.list_(pa.int64()))], names=["kind", "id", "node", "n", "bits"]
         )
 
     return run
@@ -98,13 +106,20 @@ def _order(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (classes[(h & U64(SKETCH - 1)).astype(np.int64)].astype(U64) << U64(58)) | (h >> U64(6))
 
 
+def shared(percent: int) -> int:
+    """Prefix tokens that two different linked sets share at least: three, or as many as the smallest such sets overlap in."""
+    return 3 if percent >= 100 else max(1, min(3, -(-percent // (100 - percent))))
+
+
 def _prefixes(n: int, percent: int, held):
     """(token, size, node, leads) of each set's first shingles in the global order.
 
-    Two linked sets share a token among the first size - need(size, least partner) + 1
-    of the longer and, as the shorter leads, the first size - need(size, size) + 1 of it.
-    A task gives a set once, however many of its documents have it.
+    Two different linked sets share ``k = shared(percent)`` tokens among the first
+    size - need(size, least partner) + k of the longer and, as the shorter leads, the
+    first size - need(size, size) + k of it.  A task gives a set once, however many of
+    its documents have it.
     """
+    k = shared(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, given = held.value, set()
@@ -121,8 +136,8 @@ def _prefixes(n: int, percent: int, held):
                 key, doc = key[order], doc[order]
                 at = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(size)))[doc]
                 s = size[doc]
-                take = at < s - -((-percent * s) // 100) + 1
-                leads = at < s - _need(s, s, percent) + 1
+                take = at < s - -((-percent * s) // 100) + k
+                leads = at < s - _need(s, s, percent) + k
                 key, doc, leads = key[take], doc[take], leads[take]
                 if len(given) > 2_000_000:
                     given.clear()
@@ -132,7 +147,11 @@ def _prefixes(n: int, percent: int, held):
 
 
 class _Bucketed:
-    """Candidates from rows sorted by (token, size, node); kind 0: a pair, kind 1: a row of a large bucket."""
+    """Candidates from rows sorted by (token, size, node).
+
+    kind 0: a pair of small buckets and how many of them it shares; kind 1: a node of a
+    large bucket, with its token; kind 2: a pair of a large bucket's pivot or chain.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -150,34 +169,42 @@ class _Bucketed:
             return None
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         place = np.arange(len(token)) - np.repeat(start, np.diff(np.concatenate([start, [len(token)]])))
-        left, right = [], []
         rows = np.arange(len(token))
+        large = of > SMALL_BUCKET
+        left, right = [], []
         for lag in range(1, SMALL_BUCKET):
-            x = rows[(of > lag) & ((of <= SMALL_BUCKET) | (lag <= 2)) & (place + lag < of)]
+            x = rows[~large & (place + lag < of)]
             if not len(x):
                 break
             left.append(x)
             right.append(x + lag)
-        large = of > SMALL_BUCKET
-        x = rows[large & (place % TREE > 0)]
-        left.append(x - place[x] % TREE)
-        right.append(x)
-        a, b = np.concatenate(left), np.concatenate(right)
-        fits = leads[a] & (100 * n[a].astype(np.int64) >= self.percent * n[b].astype(np.int64))
-        pair = np.unique(np.stack([node[a[fits]], node[b[fits]]], 1), axis=0)
-        big = np.flatnonzero(large)
-        k = len(pair)
+        small = self.fitting(np.concatenate(left), np.concatenate(right), n, node, leads) if left else np.zeros((0, 2), np.int64)
+        small, times = np.unique(small, axis=0, return_counts=True)
+        # the pivot of a large bucket is its least node, so that the buckets of a group agree on it
+        big = rows[large]
+        first = start[np.diff(np.concatenate([start, [len(token)]])) > SMALL_BUCKET]
+        pivot = np.zeros(0, np.int64)
+        if len(big):
+            bounds = np.searchsorted(big, first)
+            by_node = np.lexsort((node[big], token[big]))
+            pivot = np.repeat(big[by_node[bounds]], np.diff(np.concatenate([bounds, [len(big)]])))
+        chain = big[place[big] + 1 < of[big]]
+        a, b = np.concatenate([pivot, chain]), np.concatenate([big, chain + 1])
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        star = np.unique(self.fitting(a[a != b], b[a != b], n, node, None), axis=0)
+        kinds = [(0, small[:, 0], small[:, 1], times), (1, node[big], token[big], np.ones(len(big), np.int64)), (2, star[:, 0], star[:, 1], np.ones(len(star), np.int64))]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array([0, 1], np.int8), [k, len(big)])),
-                pa.array(np.concatenate([pair[:, 0], node[big]])),
-                pa.array(np.concatenate([pair[:, 1], token[big]])),
-                pa.array(np.concatenate([np.zeros(k, np.int32), n[big]])),
-                pa.array(np.concatenate([np.zeros(k, bool), leads[big]])),
-            ],
-            names=["kind", "a", "b", "n", "leads"],
+            [pa.array(np.concatenate([np.full(len(x), k, np.int8) for k, x, _, _ in kinds])), *(pa.array(np.concatenate([row[c] for row in kinds])) for c in (1, 2, 3))],
+            names=["kind", "a", "b", "times"],
         )
 
+    def fitting(self, a, b, n, node, leads) -> np.ndarray:
+        """Node pairs of rows a and b, b no shorter, whose sizes allow a link (and whose shorter one leads)."""
+        fits = 100 * n[a].astype(np.int64) >= self.percent * n[b].astype(np.int64)
+        if leads is not None:
+            fits &= leads[a]
+        return np.stack([node[a[fits]], node[b[fits]]], 1)
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -202,19 +229,34 @@ class _Bucketed:
 
 
 def _across(percent: int):
-    """Pairs of different components inside blocks of a large bucket: rows (token, i, j, own, n, node, leads, component)."""
+    """Close pairs of different components inside blocks of a large bucket.
+
+    Rows: token, i, j, own, n, node, component, bits.  Pairs are compared by size and
+    bitmap here, so only those that a link may join leave the block.
+    """
 
     def pairs(rows: list[np.ndarray]) -> np.ndarray:
-        i, j, own, n, node, leads, component = rows[1:]
+        i, j, own, n, node, component, bits = rows[1:]
+        length = np.array([len(x) for x in bits])
+        whole = {k: np.stack([bits[x] for x in np.flatnonzero(length == k)]) for k in np.unique(length)}
+        at = np.zeros(len(n), np.int64)
+        for k in whole:
+            at[length == k] = np.arange((length == k).sum())
+        half = {k: v[:, : k // 2] ^ v[:, k // 2 :] for k, v in whole.items()}
         out = []
         for x in np.flatnonzero(own == i):
-            fit = np.flatnonzero((own == j) & (component != component[x]))
-            y = fit[node[fit] > node[x]] if i[0] == j[0] else fit
-            small, big = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-            led = np.where(n[x] < n[y], leads[x], np.where(n[x] > n[y], leads[y], leads[x] | leads[y]))
-            y = y[led & (100 * small.astype(np.int64) >= percent * big.astype(np.int64))]
-            if len(y):
-                out.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
+            fit = (own == j) & (component != component[x])
+            if i[0] == j[0]:
+                fit &= node > node[x]
+            size = n.astype(np.int64)
+            fit &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+            k = length[x]
+            for other, mine, theirs in ((k, whole[k], whole), (2 * k, whole[k], half), (k // 2, half[k], whole)):
+                y = np.flatnonzero(fit & (length == other))
+                if len(y):
+                    differ = np.bitwise_count(theirs[other][at[y]] ^ mine[at[x]]).sum(axis=1)
+                    y = y[differ <= size[x] + size[y] - 2 * _need(size[x], size[y], percent)]
+                    out.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +267,9 @@ def _across(percent: int):
             if not len(rows[0]):
                 continue
             edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
-            for lo, hi in zip(np.concatenate([[0], edge[:-1]]), edge, strict=False) if len(edge) else ():
-                p = pairs([x[lo:hi] for x in rows])
+            found = [pairs([x[lo:hi] for x in rows]) for lo, hi in zip(np.concatenate([[0], edge[:-1]]), edge, strict=False)] if len(edge) else []
+            if found:
+                p = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
             held = [x[edge[-1] :] for x in rows] if len(edge) else rows
         if held is not None and len(held[0]):
@@ -320,8 +363,11 @@ def _verified(n: int, percent: int, held):
 
 
 def _differing(a: str, b: str):
-    """Bits in which two parity bitmaps of 16 longs differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Bits in which two parity bitmaps differ; the longer one is folded to the shorter's length first."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), F.size(x)), lambda p, q: p.bitwiseXOR(q))
+    one = F.when(F.size(a) > F.size(b), half(a)).otherwise(F.col(a))
+    two = F.when(F.size(b) > F.size(a), half(b)).otherwise(F.col(b))
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -348,55 +394,58 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     """
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    described = kept(base.mapInArrow(_describe(n), "kind byte, id long, node long, n int, bits binary"))
+    described = kept(base.mapInArrow(_describe(n), "kind byte, id long, node long, n int, bits array<long>"))
     sketch = described.where("kind = 1").groupBy("id").agg(F.sum("node").alias("n")).collect()  # at most SKETCH rows
     held = spark.sparkContext.broadcast(_classes(sketch))
     rows = described.where("kind = 0")
-    longs = F.array(*[F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(_BITS // 64)])
-    classes = kept(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("bits", longs))
+    classes = kept(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     found = kept(
         base.select("text")
         .mapInArrow(_prefixes(n, percent, held), "token long, n int, node long, leads boolean")
         .repartition("token")
         .sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_Bucketed(percent), "kind byte, a long, b long, n int, leads boolean")
+        .mapInArrow(_Bucketed(percent), "kind byte, a long, b long, times long")
     )
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("id").alias("a_id"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
         two = classes.select(F.col("node").alias("b"), F.col("id").alias("b_id"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
         most = F.col("a_n") + F.col("b_n") - 2 * F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
         close = kept(pairs.join(one, "a").join(two, "b").where(_differing("a_bits", "b_bits") <= most).select("a", "b", "a_id", "b_id"))
         probes = close.select("a", F.lit(0).alias("later"), F.col("a").alias("node"), F.col("a_id").alias("id")).distinct()
         partners = close.select("a", F.lit(1).alias("later"), F.col("b").alias("node"), F.col("b_id").alias("id"))
-        return kept(
+        out = kept(
             probes.union(partners)
-            .join(base, "id")
+            .join(texts, "id")
             .repartition("a")
             .sortWithinPartitions("a", "later")
             .select("a", "later", "node", "id", "text")
             .mapInArrow(_verified(n, percent, held), "a long, b long")
         )
+        release(close)
+        return out
 
-    edges = links(found.where("kind = 0").select("a", "b").distinct())
+    often = found.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= shared(percent))
+    # texts meet their requests by a merge at every size, so that plans at small and large sizes are the same
+    edges = links(often.select("a", "b").union(found.where("kind = 2").select("a", "b")).distinct(), base.hint("merge"))
     labels = components(edges)
-    large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("token"), "n", "leads").distinct()
+    large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("token")).distinct()
     if not large.isEmpty():
         named = large.join(classes.select("node", "id"), "node").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        named = kept(named.select("token", "n", "node", "leads", F.coalesce("component", "id").alias("component")))
+        named = kept(named.select("token", "node", F.coalesce("component", "id").alias("component")))
         mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        blocks = named.join(mixed.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("m")), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-        met = (
-            blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "leads", "component")
+        blocks = named.join(mixed.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("m")), "token").join(classes.select("node", "n", "bits"), "node")
+        met = kept(
+            blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+            .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "component", "bits")
             .repartition("token", "i", "j")
             .sortWithinPartitions("token", "i", "j")
             .mapInArrow(_across(percent), "a long, b long")
             .distinct()
         )
-        met = kept(met)
         if not met.isEmpty():
-            labels = components(edges.union(links(met)))
+            labels = components(edges.union(links(met, base)))
     named = classes.select("node", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return rows.select("id", "node", "n").join(named, "node", "left").select(
         F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id")
