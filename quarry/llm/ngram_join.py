@@ -228,8 +228,8 @@ class _Bucketed:
                 yield out
 
 
-def _across(percent: int):
-    """Close pairs of different components inside blocks of a large bucket.
+def _across(percent: int, nearest: bool):
+    """Close pairs of different components inside blocks of a large bucket; if ``nearest``, one for each node at most.
 
     Rows: token, i, j, own, n, node, component, bits.  Pairs are compared by size and
     bitmap here, so only those that a link may join leave the block.
@@ -250,13 +250,19 @@ def _across(percent: int):
                 fit &= node > node[x]
             size = n.astype(np.int64)
             fit &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
-            k = length[x]
+            k, close, bits_apart = length[x], [], []
             for other, mine, theirs in ((k, whole[k], whole), (2 * k, whole[k], half), (k // 2, half[k], whole)):
                 y = np.flatnonzero(fit & (length == other))
                 if len(y):
                     differ = np.bitwise_count(theirs[other][at[y]] ^ mine[at[x]]).sum(axis=1)
-                    y = y[differ <= size[x] + size[y] - 2 * _need(size[x], size[y], percent)]
-                    out.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
+                    may = differ <= size[x] + size[y] - 2 * _need(size[x], size[y], percent)
+                    close.append(y[may])
+                    bits_apart.append(differ[may])
+            y = np.concatenate(close) if close else np.zeros(0, np.int64)
+            if nearest and len(y):
+                y = y[[np.argmin(np.concatenate(bits_apart))]]
+            if len(y):
+                out.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +436,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     edges = links(often.select("a", "b").union(found.where("kind = 2").select("a", "b")).distinct(), base.hint("merge"))
     labels = components(edges)
     large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("token")).distinct()
-    if not large.isEmpty():
+    # first each node with its nearest of another component, which joins most that can be joined; then all that are left
+    for nearest in (True, False) if not large.isEmpty() else ():
         named = large.join(classes.select("node", "id"), "node").join(labels.withColumnRenamed("node", "id"), "id", "left")
         named = kept(named.select("token", "node", F.coalesce("component", "id").alias("component")))
         mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
@@ -441,11 +448,13 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "component", "bits")
             .repartition("token", "i", "j")
             .sortWithinPartitions("token", "i", "j")
-            .mapInArrow(_across(percent), "a long, b long")
+            .mapInArrow(_across(percent, nearest), "a long, b long")
             .distinct()
         )
-        if not met.isEmpty():
-            labels = components(edges.union(links(met, base)))
+        if met.isEmpty():
+            break
+        edges = edges.union(links(met, base))
+        labels = components(edges)
     named = classes.select("node", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return rows.select("id", "node", "n").join(named, "node", "left").select(
         F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id")
