@@ -15,6 +15,8 @@ from .words import _BYTE_POWERS, _BYTE_VALUES, U64, chunks, mix
 
 #: Bytes of a window, windows of a neighbourhood, and neighbourhoods that a feature must lead.
 WINDOW, NEAR, LEADS = 64, 16, 4
+#: Windows of a text up to which all of them are features; offsets of which one is a start where words give none.
+FEW, STEP = 64, 16
 #: Bits of a filter, bits a feature sets, and features a filter takes.
 BITS, HASHES, FULL = 2048, 5, 160
 #: Classes of entropy.
@@ -22,6 +24,7 @@ RANKS = 1024
 #: Share of the way from chance to full overlap that counts as nothing.
 CUTOFF = 0.3
 _ROWS_A_PART, _PARTS = 8192, 4096
+_BLOCK = 1 << 16
 
 # 32 classes of bytes: letters, white space, digits, signs and three of the rest
 _CLASS = np.array([29 + b % 3 for b in range(256)], np.int64)
@@ -33,10 +36,40 @@ _CLASS[97:123] = np.arange(26)
 _PLOGP = np.array([0.0] + [c / WINDOW * np.log2(WINDOW / c) for c in range(1, WINDOW + 1)], np.float32)
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+def _far(data: np.ndarray, start: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Content-defined offsets where the next start, or the text's end, is more than WINDOW bytes off.
+
+    Each STEP offsets in a row between two such starts give the one with the least hash of
+    STEP bytes, so no byte of a long run is further than STEP from an offset.
+    """
+    wide = np.flatnonzero(after - start > WINDOW)
+    if not len(wide):
+        return np.zeros(0, np.int64)
+    size = after[wide] - start[wide] - 1
+    place = _spread(start[wide] + 1, size)  # only bytes of such runs are hashed
+    n = len(place)
+    up, down = _BYTE_POWERS.get(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE_VALUES[data[place]] * up[:n], out=sums[1:])
+    best = mix((sums[STEP:] - sums[:-STEP]) * down[: n - STEP + 1]) >> U64(32) << U64(32) | np.arange(n - STEP + 1, dtype=U64)
+    span = 1
+    while span < STEP:
+        best = np.minimum(best[:-span], best[span:])
+        span *= 2
+    inside = _spread(np.cumsum(size) - size, size - 2 * STEP + 2)  # hashes that reach beyond the run are left out
+    return place[np.unique(best[inside] & U64(0xFFFFFFFF)).astype(np.int64)]
+
+
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, text, entropy class) of each window: WINDOW bytes from a word's first byte on.
 
-    A text without such a window is one window as a whole.
+    Runs of more than WINDOW bytes without such a start have content-defined ones, and each
+    text's last WINDOW bytes are a window, so windows cover all bytes.  A text of less than
+    WINDOW bytes is one window as a whole.
     """
     n = len(data)
     word = data > 32
@@ -46,21 +79,21 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first[head] = True
     start = np.flatnonzero(first)
     text = np.searchsorted(offsets, start, "right") - 1
-    fits = start + WINDOW <= offsets[text + 1]
+    after = np.minimum(np.append(start[1:], n), offsets[text + 1])
+    last = offsets[1:][np.diff(offsets) >= WINDOW] - WINDOW
+    first[_far(data, start, after)] = True
+    first[last] = True
+    start = np.flatnonzero(first)
+    text = np.searchsorted(offsets, start, "right") - 1
+    fits = (start + WINDOW <= offsets[text + 1]) | (start == offsets[text])
     start, text = start[fits], text[fits]
-    bare = np.setdiff1d(np.flatnonzero(np.diff(offsets) > 0), text)
-    if len(bare):
-        start = np.concatenate([start, offsets[bare]])
-        text = np.concatenate([text, bare])
-        order = np.argsort(start, kind="stable")
-        start, text = start[order], text[order]
     if not len(start):
         return start, text, start
     end = np.minimum(start + WINDOW, offsets[text + 1])
     hot = np.zeros((n + 1, 32), np.uint8)
     hot[np.arange(1, n + 1), _CLASS[data]] = 1
     sums = np.cumsum(hot, axis=0, dtype=np.uint8)  # differences of at most WINDOW survive the wrap
-    entropy = _PLOGP[sums[end] - sums[start]].sum(axis=1)
+    entropy = np.concatenate([_PLOGP[sums[end[k : k + _BLOCK]] - sums[start[k : k + _BLOCK]]].sum(axis=1) for k in range(0, len(start), _BLOCK)])
     return start, text, np.minimum((entropy * (RANKS / 5.0)).astype(np.int64), RANKS - 1)
 
 
@@ -84,10 +117,6 @@ def precedence(docs: DataFrame, text: str = "text") -> np.ndarray:
     return place
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-
-
 def digests(texts: list[bytes], place: np.ndarray) -> list[np.ndarray]:
     """Chained filters of each text, as rows of BITS / 8 bytes."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -101,9 +130,8 @@ def digests(texts: list[bytes], place: np.ndarray) -> list[np.ndarray]:
     key = place[entropy] * len(start) + np.arange(len(start))
     count = np.bincount(text, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    near = np.minimum(count, NEAR)
-    leads = np.zeros(len(start), np.int64)
-    wide = np.flatnonzero(count >= NEAR)
+    chosen = (count <= FEW)[text]
+    wide = np.flatnonzero(count > FEW)
     if len(wide):
         best, span = key, 1
         while span < NEAR:
@@ -111,13 +139,11 @@ def digests(texts: list[bytes], place: np.ndarray) -> list[np.ndarray]:
             best = np.minimum(best[:-step], best[step:])
             span += step
         inside = _spread(first[wide], count[wide] - NEAR + 1)
-        leads += np.bincount(best[inside] % len(start), minlength=len(start))
-    few = np.flatnonzero((count > 0) & (count < NEAR))
-    if len(few):
-        for k in few.tolist():
-            own = key[first[k] : first[k] + count[k]]
-            leads[own.min() % len(start)] += 1
-    chosen = np.flatnonzero(leads >= np.minimum(LEADS, (count - near + 1))[text].clip(1))
+        leader = best[inside] % len(start)
+        strong = np.bincount(leader, minlength=len(start)) >= LEADS
+        held = np.concatenate([[0], np.cumsum(strong)])
+        chosen |= strong
+        chosen[leader[held[inside + NEAR] == held[inside]]] = True
     start, text = start[chosen], text[chosen]
     end = np.minimum(start + WINDOW, offsets[text + 1])
     up, down = _BYTE_POWERS.get(len(data) + 1)
@@ -247,9 +273,11 @@ def _compare(place_held):
 def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
-    Windows of WINDOW bytes at the beginnings of words are ranked by how rare their
-    entropy is in all documents; a window that is the rarest of at least LEADS
-    neighbourhoods of NEAR windows is a feature.  Features go, HASHES bits each, into
+    Windows of WINDOW bytes at the beginnings of words, and at content-defined offsets in
+    runs without any, are ranked by how rare their entropy is in all documents; a window
+    that is the rarest of at least LEADS neighbourhoods of NEAR windows is a feature, and
+    so are the rarest of a neighbourhood that would have none and all windows of a text
+    of at most FEW.  Features go, HASHES bits each, into
     filters of BITS bits, FULL a filter, a new one chained on when one is full.
     Likeness compares bit overlap, normalised between chance and full.
 

@@ -102,6 +102,34 @@ def test_fingerprints_of_one_and_none(spark):
     assert sorted((str(r.doc_id), r.edited_text) for r in nulls) == [("1", "yy"), ("1", "yz"), ("None", "zy")]
 
 
+def test_fingerprints_read_texts_without_spaces_whole(spark):
+    r = np.random.default_rng(3)
+    run = lambda n: "".join(map(chr, r.integers(0x4E00, 0x9000, n)))
+    a, b, long = run(3400), run(3400), run(2000)
+    a, b = "x" * 64 + a, "x" * 64 + b
+    words = " ".join(run(2) for _ in range(300))
+    shorts = ["y" * 64 + "".join(map(chr, r.integers(97, 123, 60))) for _ in range(2)]
+    rows = [a, b, "z" * 64 + " " + words, words + " " + long, words + " " + run(2000), *shorts, "x " * 300, "v " * 300]
+    got = {k.doc_id: k for k in P.fingerprints(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[0].near_next < 0.2 and 0.05 < got[0].near_edited < 0.9
+    assert got[3].near_next < 0.9 and got[5].near_next < 0.9 and got[7].near_next < 0.2
+    assert all(len(P.parse(k.fingerprint)) for k in got.values())
+    shifted = P.digests([a.encode(), ("q" + a).encode()], np.arange(P.RANKS))
+    assert P.likeness(*shifted) > 0.9
+
+
+def test_fingerprint_windows_cover_all_bytes():
+    r = np.random.default_rng(5)
+    for n in (1, 63, 64, 65, 90, 1000, 3000):
+        for high in (33, 34, 60, 256):
+            texts = [r.integers(low, high, n).astype(np.uint8) for low in (0, 32)]
+            start, text, _ = P.windows(np.concatenate(texts), np.array([0, n, 2 * n]))
+            seen = np.zeros(2 * n + 1, int)
+            np.add.at(seen, start, 1)
+            np.add.at(seen, np.minimum(start + P.WINDOW, (text + 1) * n), -1)
+            assert (np.cumsum(seen)[:-1] > 0).all()
+
+
 def host_path(url):
     if not url or "://" not in url:
         return "", ""
