@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,51 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _scan(text: list, template: list, need: float) -> list[list[tuple[int, int]]]:
+    """Alignments of successive copies: windows of about the template's length from each word that a copy may begin with."""
+    size = len(template)
+    span, bag, head = size + size // 2 + 1, Counter(template), set(template[: size - int(np.ceil(need)) + 1])
+    starts = [k for k, w in enumerate(text) if w in head]
+    out: list[list[tuple[int, int]]] = []
+    best: list[tuple[int, int]] = []
+    after = limit = 0
+    for s in starts:
+        if best and s > limit:
+            out.append(best)
+            after, best = best[-1][0] + 1, []
+        if s < after or sum((Counter(text[s : s + span]) & bag).values()) < need:
+            continue
+        for end in (size, span):
+            pairs = [(s + x, y) for x, y in align(text[s : s + end], template)]
+            if len(pairs) >= need and (not best or pairs[0][0] <= limit) and (len(pairs), pairs[0][0] - pairs[-1][0]) > (len(best), best[0][0] - best[-1][0] if best else 0):
+                limit = limit if best else pairs[-1][0] - size // 2
+                best = pairs
+    return [*out, best] if best else out
+
+
+def copies(text: list, template: list, need: float) -> list[list[tuple[int, int]]]:
+    """Alignments, in order, of the copies of a template in a stretch of text; each matches ``need`` words at least.
+
+    Words of copies that stand close together occur more than once and give no anchors,
+    so where the stretch as a whole is not one copy it is aligned window by window.
+    """
+    whole = align(text, template)
+    if len(whole) < need or not whole or whole[-1][0] - whole[0][0] > len(template) + len(template) // 2:
+        return _scan(text, template, need)
+    a, b = whole[0][0], whole[-1][0] + 1
+    return [*_scan(text[:a], template, need), whole, *([(b + x, y) for x, y in m] for m in _scan(text[b:], template, need))]
+
+
+def _apart(found: list[dict]) -> list[dict]:
+    """Of findings that overlap the one of most coverage, in order."""
+    out: list[dict] = []
+    for x in sorted(found, key=lambda x: (-x["coverage"], x["end"] - x["start"], x["start"])):
+        at = bisect.bisect_left(out, x["start"], key=lambda y: y["start"])
+        if (at == 0 or out[at - 1]["end"] <= x["start"]) and (at == len(out) or x["end"] <= out[at]["start"]):
+            out.insert(at, x)
+    return out
+
+
 class _Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = [k for k, v in templates.items()]
@@ -119,8 +165,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, coverage:
 
     Templates are code-sized (a parameter); texts are read whole, row by row, no
     shuffle.  Edge cases: null and empty texts, and templates without words, find
-    nothing; a template that is repeated in a text is found each time its stretches
-    lie apart; repeated rows get their findings each; a column ``licences`` is replaced.
+    nothing; a template that is repeated in a text is found each time, also where its
+    copies touch; repeated rows get their findings each; a column ``licences`` is replaced.
     """
     known = _Templates(TEMPLATES if templates is None else templates)
     names = [c for c in docs.columns if c != "licences"]
@@ -137,16 +183,12 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, coverage:
             hits = is_known & known.member[t][own]
             if hits.sum() < coverage * len(np.unique(known.words[t])):
                 continue
+            own_found: list[dict] = []
             for a, b in _regions(hits, size, coverage * 0.9):
-                pairs = align(w.hashes[lo + a : lo + b].tolist(), known.words[t].tolist())
-                if pairs and len(pairs) >= coverage * size:
+                for pairs in copies(w.hashes[lo + a : lo + b].tolist(), known.words[t].tolist(), coverage * size):
                     start, end = int(w.starts[lo + a + pairs[0][0]]), int(w.ends[lo + a + pairs[-1][0]])
-                    new = {"name": name, "coverage": round(len(pairs) / size, 6), "start": start, "end": end}
-                    last = out[-1] if out and out[-1]["name"] == name else None
-                    if last is None or start >= last["end"]:
-                        out.append(new)
-                    elif new["coverage"] > last["coverage"]:  # two stretches around one occurrence
-                        out[-1] = new
+                    own_found.append({"name": name, "coverage": round(len(pairs) / size, 6), "start": start, "end": end})
+            out += _apart(own_found)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

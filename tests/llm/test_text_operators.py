@@ -177,6 +177,19 @@ def test_licences(spark):
     assert [x[0] for x in got[2]] == ["mit"] and got[3] == [] and got[4] == [] and [x[0] for x in got[5]] == ["cc-by-nc-4.0-line"] * 2
 
 
+def test_licences_close_together(spark):
+    line, mit = "Released under the MIT License.", licenses.TEMPLATES["mit"]
+    changed = mit.split()
+    changed[10] = "anybody"
+    gap = " gap" * (len(mit.split()) // 3) + " "
+    rows = [f"foo bar baz {line} {line} qux", "pre " * 200 + mit + gap + mit + " post" * 200, f"a {mit} {' '.join(changed)} {mit} b", " ".join([line] * 40), f"see the {line} or the {line} of", "x " * 9 + f"{mit}\n" * 5 + "y " * 9]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [[x.name for x in got[k]] for k in range(6)] == [["mit-line"] * 2, ["mit"] * 2, ["mit"] * 3, ["mit-line"] * 40, ["mit-line"] * 2, ["mit"] * 5]
+    for k, t in enumerate(rows):
+        assert all(t[x.start : x.end].startswith(("Released", "Permission")) and t[x.start : x.end].endswith(("License", "Software")) for x in got[k])
+        assert all(x.end <= y.start for x, y in zip(got[k], got[k][1:], strict=False))
+
+
 def test_alignment_is_a_common_subsequence():
     r = random.Random(8)
     for _ in range(200):
