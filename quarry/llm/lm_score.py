@@ -6,57 +6,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import kept
 from .words import chunks
 
-#: Counters of grams of three and of four bytes; grams of one and two have a counter each.
-THIRD, FOURTH = 1 << 18, 1 << 19
-_SIZES = (256, 1 << 16, THIRD, FOURTH)
+#: Bytes of the longest gram, and the least number of counters by gram length: all 256 bytes, then one for each gram that occurs.
+ORDER = 5
+_SIZES = (256,) + (0,) * (ORDER - 1)
 #: Weight of the next shorter gram's estimate, in counts.
 PSEUDO = 8.0
+#: Bytes of text that are scored with one slice of the counts.
+_CHUNK = 1 << 23
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(counter of the gram of 1, 2, 3, 4 bytes that ends at each byte, bytes before it in its text).
+def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(whole gram, as a number, of 1 to ORDER bytes that ends at each byte, bytes before it in its text).
 
     The vocabulary is the 256 bytes.  Before a text's first byte stand zero bytes.
     """
     n = len(data)
     since = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    b = data.astype(np.uint64)
-    back = []
-    for k in range(4):
-        x = np.zeros(n, np.uint64)
-        x[k:] = b[: n - k] if k else b
+    b = data.astype(np.int64)
+    out = [b]
+    for k in range(1, ORDER):
+        x = np.zeros(n, np.int64)
+        x[k:] = b[: n - k] if k < n else 0
         x[since < k] = 0
-        back.append(x)
-    two = back[0] | back[1] << np.uint64(8)
-    three = two | back[2] << np.uint64(16)
-    four = three | back[3] << np.uint64(24)
-    spread = lambda x, size: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
-    return [data.astype(np.int64), two.astype(np.int64), spread(three, THIRD), spread(four, FOURTH)], since
+        out.append(out[-1] | x << (8 * k))
+    return out, since
+
+
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """keys() as places among the grams that occur in ``data``; single bytes stand for themselves."""
+    found, since = keys(data, offsets)
+    return [found[0], *(np.unique(x, return_inverse=True)[1] for x in found[1:])], since
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (model, size, at, n): a task's counts; model 1 has the target texts, model 0 all."""
-    sums = [[np.zeros(s, np.int64) for s in _SIZES] for _ in range(2)]
+    """Rows (size, gram, n0, n1) of runs of texts; n1 counts the target texts, n0 all."""
     for batch in batches:
         target = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-        for i, _, data, offsets in chunks(batch.column(0)):
-            found, _ = grams(data, offsets)
-            own = np.repeat(target[i : i + len(offsets) - 1], np.diff(offsets))
-            for k, at in enumerate(found):
-                sums[0][k] += np.bincount(at, minlength=_SIZES[k])
-                if own.any():
-                    sums[1][k] += np.bincount(at[own], minlength=_SIZES[k])
-    for model in range(2):
-        for k, s in enumerate(sums[model]):
-            hit = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(hit), model, np.int8)), pa.array(np.full(len(hit), k, np.int8)), pa.array(hit.astype(np.int32)), pa.array(s[hit])], names=["model", "size", "at", "n"]
-            )
+        for i, _, data, offsets in chunks(batch.column(0), _CHUNK):
+            own = np.repeat(target[i : i + len(offsets) - 1], np.diff(offsets)).astype(bool)
+            for k, x in enumerate(keys(data, offsets)[0]):
+                gram, at = np.unique(x, return_inverse=True)
+                n = [np.bincount(at, minlength=len(gram)), np.bincount(at[own], minlength=len(gram))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int8)), pa.array(gram), *(pa.array(c.astype(np.int64)) for c in n)], names=["size", "gram", "n0", "n1"])
 
 
 class Models:
@@ -73,7 +72,7 @@ class Models:
         c = self.counts[model]
         p = self.first[model][found[0]]
         before = c[0][found[0]]
-        for k in (1, 2, 3):
+        for k in range(1, len(found)):
             own = c[k][found[k]]
             context = np.zeros_like(own)
             context[1:] = before[:-1]  # the gram that ended at the byte before is the context
@@ -83,55 +82,92 @@ class Models:
         return -np.log2(p)
 
 
-def fit(docs: DataFrame, target: DataFrame, *, text: str = "text", id: str = "doc_id") -> Models:
+def fit(docs: DataFrame, target: DataFrame, *, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, np.ndarray]:
     """Counts grams over all documents (background) and over those whose id is in ``target``.
 
-    The counts that tasks gather grow with the input; summed, there are at most
-    2 * (256 + 65,536 + THIRD + FOURTH) of them, which come to the driver and are broadcast.
+    Gives a kept table (size, gram, n0, n1) with a row for each gram that occurs, keyed by the
+    whole gram, and the counts of single bytes, of which 256 rows at most reach the driver.
     """
     marks = target.select(F.col(id).alias("_id"), F.lit(True).alias("_target")).dropna().distinct()
     rows = docs.select(F.col(text).alias("_text"), F.col(id).alias("_id")).join(marks, "_id", "left")
-    sums = rows.select("_text", "_target").mapInArrow(_count, "model byte, size byte, at int, n long").groupBy("model", "size", "at").agg(F.sum("n").alias("n")).toArrow()
-    counts = [[np.zeros(s) for s in _SIZES] for _ in range(2)]
-    model, size, at, n = (sums[c].to_numpy() for c in ("model", "size", "at", "n"))
-    for m in range(2):
-        for k in range(4):
-            use = (model == m) & (size == k)
-            counts[m][k][at[use]] = n[use]
-    return Models(counts)
+    table = kept(rows.select("_text", "_target").mapInArrow(_count, "size byte, gram long, n0 long, n1 long").groupBy("size", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    single = np.zeros((2, 256))
+    for r in table.where("size = 0").collect():
+        single[:, r["gram"]] = r["n0"], r["n1"]
+    return table, single
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers runs of rows of about _CHUNK bytes; the text is the last column."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = (size + np.cumsum(lengths) - lengths) // _CHUNK
+        size += int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk + at)], names=[*batch.schema.names, "_chunk"])
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, size, gram): the grams of more than a byte of each chunk."""
+    for batch in batches:
+        chunk = batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(chunk)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True):
+            for _, _, data, offsets in chunks(batch.column(0).slice(a, b - a), _CHUNK):
+                for k, x in enumerate(keys(data, offsets)[0][1:], 1):
+                    gram = np.unique(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk[a])), pa.array(np.full(len(gram), k, np.int8)), pa.array(gram)], names=["_chunk", "size", "gram"])
 
 
-def score(docs: DataFrame, models: Models, *, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[DataFrame, np.ndarray], *, text: str = "text") -> DataFrame:
     """Adds n_tokens, target_loss, background_loss and score (their difference; lower: more like the target), bits a byte.
 
-    Both models have order 4, the 256 bytes as vocabulary, the same smoothing and
-    counts of equal total.  Rows are independent: no shuffle.  Edge cases: null and
+    Both models have order ORDER, the 256 bytes as vocabulary, the same smoothing and
+    counts of equal total.  Texts are kept in chunks of about _CHUNK bytes; each chunk is
+    joined with the counts of its own grams, so no task holds the model.  Edge cases: null and
     empty texts have no token, losses of 0 and a score of 0; without target rows the
     target's losses are those of no counts; repeated rows score alike; columns of
     ``docs`` with the added names are replaced.
     """
     added = ["n_tokens", "target_loss", "background_loss", "score"]
     names = [c for c in docs.columns if c not in added]
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    where = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            for _, _, data, offsets in chunks(batch.column(where), 1 << 18):
-                n = np.diff(offsets)
-                found, since = grams(data, offsets)
-                out[0].append(n)
-                for m in (1, 0):
-                    loss = np.concatenate([[0.0], np.cumsum(held.value.losses(m, found, since), dtype=np.float64)])
-                    out[2 - m].append((loss[offsets[1:]] - loss[offsets[:-1]]) / np.maximum(n, 1))
-            cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cols[0].astype(np.int64)), *(pa.array(np.round(x, 6)) for x in (cols[1], cols[2], cols[1] - cols[2]))], names=[*names, *added]
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.select(*names).mapInArrow(run, schema + ", n_tokens long, target_loss double, background_loss double, score double")
+    table, single = model
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
+    held = kept(docs.select(*names, F.col(text).alias("_text")).mapInArrow(_chunked, fields + ", _text string, _chunk long"))
+    needed = held.select("_text", "_chunk").mapInArrow(_needed, "_chunk long, size byte, gram long").distinct()
+    counts = needed.join(table, ["size", "gram"])
+
+    def work(rows: pa.Table, grams_of: pa.Table) -> pa.Table:
+        size = grams_of["size"].to_numpy()
+        known = []
+        for k in range(1, ORDER):
+            own = grams_of.filter(pa.array(size == k)).sort_by("gram")
+            known.append([own[c].to_numpy() for c in ("gram", "n0", "n1")])
+        out: list[list[np.ndarray]] = [[], [], []]
+        for _, _, data, offsets in chunks(rows["_text"].combine_chunks(), 1 << 20):
+            n = np.diff(offsets)
+            exact, since = keys(data, offsets)
+            found, local = [exact[0]], [[single[0]], [single[1]]]
+            for x, (gram, *have) in zip(exact[1:], known, strict=True):
+                own, at = np.unique(x, return_inverse=True)
+                found.append(at)
+                place = np.searchsorted(gram, own)
+                hit = place < len(gram)
+                hit[hit] = gram[place[hit]] == own[hit]
+                for m in range(2):
+                    c = np.zeros(len(own))
+                    c[hit] = have[m][place[hit]]
+                    local[m].append(c)
+            models = Models(local)
+            out[0].append(n)
+            for m in (1, 0):
+                loss = np.concatenate([[0.0], np.cumsum(models.losses(m, found, since), dtype=np.float64)])
+                out[2 - m].append((loss[offsets[1:]] - loss[offsets[:-1]]) / np.maximum(n, 1))
+        cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        made = [pa.array(cols[0].astype(np.int64)), *(pa.array(np.round(x, 6)) for x in (cols[1], cols[2], cols[1] - cols[2]))]
+        return pa.Table.from_arrays([*(rows[c] for c in names), *made], names=[*names, *added])
+
+    return held.groupBy("_chunk").cogroup(counts.groupBy("_chunk")).applyInArrow(work, fields + ", n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,26 @@ def test_model_losses_against_plain_counts():
     assert np.isclose(loss[0], -np.log2(m * (m * p / m) / m), atol=1e-6)
 
 
+def test_language_model_counts_whole_grams(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9000, n))) for n in (60_000, 60_000, 50, 1)] + ["", None]
+    raw = [(t or "").encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    found, _ = lm_score.grams(data, offsets)
+    whole = {data[i - 3 : i + 1].tobytes() for a, b in zip(offsets, offsets[1:], strict=False) for i in range(a + 3, b)}
+    assert len(whole) <= len(np.unique(found[3])) <= len(whole) + 12
+    tell = np.repeat([1, 0, 1, 0, 0, 0], np.diff(offsets)).astype(bool)
+    models = lm_score.Models([[np.bincount(x[use], minlength=max(256, x.max() + 1)).astype(float)[: max(s, x.max() + 1)] for x, s in zip(found, lm_score._SIZES, strict=True)] for use in (tell | True, tell)])
+    _, since = lm_score.grams(data, offsets)
+    loss = [models.losses(m, found, since).astype(float) for m in (0, 1)]
+    monkeypatch.setattr(lm_score, "_CHUNK", 50_000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in lm_score.score(docs, lm_score.fit(docs, docs.where("doc_id IN (0, 2)").select("doc_id"))).collect()}
+    for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+        want = [loss[m][a:b].mean() if b > a else 0 for m in (0, 1)]
+        assert np.allclose([got[k].background_loss, got[k].target_loss], want, atol=1e-4) and got[k].n_tokens == b - a
+
+
 @pytest.fixture(scope="module")
 def fingered(spark, tables, documents):
     folder = tables("fingers", documents=documents)
