@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,24 +18,35 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        if held.isDefined():
+            folder = held.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"  # driver and executor are one process here
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Session setting by which Spark deletes an execution's shuffle files as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing.
 
-    The shuffle files behind df are not needed from then on; Spark removes them once
-    the driver's collector has seen that.
+    The shuffle files behind df are not needed from then on and are deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
-    gc.collect()
-    spark._jvm.System.gc()
     return out
 
 
@@ -48,6 +58,21 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(docs: DataFrame, apart: dict[str, Column], added: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """(rows, columns): the columns of ``docs`` but for ``added`` in one struct, beside ``apart``; and columns that take them out.
+
+    So no column of the caller's meets one of ours.  A column that ``apart`` holds as it is
+    stays out of the struct and is taken from there.
+    """
+    names = [c for c in docs.columns if c not in added]
+    held = {c: k for k, v in apart.items() for c in names if isinstance(v, str) and v == c}
+    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c not in held]
+    rows = docs.select(
+        F.struct(*(fields or [F.lit(True).alias("none")])).alias("box"), *((F.col(f"`{v}`") if isinstance(v, str) else v).alias(k) for k, v in apart.items())
+    )
+    return rows, [(F.col(held[c]) if c in held else F.col(f"box.c{k}")).alias(c) for k, c in enumerate(names)]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges(a, b): the smallest node reachable.
 

@@ -12,6 +12,7 @@ on every machine; two different ones collide with a chance near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE, _WBASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 CHUNK_BYTES = 1 << 20
+#: Powers that a worker keeps; longer runs get theirs anew.
+_KEPT_POWERS = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,17 +37,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand up to a bound."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, U64)
 
+    def _first(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, b, U64)])) for b in (self.base, self.inverse))
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > _KEPT_POWERS:
+            return self._first(n)
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 12)
-            self.up = np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, self.base, U64)]))
-            self.down = np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, self.inverse, U64)]))
+            self.up, self.down = self._first(min(max(n, 2 * len(self.up), 1 << 12), _KEPT_POWERS))
         return self.up, self.down
 
 
@@ -70,6 +76,17 @@ SPACED_FOLDED = Alphabet(b" \t\n\x0b\x0c\r", fold=True)
 ALNUM_FOLDED = Alphabet(bytes(b for b in range(128) if not chr(b).isalnum()), fold=True)
 
 
+def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes; runs come in order."""
+    low = int(starts[0])
+    part = data[low : int(ends[-1])]
+    up, down = _BYTE_POWERS.get(len(part) + 1)
+    sums = np.zeros(len(part) + 1, U64)
+    np.cumsum(values[part] * up[: len(part)], out=sums[1:])
+    a, b = starts - low, ends - low
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
 class Words:
     """The words of a few texts.
 
@@ -92,11 +109,12 @@ class Words:
             edges = np.sort(np.concatenate([edges, joined, joined]))
         self.starts, self.ends = edges[0::2], edges[1::2]
         self.bounds = np.searchsorted(self.starts, offsets)
-        up, down = _BYTE_POWERS.get(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(alphabet.values[data] * up[:n], out=sums[1:])
-        size = (self.ends - self.starts).astype(U64)
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + size * U64(0x2545F4914F6CDD1D))
+        self.hashes = np.empty(len(self.starts), U64)
+        at = 0
+        while at < len(self.starts):  # a block of words at a time, so that a long text takes little more memory than its words
+            after = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + CHUNK_BYTES, "right")))
+            self.hashes[at:after] = _run_hashes(data, self.starts[at:after], self.ends[at:after], alphabet.values)
+            at = after
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of first word, hash) of each run of n words inside one text."""
@@ -146,3 +164,23 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         j = min(j, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+
+
+def trimmed(run):
+    """``run`` for mapInArrow, with the memory that it no longer uses given back when a task ends: workers live on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

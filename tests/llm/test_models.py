@@ -1,7 +1,11 @@
 """Classifier, language models, fingerprints, URL filter and pipeline."""
 
 import hashlib
+import math
+import re
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,47 +47,57 @@ def test_tokens_mark_capitals_and_repeats():
 def test_language_model_prefers_its_own(spark, documents):
     docs = spark.createDataFrame([(k, ("abab baba " if k % 2 else "xyzx zyzy ") * (k % 7 + 3)) for k in range(40)] + [(90, None), (91, "")], "doc_id long, text string")
     target = spark.createDataFrame([(k,) for k in range(1, 40, 2)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(docs, lm_score.fit(docs, target)).collect()}
+    got = {r.doc_id: r for r in lm_score.score(docs, target).collect()}
     assert max(got[k].score for k in range(1, 40, 2)) < min(got[k].score for k in range(0, 40, 2))
     assert (got[90].n_tokens, got[90].score, got[91].score) == (0, 0, 0)
     assert all(abs(r.score - (r.target_loss - r.background_loss)) < 2e-6 for r in got.values())
-    again = {r.doc_id: r.score for r in lm_score.score(docs.repartition(5), lm_score.fit(docs.repartition(3), target)).collect()}
+    again = {r.doc_id: r.score for r in lm_score.score(docs.repartition(5), target.union(target)).collect()}
     assert again == {k: r.score for k, r in got.items()}
-    assert lm_score.score(documents, lm_score.fit(documents, target.limit(0))).count() == documents.count()
-
-
-def test_model_losses_against_plain_counts():
-    texts = ["abcab", "bca", ""]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.array([0, 5, 8, 8])
-    found, since = lm_score.grams(data, offsets)
-    assert since.tolist() == [0, 1, 2, 3, 4, 0, 1, 2]
-    counts = [[np.bincount(found[k], minlength=s).astype(float) for k, s in enumerate(lm_score._SIZES)] for _ in range(2)]
-    loss = lm_score.Models(counts).losses(1, found, since)
-    m = lm_score.PSEUDO
-    one = lambda b: (list(data).count(b) + m / 256) / (8 + m)
-    p = m * one(97) / m  # a text's first byte has no context
-    assert np.isclose(loss[0], -np.log2(m * (m * p / m) / m), atol=1e-6)
-
-
-def test_language_model_counts_whole_grams(spark, monkeypatch):
-    r = np.random.default_rng(2)
-    texts = ["".join(map(chr, r.integers(0x4E00, 0x9000, n))) for n in (60_000, 60_000, 50, 1)] + ["", None]
-    raw = [(t or "").encode() for t in texts]
-    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-    found, _ = lm_score.grams(data, offsets)
-    whole = {data[i - 3 : i + 1].tobytes() for a, b in zip(offsets, offsets[1:], strict=False) for i in range(a + 3, b)}
-    assert len(whole) <= len(np.unique(found[3])) <= len(whole) + 12
-    tell = np.repeat([1, 0, 1, 0, 0, 0], np.diff(offsets)).astype(bool)
-    models = lm_score.Models([[np.bincount(x[use], minlength=max(256, x.max() + 1)).astype(float)[: max(s, x.max() + 1)] for x, s in zip(found, lm_score._SIZES, strict=True)] for use in (tell | True, tell)])
-    _, since = lm_score.grams(data, offsets)
-    loss = [models.losses(m, found, since).astype(float) for m in (0, 1)]
-    monkeypatch.setattr(lm_score, "_CHUNK", 50_000)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x for x in lm_score.score(docs, lm_score.fit(docs, docs.where("doc_id IN (0, 2)").select("doc_id"))).collect()}
-    for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
-        want = [loss[m][a:b].mean() if b > a else 0 for m in (0, 1)]
-        assert np.allclose([got[k].background_loss, got[k].target_loss], want, atol=1e-4) and got[k].n_tokens == b - a
+    clash = documents.withColumns({"box": F.lit("b"), "target": F.lit("t"), "chunk": F.lit(1), "id": F.lit("i")})
+    out = lm_score.score(clash, target.limit(0))
+    assert out.count() == documents.count() and {(r.box, r.target, r.chunk, r.id, r.component_id) for r in out.collect()} == {("b", "t", 1, "i", "clash")}
+    assert out.columns == [c for c in clash.columns if c != "score"] + ["n_tokens", "target_loss", "background_loss", "score"]
+    assert lm_score.score(documents.limit(0), target).count() == 0
+
+
+def plain_losses(texts, marked, order):
+    """Mean losses of each text under (target, background), counted and estimated word by word."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) for t in texts]
+    count = [Counter(), Counter()]
+    for k, w in enumerate(words):
+        for n in range(1, order + 1):
+            for i in range(len(w) - n + 1):
+                for m in (0, 1) if k in marked else (0,):
+                    count[m][tuple(w[i : i + n])] += 1
+    vocabulary = len({x for w in words for x in w})
+    total = [sum(c for g, c in x.items() if len(g) == 1) for x in count]
+    share = (min(1, total[1] / total[0]) if total[0] and total[1] else 1, 1)
+    out = []
+    for w in words:
+        row = []
+        for m in (1, 0):
+            bits = 0.0
+            for i in range(len(w)):
+                p = (share[m] * count[m][(w[i],)] + lm_score.PSEUDO / vocabulary) / (share[m] * total[m] + lm_score.PSEUDO)
+                for n in range(2, min(order, i + 1) + 1):
+                    p = (share[m] * count[m][tuple(w[i - n + 1 : i + 1])] + lm_score.PSEUDO * p) / (share[m] * count[m][tuple(w[i - n + 1 : i])] + lm_score.PSEUDO)
+                bits -= math.log2(p)
+            row.append(bits / max(len(w), 1))
+        out.append((len(w), *row))
+    return out
+
+
+@pytest.mark.parametrize(("order", "chunk"), [(1, 1 << 23), (2, 2000), (3, 5000)])
+def test_language_model_against_plain_counts(spark, corpus, documents, monkeypatch, order, chunk):
+    monkeypatch.setattr(lm_score, "_CHUNK", chunk)
+    marked = {k for k, _ in corpus if k % 3 == 0}
+    target = spark.createDataFrame([(k,) for k in [*marked, 10**9]] + [(None,)], "doc_id long")
+    docs = documents.unionByName(documents.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    got = lm_score.score(docs, target, order=order).collect()
+    want = plain_losses([t for _, t in corpus] + [corpus[4][1]], marked, order)
+    for r in got:
+        n, one, two = want[-1 if r.doc_id is None else r.doc_id]
+        assert r.n_tokens == n and np.allclose([r.target_loss, r.background_loss], [one, two], atol=2e-6)
 
 
 @pytest.fixture(scope="module")
