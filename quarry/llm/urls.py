@@ -6,11 +6,12 @@ DataFrame functions only: no Python runs on the executors.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import boxed, kept
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,6 @@ RULES = (
     Rule("block", "org", "/es/"),
 )
 
-#: Levels of the tree; what follows in a path is one segment.
-LEVELS = 4
 #: Children of a node beyond which those of less than SHARE of its rows are wildcards.
 CHILDREN, SHARE = 16, 0.2
 #: Standard errors by which a branch's purity must differ from its siblings' to stay apart.
@@ -71,32 +70,33 @@ def _shape(segment: Column) -> Column:
 def templates(rows: DataFrame) -> DataFrame:
     """Adds ``template`` to distinct (host, segments, n, labelled, blocked).
 
-    Level by level, a node's children are counted.  A child is a wildcard if its node
-    has many children and it is a small one, and it merges with its siblings if the
-    blocked shares of both do not differ by APART standard errors.  Rows are only
-    ever summed by (host, template so far, segment), before which equal paths are summed.
+    Level by level, down to the longest path, a node's children are counted.  A child that
+    is alone, or whose blocked share differs from its siblings' by APART standard errors,
+    stays; one that does not differ merges with them.  Where labels cannot tell, as the child
+    or its siblings have none, it is a wildcard if its node has many children and it is a
+    small one, and stays otherwise.  Rows are only ever summed by (host, template so far,
+    segment), before which equal paths are summed; paths that have ended take no further part.
     """
     at = rows.withColumn("template", F.lit(""))
     node = ["host", "template"]
-    for level in range(LEVELS):
-        own = F.when(F.size("segments") > level, F.element_at("segments", F.lit(level + 1)))
-        at = at.withColumn("segment", own)
-        child = at.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    ended = [at.where(F.size("segments") == 0)]
+    depth = rows.agg(F.max(F.size("segments"))).collect()[0][0] or 0
+    for level in range(depth):
+        at = at.where(F.size("segments") > level).withColumn("segment", F.element_at("segments", F.lit(level + 1)))
+        child = at.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         whole = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
         rest_l, rest_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
         pooled = (F.col("all_b") + 1) / (F.col("all_l") + 2)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
-        differs = (F.col("l") > 0) & (rest_l > 0) & (F.abs(F.col("b") / F.col("l") - rest_b / rest_l) > APART * error)
+        told = (F.col("l") > 0) & (rest_l > 0)
+        differs = told & (F.abs(F.col("b") / F.col("l") - rest_b / rest_l) > APART * error)
         small = (F.col("children") > CHILDREN) & (F.col("n") < SHARE * F.col("all_n"))
         alone = F.col("children") == 1
-        named = child.join(whole, node).select(*node, "segment", F.when(alone | (differs & ~small), F.col("segment")).otherwise("*").alias("name"))
-        at = (
-            at.join(named, [*node, "segment"], "left")
-            .withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")))
-            .drop("segment", "name")
-        )
+        named = child.join(whole, node).select(*node, "segment", F.when(alone | differs | ~(told | small), F.col("segment")).otherwise("*").alias("name"))
+        at = at.join(named, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name")).drop("segment", "name").select(*ended[0].columns)
         at = kept(at)  # each level reads the one before three times
-    return at.withColumn("template", F.when(F.size("segments") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        ended.append(at.where(F.size("segments") == level + 1))
+    return reduce(DataFrame.unionAll, ended)
 
 
 def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, url: str = "url", reject: float = 0.5) -> DataFrame:
@@ -105,7 +105,7 @@ def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, url: str = "url"
     Urls that a rule fits have its verdict and are the labels.  Each host has a tree
     of path templates; a template's purity is its share of labelled rows that are
     blocked, smoothed by its host's, which is smoothed by all rows'.  A url without a
-    rule is blocked if its template's purity exceeds ``reject``.
+    rule is blocked if its host has labelled rows and its template's purity exceeds ``reject``.
 
     Rows meet by (host, shape of the path), summed beforehand, so a hot host costs its
     distinct shapes; the join back to the rows splits like any skewed join.  Edge cases:
@@ -114,9 +114,9 @@ def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, url: str = "url"
     nothing is blocked; an empty table gives an empty one; columns with the added names
     are replaced.
     """
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(*names, host.alias("host"), path.alias("path"))
+    pages, columns = boxed(pages, {"_url": url}, ("host", "path", "rule", "template", "purity", "verdict"))
+    host, path = host_and_path(F.col("_url"))
+    rows = pages.select("box", "_url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_verdict": verdict, "_shape": _shape(F.col("path"))})
     shapes = rows.groupBy("host", "_shape").agg(
@@ -129,12 +129,12 @@ def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, url: str = "url"
     pure = (
         by_template.join(by_host, "host").crossJoin(F.broadcast(overall))  # one row
         .withColumn("_host", (F.col("host_b") + SMOOTH * F.col("base")) / (F.col("host_l") + SMOOTH))
-        .select("host", "template", F.coalesce((F.col("b") + SMOOTH * F.col("_host")) / (F.col("l") + SMOOTH), F.lit(0.0)).alias("purity"))
+        .select("host", "template", "host_l", F.coalesce((F.col("b") + SMOOTH * F.col("_host")) / (F.col("l") + SMOOTH), F.lit(0.0)).alias("purity"))
     )
     known = tree.select("host", "_shape", "template").join(pure, ["host", "template"])
     return rows.join(known, ["host", "_shape"], "left").select(
-        *names, "host", "path", "rule", "template", F.round("purity", 9).alias("purity"),
-        F.coalesce("_verdict", F.when(F.round("purity", 9) > reject, "block").otherwise("allow")).alias("verdict"),
+        *columns, "host", "path", "rule", "template", F.round("purity", 9).alias("purity"),
+        F.coalesce("_verdict", F.when((F.col("host_l") > 0) & (F.round("purity", 9) > reject), "block").otherwise("allow")).alias("verdict"),
     )
 
 

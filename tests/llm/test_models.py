@@ -193,6 +193,69 @@ def test_url_tree_rejects_blocked_templates(spark):
     assert got["http://bad.com/fr/1"] == "block" and got["http://good.net/fr/1"] == "allow"
 
 
+def plain_tree(rows):
+    """Template and purity of each (host, path, blocked or not or None), by recursion over nested lists."""
+    shape = lambda p: tuple(re.sub("[0-9]+", "{n}", s) for s in p.split("/") if s)
+    template = {}
+
+    def walk(host, prefix, inside, level):
+        children = {}
+        for k in inside:
+            s = shape(rows[k][1])
+            if len(s) == level:
+                template[k] = prefix
+            else:
+                children.setdefault(s[level], []).append(k)
+        label = lambda ks: (sum(rows[k][2] is not None for k in ks), sum(bool(rows[k][2]) for k in ks))
+        every = [k for ks in children.values() for k in ks]
+        all_l, all_b = label(every)
+        names = {}
+        for c, ks in children.items():
+            n, b = label(ks)
+            rest, rest_b = all_l - n, all_b - b
+            stays = len(children) == 1
+            if n and rest:
+                pooled = (all_b + 1) / (all_l + 2)
+                stays |= abs(b / n - rest_b / rest) > urls.APART * math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))
+            else:
+                stays |= not (len(children) > urls.CHILDREN and len(ks) < urls.SHARE * len(every))
+            names.setdefault(c if stays else "*", []).extend(ks)
+        for name, ks in names.items():
+            walk(host, f"{prefix}/{name}", ks, level + 1)
+
+    hosts = {}
+    for k, r in enumerate(rows):
+        hosts.setdefault(r[0], []).append(k)
+    for host, inside in hosts.items():
+        walk(host, "", inside, 0)
+    label = lambda ks: (sum(rows[k][2] is not None for k in ks), sum(bool(rows[k][2]) for k in ks))
+    l, b = label(range(len(rows)))
+    base = b / max(l, 1)
+    purity = {}
+    for host, inside in hosts.items():
+        host_l, host_b = label(inside)
+        own = (host_b + urls.SMOOTH * base) / (host_l + urls.SMOOTH)
+        for t in {template[k] for k in inside}:
+            n, c = label([k for k in inside if template[k] == t])
+            purity[host, t] = ((c + urls.SMOOTH * own) / (n + urls.SMOOTH), host_l)
+    return [(template[k], *purity[rows[k][0], template[k]]) for k in range(len(rows))]
+
+
+def test_url_tree_against_recursion(spark):
+    r = np.random.default_rng(5)
+    paths = ["en/{}", "de/{}", "fr/{}/x", "a/b/c/d/e/{}", "a/b/c/d/f/{}", "", "w{}z/y"]
+    made = [f"http://{h}/{paths[r.integers(len(paths))].format(r.integers(50))}" for h in ("a.com", "b.net", "c.org", "none") for _ in range(70)]
+    made += [f"http://a.com/u{chr(97 + k % 26) * (k // 26 + 1)}/x" for k in range(60)] + ["http:///", "no"]
+    rules = (urls.Rule("block", "com", "/en/"), urls.Rule("allow", "a.com", "/de/"), urls.Rule("block", "a.com", "/a/b/c/d/e/"), urls.Rule("allow", "a.com", "/a/b/c/d/f/1"), urls.Rule("allow", "net", "/de/"), urls.Rule("block", "org", "/uc"))
+    got = {x.page_id: x for x in urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string").selectExpr("*", "'s' AS _shape", "1 AS box", "2 AS _verdict"), rules=rules).collect()}
+    marked = [(got[k].host, got[k].path, None if got[k].rule is None else got[k].verdict == "block") for k in range(len(made))]
+    assert {x.template.count("/") for x in got.values()} >= {0, 2, 6}
+    for k, (template, purity, labels) in enumerate(plain_tree(marked)):
+        assert got[k].template == template and abs(got[k].purity - purity) < 1e-8 and (got[k]._shape, got[k].box, got[k]._verdict) == ("s", 1, 2)
+        if got[k].rule is None:
+            assert got[k].verdict == ("block" if labels and round(purity, 9) > 0.5 else "allow")
+
+
 def test_pipeline_stages(spark, corpus, documents, tables):
     import corpus_pipeline as C
     from test_ngram_join import brute
