@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import kept, release
-from .words import SPACED, Words, chunks
+from .tables import boxed, kept, release
+from .words import SPACED, Words, chunks, trimmed
 
 #: Words of a minimiser.
 MINIMISER = 6
@@ -201,10 +201,12 @@ def _blocks(counter: _Sorted, rows: pa.Table, ends: np.ndarray) -> Iterator[pa.R
                 yield out
 
 
-def _cut(names: list[str], text: str, window: int):
+def _cut(window: int):
+    """Rows (box, text, runs) with the words of the runs removed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs = batch.column(names.index(text)), batch.column(batch.schema.get_field_index("runs"))
+            texts, runs = batch.column(1), batch.column(2)
             n_words, n_removed, left = [], [], []
             for value, own in zip(texts, runs, strict=True):
                 words = (value.as_py() or "").encode().split()
@@ -217,8 +219,8 @@ def _cut(names: list[str], text: str, window: int):
                 n_removed.append(n_words[-1] - len(words))
                 left.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())],
-                names=[*names, "n_words", "n_removed", "kept_text"],
+                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())],
+                names=["box", "_text", "n_words", "n_removed", "kept_text"],
             )
 
     return run
@@ -240,26 +242,27 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, text: str = "text", id:
     repeated rows (same id and text) count as occurrences of each other; a null id
     is an id like any other; columns of ``docs`` with the added names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "_d", "_k")]
-    base = docs.select(*names, F.coalesce(F.col(id).cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(F.col(text)).alias("_k"))
-    seen = kept(base.select("_d", "_k", text).mapInArrow(_occurrences(window), "mer long, _d long, _k long, first int, n int"))
-    often = seen.groupBy("mer").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    added = ("n_words", "n_removed", "kept_text")
+    base, columns = boxed(docs, {"_text": text, "_d": F.coalesce(F.col(id).cast("long"), F.lit(-1)), "_k": F.xxhash64(F.col(text))}, added)
+    seen = kept(base.select("_d", "_k", "_text").mapInArrow(trimmed(_occurrences(window)), "mer long, _d long, _k long, first int, n int"))
+    # a table of its own, so that a join with it can split a frequent minimiser's rows
+    often = kept(seen.groupBy("mer").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     runs = (
-        seen.join(often, "mer")
+        seen.join(often.hint("merge"), "mer")
         .select("_d", "_k", F.struct("mer", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("salts"), "first", "n").alias("run"))
         .distinct()
         .groupBy("_d", "_k")
         .agg(F.collect_list("run").alias("runs"))
     )
     runs = kept(runs)
-    release(seen)
-    with_runs = base.join(runs, ["_d", "_k"], "left").select("*", F.col(text).alias("_text")) if text != "_text" else base.join(runs, ["_d", "_k"], "left")
-    packed = with_runs.mapInArrow(_packed(window), "mer long, salts int, _d long, _k long, first int, packed binary")
+    release(seen, often)
+    with_runs = base.select("_d", "_k", "_text").join(runs, ["_d", "_k"])
+    packed = with_runs.mapInArrow(trimmed(_packed(window)), "mer long, salts int, _d long, _k long, first int, packed binary")
     bucketed = packed.withColumn("salt", F.pmod(F.xxhash64("_d", "_k", "first"), F.col("salts")).cast("int"))
     counted = (
         bucketed.repartition("mer", "salt")
         .sortWithinPartitions("mer", "salt")
-        .mapInArrow(_counted(window), "_d long, _k long, first int, n int, h1 long, h2 long, seen int")
+        .mapInArrow(trimmed(_counted(window)), "_d long, _k long, first int, n int, h1 long, h2 long, seen int")
     )
     counted = kept(counted)
     release(runs)
@@ -273,12 +276,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, text: str = "text", id:
         .select("x._d", "x._k", "x.first", F.lit(1).alias("n"))
     )
     covered = settled.union(across).groupBy("_d", "_k").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return (
-        base.join(covered, ["_d", "_k"], "left")
-        .select(*names, "runs")
-        .mapInArrow(_cut(names, text, window), schema + ", n_words long, n_removed long, kept_text string")
-    )
+    schema = f"box {base.schema['box'].dataType.simpleString()}, _text string, n_words long, n_removed long, kept_text string"
+    out = base.join(covered, ["_d", "_k"], "left").select("box", "_text", "runs").mapInArrow(trimmed(_cut(window)), schema)
+    return out.select(*columns, *added)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
