@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import ALNUM_FOLDED, Words, chunks
+from .tables import boxed
+from .words import ALNUM_FOLDED, Words, chunks, trimmed
 
 #: Windows of the benchmark that one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_WINDOWS = 1_000_000
@@ -98,7 +99,7 @@ def _count_shingles(docs: DataFrame, wanted: dict[int, np.ndarray], text: str) -
                 [pa.array(np.full(len(hit), k, np.int32)), pa.array(hit.astype(np.int64)), pa.array(s[hit])], names=["size", "at", "n"]
             )
 
-    rows = docs.select(text).mapInArrow(count, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(trimmed(count), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
     out = {k: np.zeros(len(v), np.int64) for k, v in wanted.items()}
     for r in rows:  # at most one row a shingle of this block
         out[r["size"]][r["at"]] = r["n"]
@@ -241,9 +242,10 @@ def contamination(
     only possible alignment, which must lie inside the document, and all words of
     the window are then compared (two 64-bit hashes of the word sequence).
 
-    Documents are never shuffled.  The benchmark is read in blocks of
-    ``block_windows`` windows, each broadcast (about 60 bytes a window) and each one
-    map over the documents, so its size bounds no memory.
+    Documents are never shuffled.  The benchmark passes through the driver in blocks of
+    ``block_windows`` windows, of which it holds two at a time; each is broadcast (about 60
+    bytes a window) and is one more map over the documents in the same plan, so executors
+    hold the whole benchmark's index: it must be small beside the documents.
 
     Edge cases: null and empty texts have no words and are clean; items without
     words match nothing; repeated items and rows count each for itself, an item id
@@ -251,24 +253,32 @@ def contamination(
     the names of the added ones are replaced.
     """
     spark = docs.sparkSession
-    added = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
-    base = docs.drop(*added)
-    names = base.columns
-    blocks: list[list[tuple[object, np.ndarray]]] = [[]]
-    for batch in benchmark.select(item, text).toLocalIterator(prefetchPartitions=False):
-        for _, h in _windows(pa.array([batch[1]], pa.string()), width):
-            if len(blocks[-1]) >= block_windows:
-                blocks.append([])
-            blocks[-1].append((batch[0], h))
-    out = base.withColumns({"_text": F.col(text), "_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        index = _build(block, base, text, shingle) if block else None
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-        schema += ", n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean" if last else ", _text string, _hit binary, _items array<string>"
-        order = [*names, *(added if last else ["_text", "_hit", "_items"])]
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(index), last, share, pa.schema([(n, pa.null()) for n in order])), schema)
-    return out
+    added = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
+    base, columns = boxed(docs, {"_text": text}, added)
+    out = base.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+
+    def blocks() -> Iterator[list[tuple[object, np.ndarray]]]:
+        block: list[tuple[object, np.ndarray]] = []
+        for name, value in benchmark.select(item, text).toLocalIterator(prefetchPartitions=False):
+            for _, h in _windows(pa.array([value], pa.string()), width):
+                if len(block) >= block_windows:
+                    yield block
+                    block = []
+                block.append((name, h))
+        yield block
+
+    passes = blocks()
+    block = next(passes)
+    last = False
+    while not last:
+        index = _build(block, base, "_text", shingle) if block else None
+        block = next(passes, None)
+        last = block is None
+        schema = f"box {base.schema['box'].dataType.simpleString()}, _text string, "
+        schema += "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean" if last else "_hit binary, _items array<string>"
+        order = ["box", "_text", *(added if last else ["_hit", "_items"])]
+        out = out.mapInArrow(trimmed(_pass(spark.sparkContext.broadcast(index), last, share, pa.schema([(n, pa.null()) for n in order]))), schema)
+    return out.select(*columns, *added)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
