@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import _BYTE_POWERS, _BYTE_VALUES, U64, chunks, mix
+from .words import _BYTE_POWERS, _BYTE_VALUES, U64, chunks, mix, trimmed
 
 #: Bytes of a window, windows of a neighbourhood, and neighbourhoods that a feature must lead.
 WINDOW, NEAR, LEADS = 64, 16, 4
@@ -23,7 +23,7 @@ BITS, HASHES, FULL = 2048, 5, 160
 RANKS = 1024
 #: Share of the way from chance to full overlap that counts as nothing.
 CUTOFF = 0.3
-_ROWS_A_PART, _PARTS = 8192, 4096
+_ROWS_A_PART, _PARTS = 8192, 1 << 16
 _BLOCK = 1 << 16
 
 # 32 classes of bytes: letters, white space, digits, signs and three of the rest
@@ -108,7 +108,7 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def precedence(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Place of each entropy class, rarest in all documents first; RANKS rows at most reach the driver."""
-    rows = docs.select(text).mapInArrow(_histogram, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(trimmed(_histogram), "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(RANKS, np.int64)
     for r in rows:
         count[r["rank"]] = r["n"]
@@ -208,7 +208,7 @@ def with_next(docs: DataFrame, text: str, id: str) -> DataFrame:
     parts = max(1, min(_PARTS, total // _ROWS_A_PART))
     cuts: list[int] = []
     if parts > 1:
-        points = base.select(F.percentile_approx("_o", [k / parts for k in range(1, parts)], 20 * parts).alias("p")).collect()[0][0]
+        points = base.select(F.percentile_approx("_o", [k / parts for k in range(1, parts)], max(10_000, 4 * parts)).alias("p")).collect()[0][0]
         cuts = sorted(set(points or []))
     own = F.lit(0)
 
@@ -228,7 +228,7 @@ def with_next(docs: DataFrame, text: str, id: str) -> DataFrame:
     dealt = base.withColumns({"part": own, "_host": host("_o")})
     places = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(F.col("_host").alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())
     rows = dealt.withColumn("x", F.explode(places)).select("x.part", "x.guest", "doc_id", "_o", "text")
-    return rows.repartition(max(1, len(least)), "part").sortWithinPartitions("part", "guest", "_o", "text").drop("_o")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "_o", "text").drop("_o")
 
 
 def _compare(place_held):
@@ -290,7 +290,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id") ->
     """
     held = docs.sparkSession.sparkContext.broadcast(precedence(docs, text))
     return with_next(docs, text, id).mapInArrow(
-        _compare(held), "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        trimmed(_compare(held)), "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 

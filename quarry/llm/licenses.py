@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .words import ALNUM_FOLDED, Words, chunks
+from .words import ALNUM_FOLDED, Words, chunks, trimmed
 
 # Well-known licence notices, and one-line forms of them.
 TEMPLATES = {
@@ -161,7 +161,9 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, coverage:
     Words are lower-cased runs of letters and digits.  Stretches of a text with enough
     words of a template are aligned with it by patience: words that occur once in both
     are anchors, the longest increasing run of them stands, and gaps are aligned
-    again.  A stretch is found if matches cover at least ``coverage`` of the template.
+    again.  A copy is found if matches inside one and a half template lengths (and a
+    word) cover at least ``coverage`` of the template; stretches that hold too few of its words
+    for that are not aligned.
 
     Templates are code-sized (a parameter); texts are read whole, row by row, no
     shuffle.  Edge cases: null and empty texts, and templates without words, find
@@ -208,7 +210,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, coverage:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "licences"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.select(*names).mapInArrow(run, schema + ", licences array<struct<name:string,coverage:double,start:long,end:long>>")
+    return docs.select(*names).mapInArrow(trimmed(run), schema + ", licences array<struct<name:string,coverage:double,start:long,end:long>>")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
