@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import components, kept, release
-from .words import SPACED_FOLDED, U64, Words, chunks, mix
+from .words import SPACED_FOLDED, U64, Words, chunks, mix, trimmed
 
 #: Counters of the sketch that orders shingles by rarity (one byte each once broadcast).
 SKETCH = 1 << 18
@@ -19,6 +19,8 @@ SMALL_BUCKET = 32
 #: Rows of a block of a large bucket, and of one tree.
 BLOCK, TREE = 512, 256
 _BITS = 1024
+#: Names of sets that a task remembers, to give a set's prefix once; one that is forgotten is given again.
+_RECENT = 1 << 16
 
 
 def _need(a, b, percent: int):
@@ -116,19 +118,23 @@ def _prefixes(n: int, percent: int, held):
 
     Two different linked sets share ``k = shared(percent)`` tokens among the first
     size - need(size, least partner) + k of the longer and, as the shorter leads, the
-    first size - need(size, size) + k of it.  A task gives a set once, however many of
-    its documents have it.
+    first size - need(size, size) + k of it.  A task gives a set once for as
+    long as it remembers it, however many of its documents have it.
     """
     k = shared(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, given = held.value, set()
+        classes, recent = held.value, np.zeros(_RECENT, U64)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 h, bounds = _sets(data, offsets, n)
                 size = np.diff(bounds)
                 nodes = _digests(h, bounds)
-                fresh = np.array([s > 0 and x not in given and (given.add(x) is None) for x, s in zip(nodes.tolist(), size.tolist(), strict=True)], bool)
+                slot = (nodes & U64(_RECENT - 1)).astype(np.int64)
+                fresh = np.zeros(len(nodes), bool)
+                fresh[np.unique(nodes, return_index=True)[1]] = True
+                fresh &= (size > 0) & (recent[slot] != nodes)
+                recent[slot[fresh]] = nodes[fresh]
                 doc = np.repeat(np.arange(len(size)), size)
                 use = fresh[doc]
                 key, doc = _order(h[use], classes), doc[use]
@@ -139,8 +145,6 @@ def _prefixes(n: int, percent: int, held):
                 take = at < s - -((-percent * s) // 100) + k
                 leads = at < s - _need(s, s, percent) + k
                 key, doc, leads = key[take], doc[take], leads[take]
-                if len(given) > 2_000_000:
-                    given.clear()
                 yield pa.RecordBatch.from_arrays([_long(key), pa.array(size[doc].astype(np.int32)), _long(nodes[doc]), pa.array(leads)], names=["token", "n", "node", "leads"])
 
     return run
@@ -400,17 +404,17 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     """
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    described = kept(base.mapInArrow(_describe(n), "kind byte, id long, node long, n int, bits array<long>"))
+    described = kept(base.mapInArrow(trimmed(_describe(n)), "kind byte, id long, node long, n int, bits array<long>"))
     sketch = described.where("kind = 1").groupBy("id").agg(F.sum("node").alias("n")).collect()  # at most SKETCH rows
     held = spark.sparkContext.broadcast(_classes(sketch))
     rows = described.where("kind = 0")
     classes = kept(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     found = kept(
         base.select("text")
-        .mapInArrow(_prefixes(n, percent, held), "token long, n int, node long, leads boolean")
+        .mapInArrow(trimmed(_prefixes(n, percent, held)), "token long, n int, node long, leads boolean")
         .repartition("token")
         .sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_Bucketed(percent), "kind byte, a long, b long, times long")
+        .mapInArrow(trimmed(_Bucketed(percent)), "kind byte, a long, b long, times long")
     )
 
     def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -418,15 +422,18 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
         two = classes.select(F.col("node").alias("b"), F.col("id").alias("b_id"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
         most = F.col("a_n") + F.col("b_n") - 2 * F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
         close = kept(pairs.join(one, "a").join(two, "b").where(_differing("a_bits", "b_bits") <= most).select("a", "b", "a_id", "b_id"))
-        probes = close.select("a", F.lit(0).alias("later"), F.col("a").alias("node"), F.col("a_id").alias("id")).distinct()
-        partners = close.select("a", F.lit(1).alias("later"), F.col("b").alias("node"), F.col("b_id").alias("id"))
+        # a node with many partners meets them in several trees of about TREE sets, each with its own copy of the node
+        trees = close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("trees"))
+        dealt = close.join(trees, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "trees"))
+        probes = dealt.select("a", "salt", F.lit(0).alias("later"), F.col("a").alias("node"), F.col("a_id").alias("id")).distinct()
+        partners = dealt.select("a", "salt", F.lit(1).alias("later"), F.col("b").alias("node"), F.col("b_id").alias("id"))
         out = kept(
             probes.union(partners)
             .join(texts, "id")
-            .repartition("a")
-            .sortWithinPartitions("a", "later")
+            .repartition("a", "salt")
+            .sortWithinPartitions("a", "salt", "later")
             .select("a", "later", "node", "id", "text")
-            .mapInArrow(_verified(n, percent, held), "a long, b long")
+            .mapInArrow(trimmed(_verified(n, percent, held)), "a long, b long")
         )
         release(close)
         return out
@@ -448,7 +455,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "component", "bits")
             .repartition("token", "i", "j")
             .sortWithinPartitions("token", "i", "j")
-            .mapInArrow(_across(percent, nearest), "a long, b long")
+            .mapInArrow(trimmed(_across(percent, nearest)), "a long, b long")
             .distinct()
         )
         if met.isEmpty():

@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import Pieces
+from .words import trimmed
 
 #: Tokens a task holds before it packs them, and what it leaves for the next such block.
 BLOCK_TOKENS, RESERVE_TOKENS = 1 << 21, 1 << 17
-_TEXTS = 256
+#: Texts, and their bytes, that are split into pieces together.
+_TEXTS, _BYTES = 256, 1 << 20
 
 
 def fill(counts: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
@@ -112,7 +115,7 @@ _PIECES: dict[tuple, Pieces] = {}
 
 
 def _pieces(paths: tuple[str, str, str]) -> Pieces:
-    """One per worker process: its memory of words outlives a task."""
+    """One per worker process: its memory of words, of a fixed size, outlives a task."""
     if paths not in _PIECES:
         _PIECES[paths] = Pieces(*paths)
     return _PIECES[paths]
@@ -136,9 +139,14 @@ def _pack(size: int, paths: tuple[str, str, str], end_id: int):
             return rows
 
         for rows in batches:
-            for at in range(0, rows.num_rows, _TEXTS):
-                docs = rows.column(0).slice(at, _TEXTS).to_pylist()
-                texts = [x or "" for x in rows.column(1).slice(at, _TEXTS).to_pylist()]
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < rows.num_rows:
+                room = _BYTES + (sizes[at - 1] if at else 0)
+                after = min(at + _TEXTS, max(at + 1, int(np.searchsorted(sizes, room, "right"))))
+                docs = rows.column(0).slice(at, after - at).to_pylist()
+                texts = [x or "" for x in rows.column(1).slice(at, after - at).to_pylist()]
+                at = after
                 for doc, ids in zip(docs, pieces.encode(texts), strict=True):
                     out += packer.add(doc, np.concatenate([ids, end]))
                 if packer.total > BLOCK_TOKENS:
@@ -177,7 +185,7 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 1, text: str = "tex
     other columns of ``docs`` are not read.
     """
     return docs.select(F.col(id).cast("long"), F.col(text)).mapInArrow(
-        _pack(size, paths or default_paths(), end_id), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        trimmed(_pack(size, paths or default_paths(), end_id)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 

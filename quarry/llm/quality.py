@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import _BYTE_POWERS, _BYTE_VALUES, U64, chunks, mix
+from .words import _BYTE_POWERS, _BYTE_VALUES, U64, chunks, mix, trimmed
 
 #: Labelled rows that the model is fitted on, at most: those of least hash.
 SAMPLE_ROWS = 6_000
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
         model = train(rows["_text"].combine_chunks(), rows["_label"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    found = rows.select(F.col("_id").cast("long"), "_text", "_label").repartition(1).mapInArrow(one, "model binary").collect()
+    found = rows.select(F.col("_id").cast("long"), "_text", "_label").repartition(1).mapInArrow(trimmed(one), "model binary").collect()
     return pickle.loads(found[0][0]) if found else _empty(0.5)
 
 
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    scored = docs.select(*names).mapInArrow(run, schema + ", score double")
+    scored = docs.select(*names).mapInArrow(trimmed(run), schema + ", score double")
     return scored.select(*names, _held_out(id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
+import itertools
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -11,8 +14,8 @@ from .words import U64, _Powers, mix
 
 #: The strings that the vocabulary's tokenizer file takes for one token wherever they stand.
 SPECIAL = "<|endoftext|>"
-#: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-CACHE_PIECES = 800_000
+#: Slots of a worker's memory of pieces (14 bytes each), and ids it holds before it starts afresh.
+CACHE_SLOTS, CACHE_IDS = 1 << 18, 1 << 20
 
 _POWERS = _Powers(0xC2B2AE3D27D4EB4F)
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
@@ -40,34 +43,45 @@ class Pieces:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.json_path = json_path
         self.kinds, self.values = _tables()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.merges = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(json_path)
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-
-    def _remember(self, hashes: list[int], pieces: list[str]) -> None:
-        n, used = len(self.slots), int(self.ends[len(self.slots) - 1]) if self.slots else 0
-        if n + len(hashes) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(hashes), n), np.int64)])
-        encode = self.merges._encode_single_piece
-        for h, piece in zip(hashes, pieces, strict=True):
-            ids = encode(piece)
-            if used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), used), np.uint32)])
-            self.flat[used : used + len(ids)] = ids
-            used += len(ids)
-            self.slots[h] = n
-            self.ends[n] = used
-            n += 1
+        self.flat = np.zeros(CACHE_IDS, np.uint32)
+        self.names = np.zeros(CACHE_SLOTS, U64)  # the piece whose ids a slot holds
+        self.first = np.zeros(CACHE_SLOTS, np.int32)
+        self.sizes = np.zeros(CACHE_SLOTS, np.uint16)  # 0: empty
+        self.used = 0
+
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself; only texts with the special string need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
+    def _look_up(self, hashes: np.ndarray, piece: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size) of distinct pieces: remembered ones from their slots, the others merged and put there."""
+        slot = (hashes & U64(CACHE_SLOTS - 1)).astype(np.int64)
+        known = (self.sizes[slot] > 0) & (self.names[slot] == hashes)
+        new = np.flatnonzero(~known).tolist()
+        merged = [self.merges._encode_single_piece(piece(k)) for k in new]
+        n = np.fromiter(map(len, merged), np.int64, len(merged))
+        fresh = np.fromiter(itertools.chain.from_iterable(merged), np.uint32, int(n.sum()))
+        first, size = self.first[slot].astype(np.int64), self.sizes[slot].astype(np.int64)
+        first[new] = self.used + np.cumsum(n) - n
+        size[new] = n
+        ids = np.concatenate([self.flat[: self.used], fresh])
+        if self.used + len(fresh) > CACHE_IDS:
+            self.sizes[:], self.used = 0, 0
+        elif len(new):
+            self.flat[self.used : self.used + len(fresh)] = fresh
+            keep = np.asarray(new)[n < 1 << 16]
+            self.names[slot[keep]], self.first[slot[keep]], self.sizes[slot[keep]] = hashes[keep], first[keep], size[keep]
+            self.used += len(fresh)
+        return ids, first, size
 
     def starts(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Positions at which pieces begin; bounds: where texts begin and end."""
@@ -118,16 +132,9 @@ class Pieces:
         np.cumsum(self.values[points] * up[: len(points)], out=sums[1:])
         hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64) * U64(0x9FB21C651E98DF25))
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > CACHE_PIECES:
-            self._fresh()
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slots]
-        self._remember([keys[k] for k in new], [joined[begin[where[k]] : end[where[k]]] for k in new])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
-        after = self.ends[slot]
-        before = np.where(slot > 0, self.ends[slot - 1], 0)
-        size = (after - before)[inverse]
+        known, before, sizes_of = self._look_up(distinct, lambda k: joined[begin[where[k]] : end[where[k]]])
+        size = sizes_of[inverse]
         stop = np.cumsum(size)
-        ids = self.flat[np.repeat(before[inverse] - (stop - size), size) + np.arange(stop[-1])]
+        ids = known[np.repeat(before[inverse] - (stop - size), size) + np.arange(stop[-1])]
         cut = np.concatenate([[0], stop])[np.searchsorted(begin, bounds)]
         return [odd.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
