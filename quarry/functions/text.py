@@ -41,7 +41,8 @@ BOUNDARY = r"(?:[.!?](?:\s|[)\"”])+(?=[A-Z\"“(\[])|\n\s*\n|</tr>|</table>)"
 
 TOC_LINE = r"(?m)^[^\n]*?\.{8,}\s*\d+\s*$\n?"
 PAGE_HEADERS = (r"(?i)Project\s+Description:?\s+VCS\s+Version\s+[\d.]+", r"(?i)<!--\s*PAGE\s+BREAK\s*-->")
-CAPACITY = r"(?i)\d+(?:[.,]\d+)?\s*(?:MW|kW|GW)"
+# Fixed value: a stated capacity.
+CAPACITY = r"(?i)\d+(?:\.\d+)?\s*[MkG]W(?:e|th|p)?\b"
 
 
 def tokens(text: Column) -> Column:

@@ -21,10 +21,10 @@ def bm25(queries: DataFrame, index: Index, query: str, column: str, allowed: Dat
     """(qid, doc, score) of every pair that shares a term (R02, J07); repeats of a query's term count as often.
 
     Query terms are summed first; postings meet them by term.  allowed(doc) masks
-    documents before scoring (F07).
+    documents before scoring (F07); an empty one masks nothing.
     """
     terms = queries.select(F.col(query).alias("qid"), F.explode(text.tokens(F.col(column))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    postings = index.postings if allowed is None else index.postings.join(allowed.select("doc").distinct(), "doc", "left_semi")
+    postings = index.postings if allowed is None or allowed.isEmpty() else index.postings.join(allowed.select("doc").distinct(), "doc", "left_semi")
     long = index.stats.crossJoin(F.broadcast(index.totals.select("avgdl"))).select("doc", (K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), "avgdl"))).alias("norm"))  # one row
     weighed = terms.join(index.terms.select("term", "idf"), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     return (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
-from quarry.operators import evaluate, fusion, index, retrieve, sampling
+from quarry.operators import evaluate, filters, fusion, index, retrieve, sampling
 
+from .code_queries import VERSIONS
 from .registry import query, rows, table
 from .retrieval_queries import SCORED
 
@@ -272,17 +273,51 @@ def feature_rerank(spark, sf_dir):
     return s.select("qid", "code", "rank", F.row_number().over(w.orderBy(F.round("score", 9).desc(), "rank")).alias("new_rank"))
 
 
-@query("P16_filtered_first", f"SELECT qid, coalesce(arg_min(code, rank) FILTER (WHERE code % 3 <> 0), arg_min(code, rank)) AS code FROM ({CAND}) GROUP BY qid")
+LISTS = f"SELECT c.qid AS gid, c.rank, c.code, CAST(o.o_orderdate AS DATE) AS d FROM ({CAND}) c JOIN orders o ON o.o_orderkey = c.qid WHERE c.rank <= 5"
+#: Last day and withdrawal of each code, and which places of a list they let stand.
+LASTS = f"SELECT code, max(CAST(status = 'Withdrawn' AS INT)) AS w, max(coalesce(et, DATE '9999-12-31')) AS last FROM ({VERSIONS}) GROUP BY code"
+JUDGED = f"SELECT l.*, d IS NOT NULL AND (coalesce(w = 1, FALSE) OR coalesce(last < d, FALSE)) AS invalid FROM ({LISTS}) l LEFT JOIN ({LASTS}) v ON v.code = l.code"
+
+
+def judged(spark, sf_dir):
+    return filters.invalid_at(rows(spark, sf_dir, LISTS), rows(spark, sf_dir, VERSIONS))
+
+
+@query("P16_filtered_first", f"SELECT gid, coalesce(arg_min(code, rank) FILTER (WHERE NOT invalid), arg_min(code, rank)) AS code FROM ({JUDGED}) GROUP BY gid")
 def filtered_first(spark, sf_dir):
-    """First valid candidate, else the first."""
-    valid = F.min_by("code", F.when(F.col("code") % 3 != 0, F.col("rank")))
-    return rows(spark, sf_dir, CAND).groupBy("qid").agg(F.coalesce(F.when(F.max((F.col("code") % 3 != 0).cast("int")) == 1, valid), F.min_by("code", "rank")).alias("code"))
+    """First candidate that is valid at the project's date, else the first."""
+    valid = F.min(F.when(~F.col("invalid"), F.struct("rank", "code")))
+    return judged(spark, sf_dir).groupBy("gid").agg(F.coalesce(valid, F.min(F.struct("rank", "code")))["code"].alias("code"))
+
+
+#: The truth of a list: the part of the order's last line.
+LAST_LINE = "SELECT l_orderkey AS gid, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS gt FROM lineitem GROUP BY 1"
+COUNTERED = f"WITH j AS (SELECT l.*, NOT ((NOT EXISTS (SELECT 1 FROM v WHERE v.code = l.code)) OR EXISTS (SELECT 1 FROM v WHERE v.code = l.code AND d BETWEEN coalesce(ef, DATE '1900-01-01') AND coalesce(et, DATE '2099-12-31'))) AS invalid FROM ({LISTS}) l), f AS (SELECT gid, arg_min(code, rank) AS old, coalesce(arg_min(code, rank) FILTER (WHERE NOT invalid), arg_min(code, rank)) AS new FROM j GROUP BY gid)"
 
 
-@query("M19_date_counterfactual", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(first % 3 <> 0) AS BIGINT) AS kept FROM (SELECT qid, arg_min(code, rank) first FROM ({CAND}) GROUP BY qid)")
+@query("M19_date_counterfactual", f"WITH v AS ({VERSIONS}), {COUNTERED[5:]} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(old = gt) AS BIGINT) AS hits, CAST(count_if(new = gt) AS BIGINT) AS filtered_hits, CAST(count_if(old <> gt AND new = gt) AS BIGINT) AS fixed, CAST(count_if(old = gt AND new <> gt) AS BIGINT) AS broken FROM f JOIN ({LAST_LINE}) USING (gid)")
 def counterfactual(spark, sf_dir):
-    """How many first choices a filter lets stand."""
-    return rows(spark, sf_dir, CAND).groupBy("qid").agg(F.min_by("code", "rank").alias("first")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") % 3 != 0).alias("kept"))
+    """First places with and without the strict date filter, against the truth."""
+    lists = rows(spark, sf_dir, LISTS)
+    held = filters.valid_at(lists.select("gid", "code", "d").distinct(), rows(spark, sf_dir, VERSIONS)).select("gid", "code", "valid")
+    place = F.struct("rank", "code")
+    first = lists.join(held, ["gid", "code"]).groupBy("gid").agg(F.min(place)["code"].alias("old"), F.min(F.when(F.col("valid"), place))["code"].alias("new")).withColumn("new", F.coalesce("new", "old"))
+    both = first.join(truths(spark, sf_dir), "gid").select((F.col("old") == F.col("gt")).alias("a"), (F.col("new") == F.col("gt")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(a).alias("hits"), F.count_if(b).alias("filtered_hits"), F.count_if(~a & b).alias("fixed"), F.count_if(a & ~b).alias("broken"))
+
+
+def truths(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("gid")).agg(F.max(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("gt"))
+
+
+@query("M20_conservative_dates", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(truth_invalid) AS BIGINT) AS truths_lost, round(avg(excluded), 6) AS mean_excluded, CAST(count_if(excluded = size) AS BIGINT) AS emptied FROM (SELECT gid, count(*) size, count_if(invalid) excluded, coalesce(bool_or(invalid AND code = gt), FALSE) truth_invalid FROM ({JUDGED}) JOIN ({LAST_LINE}) USING (gid) GROUP BY gid)")
+def conservative_dates(spark, sf_dir):
+    """Conservative date filter on lists of five: truths it excludes, places it excludes on average, lists it empties."""
+    each = judged(spark, sf_dir).join(truths(spark, sf_dir), "gid").groupBy("gid").agg(
+        F.count(F.lit(1)).alias("size"), F.count_if("invalid").alias("excluded"), F.max((F.col("invalid") & (F.col("code") == F.col("gt"))).cast("int")).alias("lost")
+    )
+    return each.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lost") == 1).alias("truths_lost"), F.round(F.avg("excluded"), 6).alias("mean_excluded"), F.count_if(F.col("excluded") == F.col("size")).alias("emptied"))
 
 
 SWEEP = [("default", 0.5, 0.5), ("bm25_heavy", 0.7, 0.3), ("other_heavy", 0.3, 0.7), ("only_bm25", 1.0, 0.0)]

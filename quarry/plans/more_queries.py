@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stats
 from quarry.functions import text as T
-from quarry.operators import evaluate, filters, index, retrieve, sections
+from quarry.operators import evaluate, fusion, index, retrieve, sections
 from quarry.sources import landed
 
 from . import recommend
-from .code_queries import DATED, VERSIONS
-from .evaluation_queries import CAND, RANKS, USE, purity_sql, ranks
+from .evaluation_queries import RANKS, USE, purity_sql, ranks
 from .registry import ORACLES, SPLICED, query, rows, table
 from .system_queries import _inputs, _landed
 from .text_queries import ANY, COVERED
@@ -85,12 +84,41 @@ def multipliers(spark, sf_dir):
     return scale_signal(spark, sf_dir).where("signal < 1").withColumnRenamed("signal", "multiplier")
 
 
-@query("P15_usage_prior_rerank", f"WITH n AS (SELECT l_partkey code, count(*) n FROM lineitem GROUP BY 1) SELECT qid, code, rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY n DESC, rank) AS INT) AS new_rank FROM ({CAND}) JOIN n USING (code)")
+#: Lists of open orders: brands in the order of their first line, the group of a brand and of the truth (the last line's), the country; finished orders are the records that the prior counts.
+LIST = "SELECT l.l_orderkey AS qid, l.l_linenumber, l.l_partkey, p.p_brand AS code, substr(p.p_brand, 1, 7) AS grp, o.o_orderstatus AS status, n.n_name AS country, r.r_name AS region FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey"
+ALPHA = 0.0
+
+
+@query(
+    "P15_usage_prior_rerank",
+    f"""WITH l AS ({LIST}), c AS (SELECT qid, code, grp, min(country) country, min(region) region, row_number() OVER (PARTITION BY qid ORDER BY min(l_linenumber), code) rank FROM l WHERE status = 'O' GROUP BY qid, code, grp),
+    t AS (SELECT qid, arg_max(grp, l_linenumber * 1000000 + l_partkey) own FROM l WHERE status = 'O' GROUP BY qid), p AS (SELECT grp, country, region, code, count(*) n FROM l WHERE status <> 'O' GROUP BY ALL),
+    m AS (SELECT c.qid, c.code, c.rank, row_number() OVER (PARTITION BY c.qid ORDER BY c.rank) j, count(*) OVER (PARTITION BY c.qid) nc,
+      coalesce((SELECT sum(n) FROM p WHERE p.grp = c.grp AND p.country = c.country AND p.code = c.code), 0) a, coalesce((SELECT sum(n) FROM p WHERE p.grp = c.grp AND p.region = c.region AND p.code = c.code), 0) b, coalesce((SELECT sum(n) FROM p WHERE p.grp = c.grp AND p.code = c.code), 0) g FROM c JOIN t ON t.qid = c.qid AND t.own = c.grp WHERE c.rank <= 5),
+    s AS (SELECT *, CASE WHEN max(a) OVER w > 0 THEN a WHEN max(b) OVER w > 0 THEN b ELSE g END x FROM m WINDOW w AS (PARTITION BY qid)), k AS (SELECT *, {ALPHA} * (nc - j + 1) / nc + {1 - ALPHA} * x / greatest(max(x) OVER (PARTITION BY qid), 1) score FROM s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank) turn FROM k), slots AS (SELECT qid, j, rank FROM m)
+    SELECT c.qid, c.code, CAST(c.rank AS INT) AS rank, CAST(coalesce(slots.rank, c.rank) AS INT) AS new_rank FROM c LEFT JOIN o ON o.qid = c.qid AND o.code = c.code LEFT JOIN slots ON slots.qid = o.qid AND slots.j = o.turn WHERE c.rank <= 5""",
+)
 def usage_prior(spark, sf_dir):
-    """Candidates by how often their code is used (weight 0 for the base order)."""
-    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("qid").orderBy(F.desc("n"), "rank")
-    return rows(spark, sf_dir, CAND).join(n, "code").select("qid", "code", "rank", F.row_number().over(order).alias("new_rank"))
+    """Members of the truth's group by how often finished records of the country, else the region, else anywhere use them; others keep their place.
+
+    The level is the first at which any member has a record; ALPHA weighs the base order.
+    """
+    l = rows(spark, sf_dir, LIST)
+    open_, first = l.where("status = 'O'"), F.min("l_linenumber")
+    lists = open_.groupBy("qid", "code", "grp").agg(first.alias("line"), F.min("country").alias("country"), F.min("region").alias("region"))
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("line", "code"))).where("rank <= 5")
+    own = open_.groupBy("qid").agg(F.max(F.struct("l_linenumber", "l_partkey", "grp"))["grp"].alias("own"))
+    c = lists.join(own, "qid").withColumn("member", F.col("own") == F.col("grp"))
+    used = l.where("status <> 'O'").groupBy("grp", "country", "region", "code").agg(F.count(F.lit(1)).alias("n"))
+    w, levels = Window.partitionBy("qid", "member"), (["grp", "country", "code"], ["grp", "region", "code"], ["grp", "code"])
+    for k, level in enumerate(levels):
+        c = c.join(used.groupBy(*level).agg(F.sum("n").alias(f"n{k}")), level, "left").fillna(0, [f"n{k}"])
+    prior = F.when(F.max("n0").over(w) > 0, F.col("n0")).when(F.max("n1").over(w) > 0, F.col("n1")).otherwise(F.col("n2"))
+    scored = c.withColumns({"prior": prior, "size": F.count(F.lit(1)).over(w), "j": F.row_number().over(w.orderBy("rank"))})
+    combined = ALPHA * (F.col("size") - F.col("j") + 1) / F.col("size") + (1 - ALPHA) * F.col("prior") / F.greatest(F.max("prior").over(w), F.lit(1))
+    moved = fusion.slot_rerank(scored.withColumn("new_score", combined).select("qid", "code", "rank", "member", "new_score"))
+    return lists.select("qid", "code", "rank").join(moved.withColumnRenamed("rank", "new_rank"), ["qid", "code"])
 
 
 PAIR = "CAST(count(*) AS BIGINT) AS n, CAST(count_if(coalesce(rank <= {0}, FALSE) AND NOT coalesce(rank_b <= {0}, FALSE)) AS BIGINT) AS b, CAST(count_if(NOT coalesce(rank <= {0}, FALSE) AND coalesce(rank_b <= {0}, FALSE)) AS BIGINT) AS c"
@@ -120,11 +148,6 @@ def old_new(spark, sf_dir):
     return ranks(spark, sf_dir).agg(F.round(F.avg(stats.hit(F.col("rank_b"), 1)) - F.avg(stats.hit(F.col("rank"), 1)), 6).alias("delta"))
 
 
-@query("M20_conservative_dates", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(invalid) AS BIGINT) AS excluded FROM (" + ORACLES["F04_conservative_validity"] + ")")
-def conservative_dates(spark, sf_dir):
-    return filters.invalid_at(rows(spark, sf_dir, DATED), rows(spark, sf_dir, VERSIONS)).agg(F.count(F.lit(1)).alias("n"), F.count_if("invalid").alias("excluded"))
-
-
 @query("A19_approximate")
 def approximate(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("middle"))

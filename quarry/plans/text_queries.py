@@ -146,19 +146,21 @@ def section_a(spark, sf_dir):
     return sections.extract_section_a(rows(spark, sf_dir, COVERED)).select("doc_id", "template", "start", "end", "method", "status")
 
 
+RICH = COVERED.replace("ELSE '' END, text) AS text", "ELSE '' END, text, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN concat(chr(10), 'B.3 Project Boundary', chr(10), 'inside 12 MWe', chr(10), 'Monitoring Plan', chr(10), 'daily', chr(10), 'B.4 Baseline', chr(10), 'Parameters Monitored', chr(10), 'last') WHEN 1 THEN concat(chr(10), 'See monitoring here <table><tr>1</tr></table> of 5 kW now') ELSE '' END) AS text")
+
+
 @query("T23_rich_text")
 def rich_text(spark, sf_dir):
-    """Section A, else the window of 600 signs around the first capacity, else the head."""
-    own = sections.extract_section_a(rows(spark, sf_dir, COVERED))
-    at = F.regexp_instr("text", F.lit(T.CAPACITY))
-    tier = F.when(F.col("section_text").isNotNull(), 1).when(at > 0, 2).otherwise(3)
-    value = F.coalesce("section_text", F.when(at > 0, F.substring(F.col("text"), F.greatest(at - 600, F.lit(1)), F.lit(1200))), F.substring("text", 1, 4000))
-    return own.select("doc_id", tier.alias("tier"), F.length(value).alias("n_chars"))
+    """Section A with facts of section B, or tables, or the surroundings of a capacity, else the head."""
+    return sections.rich_text(rows(spark, sf_dir, RICH)).select("doc_id", "template", "tier", "n_facts", "n_tables", F.length("rich_text").alias("n_chars"), F.md5("rich_text").alias("digest"))
 
 
-NAMED = "SELECT doc_id, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'x_VPA-DD_v2.pdf' WHEN 1 THEN 'cpa-12.pdf' WHEN 2 THEN 'Joint Project.pdf' ELSE 'plain.pdf' END AS name, concat(CASE CAST(doc_id % 11 AS INT) WHEN 3 THEN 'Grouped project ' WHEN 4 THEN 'CDM-PDD-Form ' WHEN 5 THEN 'Programme of Activities ' WHEN 6 THEN 'Document prepared by X ' WHEN 7 THEN 'Project Description: VCS Version ' WHEN 8 THEN 'Gold Standard for the Global Goals ' ELSE '' END, text) AS text FROM documents"
+NAMED = "SELECT doc_id, CASE CAST(doc_id % 13 AS INT) WHEN 0 THEN 'x_VPA-DD_v2.pdf' WHEN 1 THEN 'cpa-12.pdf' WHEN 2 THEN 'Joint Project.pdf' WHEN 3 THEN 'VPA-DD of PoA-DD.pdf' WHEN 4 THEN 'SD VISTA PoA-DD.pdf' WHEN 5 THEN 'x CCB-PDD.pdf' WHEN 6 THEN '1234-VCS-Project.pdf' ELSE 'plain.pdf' END AS name, CASE WHEN doc_id % 17 = 16 THEN concat(chr(9), chr(10), ' ') ELSE concat(CASE CAST(doc_id % 11 AS INT) WHEN 3 THEN 'Grouped project ' WHEN 4 THEN 'CDM-PDD-Form ' WHEN 5 THEN 'Programme of Activities ' WHEN 6 THEN 'Document prepared by X ' WHEN 7 THEN 'Project Description: VCS Version ' WHEN 8 THEN 'Gold Standard for the Global Goals ' WHEN 9 THEN 'CPA-W-015 Document Prepared by Y ' ELSE '' END, text) END AS text FROM documents"
 BODY_CASE = " ".join(f"WHEN regexp_matches(upper(left(text, 5000)), '{p}') THEN '{k}'" for p, k in sections.BODY_TYPES)
-TYPE_SQL = f"CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(upper(name), 'VPA[-_]DD|RVPA') THEN 'GS-VPA-DD' WHEN regexp_matches(upper(name), 'CPA[-_]DD|CPA[-_]\\d') THEN 'CDM-CPA-DD' WHEN regexp_matches(upper(name), 'POA[-_]DD|POA[-_]\\d') THEN 'GS-PoA-DD' WHEN regexp_matches(upper(name), 'JOINT[-_\\s]?PROJECT') THEN 'VCS-Joint' {BODY_CASE} WHEN regexp_matches(left(text, 1000), '(?i)Document\\s+Prepared\\s+by') THEN 'VCS-PD' ELSE 'unknown' END"
+# the names are of the input above, so the file's tier is written out for each
+TYPE_SQL = f"""CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty' WHEN name IN ('SD VISTA PoA-DD.pdf', 'x CCB-PDD.pdf') THEN 'SD-VISta' WHEN name = 'Joint Project.pdf' THEN 'VCS-Joint' WHEN name = 'VPA-DD of PoA-DD.pdf' THEN 'GS-PoA-DD'
+  WHEN name = 'cpa-12.pdf' THEN CASE WHEN (CASE {BODY_CASE} ELSE '' END) = 'VCS-PD' THEN 'VCS-CPA-component' ELSE 'CDM-CPA-DD' END WHEN name = 'x_VPA-DD_v2.pdf' THEN 'GS-VPA-DD' {BODY_CASE}
+  WHEN name = '1234-VCS-Project.pdf' OR regexp_matches(left(text, 1000), '(?i)document\\s+prepared\\s+by') THEN CASE WHEN regexp_matches(left(text, 300), '(?i)cpa[-\\s]?[a-z]?[-\\s]?[0-9]{{1,4}}\\b') THEN 'VCS-CPA-component' ELSE 'VCS-PD' END ELSE 'unknown' END"""
 CLASS_CASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sections.CLASSES.items()) + " END"
 
 
@@ -168,7 +170,7 @@ def document_type(spark, sf_dir):
     return rows(spark, sf_dir, NAMED).select("doc_id", kind.alias("kind")).withColumn("class", sections.semantic_class(F.col("kind")))
 
 
-@query("A06_type_tallies", f"SELECT coalesce(lang, 'all') AS lang, coalesce(kind, 'all') AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT d.lang, {TYPE_SQL} AS kind FROM ({NAMED}) JOIN documents d USING (doc_id)) GROUP BY GROUPING SETS ((lang, kind), (kind), ())".replace("left(text", "left(n.text").replace("trim(text", "trim(n.text").replace(f"({NAMED}) JOIN", f"({NAMED}) n JOIN"))
+@query("A06_type_tallies", f"SELECT coalesce(lang, 'all') AS lang, coalesce(kind, 'all') AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT d.lang, {TYPE_SQL} AS kind FROM ({NAMED}) JOIN documents d USING (doc_id)) GROUP BY GROUPING SETS ((lang, kind), (kind), ())".replace("left(text", "left(n.text").replace("matches(text", "matches(n.text").replace(f"({NAMED}) JOIN", f"({NAMED}) n JOIN"))
 def type_tallies(spark, sf_dir):
     typed = rows(spark, sf_dir, NAMED).select("doc_id", sections.doc_type(F.col("name"), F.col("text")).alias("kind")).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     sets = typed.groupingSets([["lang", "kind"], ["kind"], []], "lang", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -245,9 +247,11 @@ def greedy_json(spark, sf_dir):
     return rows(spark, sf_dir, NOISY).select("event_id", T.json_object(F.col("t")).alias("obj"))
 
 
-@query("D18_balanced_json", "SELECT event_id, props AS obj, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("D18_balanced_json", "SELECT event_id, props AS obj, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN concat('[', props, ']') END AS list FROM events")
 def balanced_json(spark, sf_dir):
-    own = rows(spark, sf_dir, NOISY).select("event_id", sections.json_part("t").alias("obj"))
+    """The first object of an answer, and the fenced array of another; an array that does not parse is none."""
+    fenced = F.concat(F.lit("Here [1, x\n```json\n["), "props", F.when(F.col("event_id") % 2 == 0, "]\n``` end").otherwise("\n``` end"))
+    own = rows(spark, sf_dir, NOISY.replace("SELECT event_id,", "SELECT event_id, props,", 1)).select("event_id", sections.json_part("t").alias("obj"), sections.json_list(fenced).alias("list"))
     return own.withColumn("k", F.get_json_object("obj", "$.k").cast("long"))
 
 
@@ -259,12 +263,12 @@ def choice(spark, sf_dir):
     return rows(spark, sf_dir, SAID).select("conv_id", "turn", T.choice(F.col("t")).alias("choice"))
 
 
-CAP = "SELECT o_orderkey, concat('plant of ', CAST(o_orderkey % 30 AS STRING), CASE o_orderkey % 3 WHEN 0 THEN ' MW' WHEN 1 THEN ' people' ELSE ',5kW' END) AS t FROM orders"
+CAP = "SELECT o_orderkey, concat('plant of ', CAST(o_orderkey % 30 AS STRING), CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN ' MW' WHEN 1 THEN ' people' WHEN 2 THEN '.5kWp' WHEN 3 THEN ' MWh' WHEN 4 THEN ' MWe.' WHEN 5 THEN ',5 gwth' WHEN 6 THEN ' kWh, 3 MW' ELSE ' MWs' END) AS t FROM orders"
 
 
-@query("D21_capacity", f"SELECT o_orderkey, regexp_matches(t, '{T.CAPACITY}') AS stated FROM ({CAP})")
+@query("D21_capacity", "SELECT o_orderkey, o_orderkey % 8 IN (0, 2, 4, 5, 6) AS stated, CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN concat(CAST(o_orderkey % 30 AS STRING), ' MW') WHEN 2 THEN concat(CAST(o_orderkey % 30 AS STRING), '.5kWp') WHEN 4 THEN concat(CAST(o_orderkey % 30 AS STRING), ' MWe') WHEN 5 THEN '5 gwth' WHEN 6 THEN '3 MW' ELSE '' END AS value FROM orders")
 def capacity(spark, sf_dir):
-    return rows(spark, sf_dir, CAP).select("o_orderkey", F.col("t").rlike(T.CAPACITY).alias("stated"))
+    return rows(spark, sf_dir, CAP).select("o_orderkey", F.col("t").rlike(T.CAPACITY).alias("stated"), F.regexp_extract("t", T.CAPACITY, 0).alias("value"))
 
 
 @query("S23_html_index", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a[^>]+href=\"([^\"]+)\"', 1)) AS BIGINT) AS n_links, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) AS title FROM pages")

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import codes, stats, text
@@ -167,3 +168,89 @@ def test_program_dedupe_and_split(spark):
     s = spark.range(100).withColumn("s", F.col("id") % 2)
     got = sampling.split(s, "s", "id", 0.15)
     assert got.where("split = 'val'").count() == 14 and got.repartition(7).where("split = 'val'").exceptAll(got.where("split = 'val'")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("name", "body", "kind"),
+    [
+        ("VPA-DD of PoA-DD.pdf", "x", "GS-PoA-DD"),
+        ("SD VISTA PoA-DD.pdf", "x", "SD-VISta"),
+        ("x_CCB-PDD.pdf", "x", "unknown"),  # no word begins after an underscore
+        ("x CCB-PDD.pdf", "x", "SD-VISta"),
+        ("CPA-12.pdf", "VCS Project Description Template", "VCS-CPA-component"),
+        ("CPA-12.pdf", "CDM-PDD-FORM", "CDM-CPA-DD"),
+        ("1234-VCS-Project.pdf", "x", "VCS-PD"),
+        (None, "CPA-W-015 of it. Document Prepared by Z", "VCS-CPA-component"),
+        (None, "Document Prepared by Z", "VCS-PD"),
+        ("rvpa.pdf", "Grouped Project", "GS-VPA-DD"),
+        ("a.pdf", "Grouped Project", "VCS-Grouped"),
+        ("VPA-DD", "\t\n\u00a0", "empty"),
+        ("VPA-DD", None, "empty"),
+    ],
+)
+def test_document_types(spark, name, body, kind):
+    df = spark.createDataFrame([(name, body)], "n string, t string")
+    assert df.select(sections.doc_type(F.col("n"), F.col("t"))).first()[0] == kind
+
+
+def test_an_empty_allow_list_masks_nothing(spark):
+    from quarry.operators import index, retrieve
+
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "gamma alpha"), (3, "beta gamma")], "d long, t string")
+    asked = spark.createDataFrame([(7, "alpha gamma")], "q long, t string")
+    built = index.build(docs, "d", "t")
+    score = lambda allowed: {r.doc: round(r.score, 9) for r in retrieve.bm25(asked, built, "q", "t", allowed).collect()}
+    ids = docs.select(F.col("d").alias("doc"))
+    assert score(ids.limit(0)) == score(None) and set(score(None)) == {1, 2, 3} and set(score(ids.where("doc > 1"))) == {2, 3}
+
+
+def test_a_reference_that_opens_a_sentence_takes_the_one_before(spark):
+    cases = {
+        "One here. Two there. ACM0002 is it. Three.": "One here. [REDACTED:METHODOLOGY_REF] Three.",
+        "One here. See ACM0002 now. Three.": "One here. [REDACTED:METHODOLOGY_REF] Three.",
+        "A.\n\nACM0002.\n\nB": "A.\n\n[REDACTED:METHODOLOGY_REF]\n\nB",
+        'Say "use VM0007." Then on': "[REDACTED:METHODOLOGY_REF] Then on",
+    }
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", sections.mask_sentences("t")["text"].alias("m")).collect()
+    assert {r.t: r.m for r in got} == cases
+
+
+def test_rich_text_tiers_against_plain_python(spark):
+    fact = r"(?im)^" + sections.KEEP_B
+    after = r"(?im)^" + sections.NEXT_B
+    base = "Gold Standard for the Global Goals\nSECTION A. Description\nwhat it is\nSECTION B. Application\n"
+    texts = [
+        base + "B.1 x\nB.3 Project Boundary\ninside\nMonitoring\ndaily 5 kW\nB.4 Baseline\nParameters Monitored\n" + "z" * 5000,
+        base + "the parameter list <table>1</table> and monitoring: <TABLE>2\n</TABLE>",
+        base + "a plant of 12.5 MWe stands",
+        base,
+        "no section at all, 3 MW " + "y" * 7000,
+        "nothing",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    own = {r.k: r for r in sections.extract_section_a(df, "t").collect()}
+    assert [own[k].status == "ok" for k in range(8)] == [True] * 4 + [False] * 4
+    for r in sections.rich_text(df, "t").collect():
+        t, s = texts[r.k] or "", own[r.k]
+        capacity = re.search(text.CAPACITY, t)
+        window = t[max(0, capacity.start() - 600) : capacity.end() + 600] if capacity else None
+        if s.status != "ok":
+            assert (r.tier, r.rich_text) == (3, "\n\n".join(x for x in (t[:6000], window) if x is not None).strip())
+            continue
+        facts = []
+        for m in re.finditer(fact, t):
+            if m.start() >= s.end:
+                stop = re.search(after, t[m.end() :])
+                facts.append(t[m.start() : m.end() + stop.start() if stop else m.start() + 4000].strip())
+        tables = [m[1] for m in re.finditer(sections.MONITORED_TABLE, t)]
+        want = facts or tables or ([window.strip()] if window else [])
+        assert (r.tier, r.n_facts) == (1 if facts else 2 if tables else 3, len(facts))
+        assert r.rich_text == "\n\n".join([s.section_text, *want])
+
+
+def test_json_parts(spark):
+    cases = [("a {x} {\"k\": 1}", None, None), ("```json\n{bad}\n``` {\"k\": {\"z\": [1]}} {}", None, "[1]"), ("t {\"k\": {\"z\": [1]}} u", '{"k": {"z": [1]}}', "[1]"), ("```\n[1, 2]\n``` [3]", None, "[1, 2]"), ("[1", None, None), (None, None, None)]
+    got = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, t string").select("k", sections.json_part("t").alias("o"), sections.json_list("t").alias("l")).collect()
+    assert {r.k: (r.o, r.l) for r in got} == {k: c[1:] for k, c in enumerate(cases)}
