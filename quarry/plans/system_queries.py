@@ -8,12 +8,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
-from quarry.operators import catalogue, evaluate, fusion, index, retrieve
+from quarry.operators import catalogue, evaluate, filters, fusion, index, retrieve
 from quarry.sources import landed
 from quarry.streaming import incremental
 
 from . import recommend
-from .registry import query, rows, table
+from .code_queries import KEEP, LISTED, VERSIONS
+from .code_queries import PROJECTS as SEGMENTS
+from .registry import CODES, query, rows, table
 from .retrieval_queries import ROUTE, TWO, ranked, two
 
 TRUTH = "concat('src', CAST(qid % 20 AS STRING))"
@@ -95,11 +97,24 @@ def ensemble_metrics(spark, sf_dir):
     return out
 
 
-@query("P11_dated_router", TWO.replace("greatest(0, max(score)) score FROM s JOIN documents USING (doc_id)", "greatest(0, max(score)) score FROM s JOIN documents USING (doc_id) WHERE source <> 'src2'").replace("(1 + max(abs(dl - 100))) score FROM s JOIN documents USING (doc_id)", "(1 + max(abs(dl - 100))) score FROM s JOIN documents USING (doc_id)").replace("JOIN stats USING (doc_id) GROUP", "JOIN stats USING (doc_id) WHERE source <> 'src2' GROUP") + ROUTE + " SELECT qid, code, CAST(rank AS INT) AS rank FROM route")
+#: Versions of the codes and a date of each query, null for a tenth.
+CODE_VERSIONS = f"SELECT concat('src', CAST(code - 1 AS STRING)) AS code, ef, et, status FROM ({VERSIONS}) WHERE code BETWEEN 1 AND 20"
+DAY = "CASE WHEN qid % 10 > 0 THEN DATE '1997-06-01' + CAST(qid % 900 AS INT) END"
+FILTERED = f", v AS (SELECT code, max(CAST(status = 'Withdrawn' AS INT)) AS w, max(coalesce(et, DATE '9999-12-31')) AS final FROM ({CODE_VERSIONS}) GROUP BY code)" + "".join(
+    f", f{x} AS (SELECT qid, {x}.code, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM {x} LEFT JOIN v ON v.code = {x}.code WHERE rank <= 5 AND ({DAY} IS NULL OR NOT (coalesce(w = 1, FALSE) OR coalesce(final < {DAY}, FALSE))))" for x in "ab"
+)
+
+
+@query("P11_dated_router", TWO + FILTERED + ROUTE.replace("FROM a WHERE", "FROM fa WHERE").replace("FROM b WHERE", "FROM fb WHERE") + " SELECT qid, code, CAST(rank AS INT) AS rank FROM route")
 def dated_router(spark, sf_dir):
-    """The router over lists without codes that are not valid."""
-    a, b = (x.where("code <> 'src2'") for x in two(spark, sf_dir))
-    return fusion.routed(ranked(a, 5), ranked(b, 5), ["src3", "src7"], 5)
+    """The router over lists of five without the codes that are invalid at the query's date (P11); a query without date keeps all."""
+    versions, order = rows(spark, sf_dir, CODE_VERSIONS), Window.partitionBy("qid").orderBy("rank")
+
+    def filtered(x):
+        dated = ranked(x, 5).select("qid", "code", "rank", F.expr(DAY).alias("d"))
+        return filters.invalid_at(dated, versions).where("NOT invalid").select("qid", "code", F.row_number().over(order).alias("rank"))
+
+    return fusion.routed(*map(filtered, two(spark, sf_dir)), ["src3", "src7"], 5)
 
 
 @query("M07_model_table", f"{TWO} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(x.code = t AND y.code <> t) AS BIGINT) AS b, CAST(count_if(x.code <> t AND y.code = t) AS BIGINT) AS c FROM (SELECT *, {TRUTH} t FROM a WHERE rank = 1) x JOIN (SELECT * FROM b WHERE rank = 1) y USING (qid)")
@@ -110,21 +125,51 @@ def model_table(spark, sf_dir):
     return evaluate.paired(hit(a), hit(b)).select("n", "b", "c")
 
 
-@query("M12_prefilter", f"{TWO} SELECT lang, round(avg(CAST(coalesce(r.rank, 99) <= 5 AS INT)), 6) AS retained FROM (SELECT DISTINCT lang FROM documents) CROSS JOIN benchmark q LEFT JOIN (SELECT qid, rank FROM a WHERE code = {TRUTH}) r ON r.qid = q.item_id GROUP BY lang")
+#: A project for each order, and the code that it uses.
+USED = f"SELECT o.o_orderpriority AS project, c.code FROM orders o JOIN ({CODES}) c ON c.p_partkey = o.o_orderkey % 200 + 1"
+
+
+@query(
+    "M12_prefilter",
+    f"""WITH p AS ({SEGMENTS}), f AS (SELECT *, {KEEP} AS a, NOT (scale = 'large' AND code LIKE 'AMS-%') AS b FROM p, ({LISTED})), z AS (SELECT project, count(*) n_all, count_if(a) n_a, count_if(a AND b) n_b FROM f GROUP BY project)
+    SELECT p.registry, CAST(count(*) AS BIGINT) AS n, CAST(count_if(f.a AND f.b) AS BIGINT) AS passed, round(avg(n_a), 6) AS mean_registry, round(avg(n_b), 6) AS mean_scale, CAST(min(n_b) AS BIGINT) AS least, round(avg(n_b * 1.0 / n_all), 6) AS retention
+    FROM ({USED}) u JOIN p USING (project) JOIN z USING (project) JOIN f ON f.project = u.project AND f.code = u.code GROUP BY p.registry""",
+)
 def prefilter(spark, sf_dir):
-    """Share of queries whose truth is among the first five."""
-    a, _ = two(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
-    hit = items.join(ranked(a).where(F.col("code") == truth()).select("qid", "rank"), "qid", "left")
-    share = hit.agg(F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 5).cast("int")), 6).alias("retained"))
-    return table(spark, sf_dir, "documents").select("lang").distinct().crossJoin(share)  # one row
+    """Projects whose code the registry and scale filters let pass, and how much of the label space they leave.
+
+    Spaces are counted once for each kind of project; projects meet their own code only.
+    """
+    projects, space = rows(spark, sf_dir, SEGMENTS), rows(spark, sf_dir, LISTED)
+    sizes = filters.allow_list(projects, space)
+    own = rows(spark, sf_dir, USED).groupBy("project", "code").agg(F.count(F.lit(1)).alias("k")).join(projects, "project").join(space, "code").join(sizes, "project")
+    passes = filters.keeps(F.col("registry"), F.col("code"), F.col("standard")) & filters.scale_fits(F.col("scale"), F.col("code"))
+    mean = lambda c: F.round(F.sum(c * F.col("k")) / F.sum("k"), 6)
+    return own.groupBy("registry").agg(
+        F.sum("k").alias("n"), F.sum(F.when(passes, F.col("k")).otherwise(0)).alias("passed"), mean(F.col("n_registry")).alias("mean_registry"),
+        mean(F.col("n_scale")).alias("mean_scale"), F.min("n_scale").alias("least"), mean(F.col("n_scale") / F.col("n_all")).alias("retention"),
+    )
+
+
+WEIGHTS = [("full", 0.4, 0.4, 0.2), ("third_off", 0.5, 0.5, 0.0)]
+SCALED = ", ".join(f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-9 THEN 0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END AS {c}" for c in "xyz")
 
 
-@query("M22_ablation", TWO + " SELECT qid, a.code AS with_both, b.code AS without FROM a JOIN b USING (qid) WHERE a.rank = 1 AND b.rank = 1 AND a.code <> b.code")
+@query(
+    "M22_ablation",
+    TWO + f", j AS (SELECT qid, code, a0.score AS x, b0.score AS y, n * 1.0 AS z FROM a0 JOIN b0 USING (qid, code) JOIN (SELECT source AS code, count(*) n FROM documents GROUP BY 1) USING (code)), m AS (SELECT qid, code, {SCALED} FROM j WINDOW w AS (PARTITION BY qid)), k AS (SELECT * FROM (VALUES " + ", ".join(map(str, WEIGHTS)) + f") k(config, wx, wy, wz)), f AS (SELECT config, qid, code, row_number() OVER (PARTITION BY config, qid ORDER BY round(wx * x + wy * y + wz * z, 9) DESC, code) AS rank FROM m, k) SELECT config, CAST(count(*) AS BIGINT) AS n, CAST(count_if(rank = 1) AS BIGINT) AS top1, CAST(count_if(rank <= 5) AS BIGINT) AS top5, round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0 END), 6) AS mrr FROM f WHERE code = {TRUTH} GROUP BY config",
+)
 def ablation(spark, sf_dir):
+    """Weighted fusion of three signals, and the same with the third's weight at zero."""
     a, b = two(spark, sf_dir)
-    first = lambda x, n: ranked(x, 1).select("qid", F.col("code").alias(n))
-    return first(a, "with_both").join(first(b, "without"), "qid").where("with_both <> without")
+    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("z"))
+    j = a.select("qid", "code", F.col("score").alias("x")).join(b.select("qid", "code", F.col("score").alias("y")), ["qid", "code"]).join(docs, "code")
+    m = j.select("qid", "code", *(fusion.min_max(c).alias(c) for c in "xyz"))
+    weights = spark.createDataFrame(WEIGHTS, "config string, wx double, wy double, wz double")
+    f = m.crossJoin(F.broadcast(weights)).withColumn("key", F.struct("config", "qid")).withColumn("score", sum(F.col(f"w{c}") * F.col(c) for c in "xyz"))  # two rows
+    rank = F.col("rank")
+    r = retrieve.top(f, 1 << 30, "code", "key").where(F.col("code") == truth())
+    return r.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.count_if(rank == 1).alias("top1"), F.count_if(rank <= 5).alias("top5"), F.round(F.avg(F.when(rank <= 5, 1.0 / rank).otherwise(0.0)), 6).alias("mrr"))
 
 
 NESTED = """SELECT p_brand AS code, array_agg(named_struct('name', p_type, 'primary', p_size % 10 = 0)) AS standards,
