@@ -218,10 +218,14 @@ class _Bucketed:
             if not len(token):
                 continue
             cut = int(np.searchsorted(token, token[-1]))  # tokens come in ascending order
-            if cut == 0 and len(token) < 1 << 18:
-                held = rows
-                continue
-            # a bucket of over 2**18 rows is taken in parts that share a seam; the block round covers its other pairs
+            if cut == 0:
+                # repeats go first, so that a seam holds TREE different nodes and the part after it is a large bucket too
+                rows = [x[np.append(True, rows[2][1:] != rows[2][:-1])] for x in rows]
+                token = rows[0]
+                if len(token) < 1 << 18:
+                    held = rows
+                    continue
+            # a bucket of over 2**18 nodes is taken in parts that share a seam; the block round covers its other pairs
             out = self.pairs(*(x[: cut or len(token)] for x in rows))
             held = [x[cut:] if cut else x[-TREE:] for x in rows]
             if out is not None:

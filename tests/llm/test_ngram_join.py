@@ -2,6 +2,7 @@ import re
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import ngram_join as J
@@ -75,6 +76,15 @@ def test_parity_bitmaps_bound_the_difference():
     assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
 
 
+def test_a_bucket_with_a_much_repeated_node_is_large_to_its_end():
+    nodes = np.concatenate([np.arange(300), np.full((1 << 18) + 5, 300), np.arange(301, 306)])
+    names = ["token", "n", "node", "leads"]
+    parts = (nodes[: (1 << 18) + 303], nodes[(1 << 18) + 303 :])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 9)), pa.array(np.full(len(x), 40, np.int32)), pa.array(x), pa.array(np.ones(len(x), bool))], names=names) for x in parts]
+    out = pa.Table.from_batches(list(J._Bucketed(85)(iter(batches)))).to_pydict()
+    assert sorted(a for k, a in zip(out["kind"], out["a"], strict=True) if k == 1) == list(range(306))
+
+
 def test_components_of_chains(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (None, 5), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
