@@ -21,6 +21,23 @@ def catalog(entries: DataFrame) -> DataFrame:
     )
 
 
+def reconcile(manifest: DataFrame, harvested: DataFrame) -> DataFrame:
+    """State of each entry still to verify (M24) and the cap that it was held against.
+
+    The first harvested threshold of the entry's kind whose dimension holds the
+    entry's, or is held by it, confirms an equal cap and conflicts with another; an
+    entry without one is unconfirmed.  manifest: code, kind, dimension, cap, verify;
+    harvested: pos, kind, dimension, cap (null: 0).  Distinct dimensions are matched once.
+    """
+    plain = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    open_ = manifest.where("verify").select("code", "cap", F.coalesce("kind", F.lit("")).alias("kind"), plain("dimension").alias("dim"))
+    other = harvested.select("pos", F.coalesce("kind", F.lit("")).alias("kind"), plain("dimension").alias("other"), F.coalesce("cap", F.lit(0)).alias("harvested_cap"))
+    met = open_.select("kind", "dim").distinct().join(other, "kind").where(F.contains("dim", "other") | F.contains("other", "dim"))
+    first = met.groupBy("kind", "dim").agg(F.min_by("harvested_cap", "pos").alias("harvested_cap"))
+    state = F.when(F.col("harvested_cap").isNull(), "unconfirmed").when(F.abs(F.col("harvested_cap") - F.col("cap")) < 1e-6, "confirmed").otherwise("conflict")
+    return open_.join(first, ["kind", "dim"], "left").select("code", state.alias("state"), "harvested_cap")
+
+
 def projects(raw: DataFrame, most_urls: int = 30) -> DataFrame:
     """Project rows with a primary document, dates cut to days and at most ``most_urls`` other documents (Q09)."""
     other = F.transform(F.slice("documents", 2, most_urls), lambda d: d["url"])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
@@ -29,6 +29,71 @@ def paired(a: DataFrame, b: DataFrame, key: str = "qid") -> DataFrame:
     return counted.withColumn("chi2", stats.mcnemar(F.col("b"), F.col("c"))).withColumn("p", stats.chi_p("chi2"))
 
 
+def against(runs: DataFrame, baseline: str) -> DataFrame:
+    """Runs on the queries that the baseline has too, with hits at one (h1) and in five (h5) and the baseline's (b1, b5).
+
+    runs: condition, qid, rank (null: not among the five), and what subsets are cut by.
+    """
+    first, found = F.coalesce(F.col("rank") == 1, F.lit(False)), F.col("rank").isNotNull()
+    base = runs.where(F.col("condition") == baseline).select("qid", first.alias("b1"), found.alias("b5"))
+    return runs.withColumns({"h1": first, "h5": found}).join(base, "qid")
+
+
+def by_subset(both: DataFrame, subsets: dict[str, Column]) -> DataFrame:
+    """Each condition against the baseline on each subset (M13): rates with intervals, difference, b, c and statistic.
+
+    A row counts in every subset whose condition holds; a subset without rows has no line.
+    """
+    names = F.array_compact(F.array(*[F.when(c, name) for name, c in subsets.items()]))
+    h, b = F.col("h1"), F.col("b1")
+    k = both.select("condition", "h1", "b1", F.explode(names).alias("subset")).groupBy("condition", "subset").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(b).alias("kb"), F.count_if(h).alias("kc"), F.count_if(b & ~h).alias("b"), F.count_if(h & ~b).alias("c")
+    )
+    (bl, bh), (cl, ch) = stats.wilson(F.col("kb"), F.col("n")), stats.wilson(F.col("kc"), F.col("n"))
+    rate = {"base": F.col("kb") / F.col("n"), "base_low": bl, "base_high": bh, "cond": F.col("kc") / F.col("n"), "cond_low": cl, "cond_high": ch, "delta": (F.col("kc") - F.col("kb")) / F.col("n")}
+    return k.select("condition", "subset", "n", *[F.round(x, 6).alias(name) for name, x in rate.items()], "b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("chi2"))
+
+
+def condition_report(both: DataFrame, baseline: str, subsets: dict[str, Column]) -> DataFrame:
+    """A line a condition (M14): rates, differences and statistics overall and on subsets, empty answers; the baseline has no differences."""
+    h, b = F.col("h1"), F.col("b1")
+    delta = lambda c, x="h1", y="b1": F.avg(F.when(c, F.col(x).cast("int") - F.col(y).cast("int")))
+    chi2 = lambda c: stats.mcnemar(F.count_if(c & b & ~h), F.count_if(c & h & ~b))
+    every = F.lit(True)
+    apart = {"delta_top1": delta(every), "chi2": chi2(every), "delta_top5": delta(every, "h5", "b5")}
+    for name, c in subsets.items():
+        apart |= {f"delta_{name}": delta(c), f"chi2_{name}": chi2(c)}
+    k = both.groupBy("condition").agg(
+        F.round(F.avg(h.cast("int")), 6).alias("top1"), F.round(F.avg(F.col("h5").cast("int")), 6).alias("top5"), *[F.round(x, 6).alias(name) for name, x in apart.items()], F.count_if("empty").alias("n_empty")
+    )
+    return k.withColumns({name: F.when(F.col("condition") != baseline, F.col(name)) for name in apart})
+
+
+def diagnose(candidates: DataFrame, truths: DataFrame, k: int = 10) -> DataFrame:
+    """What the filter before fusion costs (M16), one row.
+
+    Ceiling (truths among the k kept), small-scale truths excluded by the scale rule,
+    candidates whose match count is full or nearly so, and truths that the plain
+    system puts first but the filter loses.  candidates: gid, code, rank, matches (0
+    to 4), excluded; truths: gid, gt, small.
+    """
+    place = F.when(~F.col("excluded"), F.row_number().over(Window.partitionBy("gid", "excluded").orderBy("rank")))
+    own, kept = F.col("code") == F.col("gt"), F.coalesce(F.col("place") <= k, F.lit(False))
+    each = truths.join(candidates.withColumn("place", place), "gid", "left").groupBy("gid", "gt", "small").agg(
+        F.coalesce(F.bool_or(own), F.lit(False)).alias("raw"), F.coalesce(F.bool_or(own & F.col("excluded")), F.lit(False)).alias("lost"), F.coalesce(F.bool_or(own & kept), F.lit(False)).alias("fused"),
+        F.count_if(kept).alias("n_kept"), F.count_if(kept & (F.col("matches") == 4)).alias("full"), F.count_if(kept & (F.col("matches") >= 3)).alias("high"),
+        F.coalesce(F.bool_or(own & (F.col("rank") == 1)), F.lit(False)).alias("plain"), F.coalesce(F.bool_or(own & (F.col("place") == 1)), F.lit(False)).alias("first"),
+    )
+    mean, part = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("int")), F.lit(0.0)), 6), lambda x, y: F.round(x / F.greatest(y, F.lit(1)), 6)
+    small, plain = F.count_if("small"), F.count_if("plain")
+    excluded, gone = F.count_if(F.col("small") & F.col("lost")), F.count_if(F.col("plain") & ~F.col("fused"))
+    return each.agg(
+        F.count(F.lit(1)).alias("n"), mean("fused").alias("ceiling"), small.alias("n_small"), excluded.alias("n_small_excluded"), part(excluded, small).alias("small_excluded"),
+        part(F.sum("full"), F.sum("n_kept")).alias("full"), part(F.sum("high"), F.sum("n_kept")).alias("high"), plain.alias("n_plain"), gone.alias("n_plain_lost"), part(gone, plain).alias("plain_lost"),
+        mean("raw").alias("in_raw"), mean("plain").alias("plain_top1"), mean("first").alias("first_top1"),
+    )
+
+
 def verdict(delta1, delta5, separated):
     """GO, WEAK, STOP or MIXED by the differences of both rates."""
     return F.when((delta1 >= 0.05) & (delta5 >= 0.05) & separated, "GO").when((delta1 >= 0.02) & (delta5 >= 0.02), "WEAK").when((delta1 < 0) | (delta5 < 0), "STOP").otherwise("MIXED")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -17,20 +17,31 @@ from .index import B, K1, Index
 BLOCK_QUERIES = 4096
 
 
+def query_terms(queries: DataFrame, query: str, columns: dict[str, Column]) -> DataFrame:
+    """(qid, term) and the term's count in each named form of a query's text, in one pass over the queries."""
+    def form(own: str) -> Column:
+        return F.transform(text.tokens(columns[own]), lambda t: F.struct(t.alias("term"), *[F.lit(int(name == own)).alias(name) for name in columns]))
+
+    each = queries.select(F.col(query).alias("qid"), F.explode(F.concat(*map(form, columns))).alias("t")).select("qid", "t.*")
+    return each.groupBy("qid", "term").agg(*[F.sum(name).alias(name) for name in columns])
+
+
+def scores(terms: DataFrame, index: Index, names: list[str], allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, doc) that share a term, with a score for each named count of query_terms: one meeting of terms and postings."""
+    postings = index.postings if allowed is None or allowed.isEmpty() else index.postings.join(allowed.select("doc").distinct(), "doc", "left_semi")
+    long = index.stats.crossJoin(F.broadcast(index.totals.select("avgdl"))).select("doc", (K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), "avgdl"))).alias("norm"))  # one row
+    weighed = terms.join(index.terms.select("term", "idf"), "term").select("qid", "term", *[(F.col(n) * F.col("idf")).alias(n) for n in names])
+    met = postings.join(long, "doc").join(weighed, "term")
+    return met.groupBy("qid", "doc").agg(*[F.sum(F.col(n) * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias(n) for n in names])
+
+
 def bm25(queries: DataFrame, index: Index, query: str, column: str, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score) of every pair that shares a term (R02, J07); repeats of a query's term count as often.
 
     Query terms are summed first; postings meet them by term.  allowed(doc) masks
     documents before scoring (F07); an empty one masks nothing.
     """
-    terms = queries.select(F.col(query).alias("qid"), F.explode(text.tokens(F.col(column))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    postings = index.postings if allowed is None or allowed.isEmpty() else index.postings.join(allowed.select("doc").distinct(), "doc", "left_semi")
-    long = index.stats.crossJoin(F.broadcast(index.totals.select("avgdl"))).select("doc", (K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), "avgdl"))).alias("norm"))  # one row
-    weighed = terms.join(index.terms.select("term", "idf"), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    return (
-        postings.join(long, "doc").join(weighed, "term")
-        .groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("score"))
-    )
+    return scores(query_terms(queries, query, {"score": F.col(column)}), index, ["score"], allowed)
 
 
 def top(scored: DataFrame, k: int, key: str = "doc", by: str = "qid", score: str = "score") -> DataFrame:
@@ -45,14 +56,20 @@ def rank_of(scored: DataFrame, targets: DataFrame, size: DataFrame) -> DataFrame
     rank = 1 + better ones + equal ones of smaller key, so only scored pairs meet.
     size: the label space (doc), a code-sized list; zero rows are counted, not made.
     """
-    own = targets.join(scored.select("qid", F.col("doc").alias("target"), F.round("score", 9).alias("own")), ["qid", "target"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    pairs = own.join(scored.select("qid", "doc", F.round("score", 9).alias("score")), "qid", "left")
-    better = F.sum(F.when((F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("doc") < F.col("target"))), 1).otherwise(0))
-    counted = pairs.groupBy("qid", "target", "own").agg(better.alias("better"), F.sum(F.when(F.col("doc") < F.col("target"), 1).otherwise(0)).alias("before"))
-    place = size.select("doc", F.row_number().over(Window.orderBy("doc")).alias("at")).withColumnRenamed("doc", "target")
-    return counted.join(place, "target").select(
-        "qid", "target", F.col("own").alias("score"), (1 + F.col("better") + F.when(F.col("own") == 0, F.col("at") - 1 - F.col("before")).otherwise(0)).cast("long").alias("rank")
-    )
+    return ranks_of(scored, targets, size, ["score"]).withColumnRenamed("score_rank", "rank")
+
+
+def ranks_of(scored: DataFrame, targets: DataFrame, size: DataFrame, names: list[str]) -> DataFrame:
+    """(qid, target) with each named score and its rank ``{name}_rank``, as rank_of gives them, from one reading of the scored pairs."""
+    w = Window.partitionBy("qid", "target")
+    pairs = targets.select("qid", "target").join(scored.select("qid", "doc", *[F.round(n, 9).alias(n) for n in names]), "qid", "left")
+    own = pairs.withColumns({f"own_{n}": F.coalesce(F.max(F.when(F.col("doc") == F.col("target"), F.col(n))).over(w), F.lit(0.0)) for n in names})
+    smaller = F.col("doc") < F.col("target")
+    better = lambda n: F.count_if((F.col(n) > F.col(f"own_{n}")) | ((F.col(n) == F.col(f"own_{n}")) & smaller))
+    counted = own.groupBy("qid", "target").agg(F.count_if(smaller).alias("_smaller"), *[F.max(f"own_{n}").alias(n) for n in names], *[better(n).alias(f"better_{n}") for n in names])
+    place = size.select(F.col("doc").alias("target"), F.row_number().over(Window.orderBy("doc")).alias("at"))
+    rank = lambda n: (1 + F.col(f"better_{n}") + F.when(F.col(n) == 0, F.col("at") - 1 - F.col("_smaller")).otherwise(0)).cast("long")
+    return counted.join(place, "target").select("qid", "target", *names, *[rank(n).alias(f"{n}_rank") for n in names])
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, query: str, doc: str, column: str, cosine: bool = True) -> DataFrame:

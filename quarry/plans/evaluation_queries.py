@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
-from quarry.operators import evaluate, filters, fusion, index, retrieve, sampling
+from quarry.operators import catalogue, evaluate, filters, fusion, index, retrieve, sampling
 
 from .code_queries import VERSIONS
-from .registry import query, rows, table
+from .registry import CODES, query, rows, table
 from .retrieval_queries import SCORED
 
 # Ranks of two systems for each order, from keys: null where the truth was not found.
@@ -236,13 +236,18 @@ def fuzzy(spark, sf_dir):
     return l.join(best, "label").select("id", "pos")
 
 
-CAPS = "SELECT s_nationkey AS code, round(s_acctbal, 0) AS a, round(CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal ELSE s_acctbal + s_suppkey % 2 END, 0) AS b FROM supplier"
+#: Caps of customers' nations still to verify, and those harvested for each nation; some entries have no match or another cap.
+MANIFEST = "SELECT c_custkey AS code, CASE WHEN c_custkey % 2 = 0 THEN 'I' ELSE 'II' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN concat(' x ', lower(n_name)) ELSE substr(n_name, 1, 5) END AS dimension, CAST(n_regionkey * 10 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS cap, c_custkey % 7 <> 0 AS verify FROM customer JOIN nation ON n_nationkey = c_nationkey"
+HARVESTED = "SELECT n_nationkey AS pos, CASE WHEN n_nationkey % 3 = 0 THEN 'I' ELSE 'II' END AS kind, n_name AS dimension, CAST(n_regionkey * 10 AS DOUBLE) AS cap FROM nation"
 
 
-@query("M24_reconcile", f"SELECT CASE WHEN b IS NULL THEN 'unconfirmed' WHEN abs(a - b) < 1e-6 THEN 'confirmed' ELSE 'conflict' END AS state, CAST(count(*) AS BIGINT) AS n FROM ({CAPS}) GROUP BY 1")
+@query(
+    "M24_reconcile",
+    f"WITH m AS ({MANIFEST}), h AS ({HARVESTED}), f AS (SELECT m.code, arg_min(h.cap, h.pos) AS harvested_cap FROM m JOIN h ON m.kind = h.kind AND (contains(lower(trim(m.dimension)), lower(h.dimension)) OR contains(lower(h.dimension), lower(trim(m.dimension)))) GROUP BY m.code) SELECT code, CASE WHEN harvested_cap IS NULL THEN 'unconfirmed' WHEN abs(harvested_cap - cap) < 1e-6 THEN 'confirmed' ELSE 'conflict' END AS state, harvested_cap FROM m LEFT JOIN f USING (code) WHERE verify",
+)
 def reconcile(spark, sf_dir):
-    state = F.when(F.col("b").isNull(), "unconfirmed").when(F.abs(F.col("a") - F.col("b")) < 1e-6, "confirmed").otherwise("conflict")
-    return rows(spark, sf_dir, CAPS).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    """Caps against harvested thresholds by kind and a dimension that holds the other."""
+    return catalogue.reconcile(rows(spark, sf_dir, MANIFEST), rows(spark, sf_dir, HARVESTED))
 
 
 @query("M25_capacity_consistency", "SELECT CAST(count_if(l_quantity <= 15) AS BIGINT) AS within, CAST(count_if(l_quantity > 15) AS BIGINT) AS beyond FROM lineitem WHERE l_returnflag = 'R'")
@@ -337,11 +342,22 @@ def sweep(spark, sf_dir):
     return r.groupBy("config").agg(F.count_if(F.col("rank") == 1).alias("top1"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
 
 
-@query("M16_diagnostics", f"SELECT round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS ceiling, round(avg(CASE WHEN rank IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missed, round(avg(CASE WHEN rank > 1 THEN 1.0 ELSE 0.0 END), 6) AS not_first FROM ({RANKS})")
+#: Codes of an order's lines with match counts of 0 to 4; large orders may not have small-scale codes.
+MATCHED = f"SELECT c.qid AS gid, c.rank, p.code, CAST(c.f % 5 AS INT) AS matches, CASE WHEN o_totalprice > 150000 THEN 'large' ELSE 'small' END AS scale FROM ({CAND}) c JOIN ({CODES}) p ON p.p_partkey = c.code JOIN orders ON o_orderkey = c.qid"
+TRUE_CODE = f"SELECT l_orderkey AS gid, p.code AS gt, substr(p.code, 1, 4) = 'AMS-' AS small FROM lineitem JOIN ({CODES}) p ON p.p_partkey = l_partkey WHERE l_linenumber = 1 + l_orderkey % 3"
+
+
+@query(
+    "M16_diagnostics",
+    f"""WITH t AS (SELECT DISTINCT gid, gt, small FROM ({TRUE_CODE})), c AS (SELECT *, scale = 'large' AND code LIKE 'AMS-%' AS excluded FROM ({MATCHED})), r AS (SELECT *, CASE WHEN NOT excluded THEN row_number() OVER (PARTITION BY gid, excluded ORDER BY rank) END place FROM c),
+    e AS (SELECT gid, gt, small, coalesce(bool_or(code = gt), FALSE) raw, coalesce(bool_or(code = gt AND excluded), FALSE) lost, coalesce(bool_or(code = gt AND place <= 10), FALSE) fused, count_if(place <= 10) k, count_if(place <= 10 AND matches = 4) f, count_if(place <= 10 AND matches >= 3) h, coalesce(bool_or(code = gt AND rank = 1), FALSE) p, coalesce(bool_or(code = gt AND place = 1), FALSE) g FROM t LEFT JOIN r USING (gid) GROUP BY ALL)
+    SELECT CAST(count(*) AS BIGINT) AS n, round(coalesce(avg(fused::INT), 0), 6) AS ceiling, CAST(count_if(small) AS BIGINT) AS n_small, CAST(count_if(small AND lost) AS BIGINT) AS n_small_excluded, round(count_if(small AND lost) / greatest(count_if(small), 1), 6) AS small_excluded, round(sum(f) / greatest(sum(k), 1), 6) AS "full", round(sum(h) / greatest(sum(k), 1), 6) AS high,
+      CAST(count_if(p) AS BIGINT) AS n_plain, CAST(count_if(p AND NOT fused) AS BIGINT) AS n_plain_lost, round(count_if(p AND NOT fused) / greatest(count_if(p), 1), 6) AS plain_lost, round(coalesce(avg(raw::INT), 0), 6) AS in_raw, round(coalesce(avg(p::INT), 0), 6) AS plain_top1, round(coalesce(avg(g::INT), 0), 6) AS first_top1 FROM e""",
+)
 def diagnostics(spark, sf_dir):
-    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
-    r = F.col("rank")
-    return ranks(spark, sf_dir).agg(share(r.isNotNull()).alias("ceiling"), share(r.isNull()).alias("missed"), share(r > 1).alias("not_first"))
+    """Ceiling, wrong exclusions, saturation of match counts and truths lost to the filter, by the scale rule."""
+    c = rows(spark, sf_dir, MATCHED).withColumn("excluded", ~filters.scale_fits(F.col("scale"), F.col("code")))
+    return evaluate.diagnose(c, rows(spark, sf_dir, TRUE_CODE).distinct())
 
 
 T = "md5(concat('42:', CAST({0} AS STRING)))"

@@ -11,7 +11,7 @@ from quarry.operators import evaluate, fusion, index, retrieve, sections
 from quarry.sources import landed
 
 from . import recommend
-from .evaluation_queries import RANKS, USE, purity_sql, ranks
+from .evaluation_queries import RANKS, USE, W, purity_sql, ranks
 from .registry import ORACLES, SPLICED, query, rows, table
 from .system_queries import _inputs, _landed
 from .text_queries import ANY, COVERED
@@ -23,10 +23,10 @@ def purity(spark, sf_dir):
     return p.select("grp", F.round("with_factor", 6).alias("with_factor"), F.round("gain", 6).alias("gain"))
 
 
-SENTENCES = "SELECT doc_id, concat('Alpha ', CAST(doc_id AS STRING), ' begins. Then ACM', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), ' is used here! After that.') AS text FROM documents"
+SENTENCES = "SELECT doc_id, concat(text, chr(10), chr(10), 'Alpha ', CAST(doc_id AS STRING), ' begins. Then ACM', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), ' is used here! After that.', chr(10), chr(10), text) AS text FROM documents"
 
 
-@query("T09_expand_to_sentence", f"SELECT doc_id, concat('Alpha ', CAST(doc_id AS STRING), ' begins. {T.MASK} After that.') AS text FROM documents")
+@query("T09_expand_to_sentence", f"SELECT doc_id, concat(text, chr(10), chr(10), 'Alpha ', CAST(doc_id AS STRING), ' begins. {T.MASK} After that.', chr(10), chr(10), text) AS text FROM documents")
 def expand(spark, sf_dir):
     return rows(spark, sf_dir, SENTENCES).select("doc_id", sections.mask_sentences("text")["text"].alias("text"))
 
@@ -53,10 +53,10 @@ def rich_pilot(spark, sf_dir):
 
 
 def _spans(name: str, cover: str, tail: str, kind: str, at: int):
-    """A query of one template's span on texts whose span is known by construction."""
-    source = f"SELECT doc_id, concat('{cover}', chr(10), repeat('y', CAST(doc_id % 50 AS INT)), chr(10), '{tail}') AS text FROM documents"
+    """A query of one template's span around whole texts, known by construction."""
+    source = f"SELECT doc_id, concat('{cover}', chr(10), text, chr(10), '{tail}') AS text FROM documents"
 
-    @query(name, f"SELECT doc_id, 0 AS start, CAST({at} + doc_id % 50 AS INT) AS \"end\" FROM documents")
+    @query(name, f"SELECT doc_id, 0 AS start, CAST({at} + length(text) AS INT) AS \"end\" FROM documents")
     def spans(spark, sf_dir):
         return rows(spark, sf_dir, source).select("doc_id", sections.section_a(F.col("text"), F.lit(kind)).alias("s")).select("doc_id", "s.start", "s.end")
 
@@ -121,26 +121,39 @@ def usage_prior(spark, sf_dir):
     return lists.select("qid", "code", "rank").join(moved.withColumnRenamed("rank", "new_rank"), ["qid", "code"])
 
 
-PAIR = "CAST(count(*) AS BIGINT) AS n, CAST(count_if(coalesce(rank <= {0}, FALSE) AND NOT coalesce(rank_b <= {0}, FALSE)) AS BIGINT) AS b, CAST(count_if(NOT coalesce(rank <= {0}, FALSE) AND coalesce(rank_b <= {0}, FALSE)) AS BIGINT) AS c"
+#: Runs of five conditions over orders: a rank in five or none, an empty answer, a capacity where one is stated, and whether the truth's group is one of the first two.
+RUNS = """SELECT condition, qid, empty, capacity, grouped, CASE WHEN empty OR r = 0 THEN NULL ELSE r END AS rank FROM (
+  SELECT condition, o_orderkey AS qid, (o_custkey + i) % 11 = 0 AS empty, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS capacity, o_orderpriority IN ('1-URGENT', '2-HIGH') AS grouped,
+    CAST((o_orderkey * (i + 1) + o_custkey) % 6 AS INT) AS r FROM orders CROSS JOIN (VALUES ('baseline', 0), ('filter', 1), ('scale', 2), ('clauses', 3), ('all', 4)) k(condition, i))"""
+BOTH = f"r AS ({RUNS}), j AS (SELECT r.*, coalesce(r.rank = 1, FALSE) h1, r.rank IS NOT NULL h5, coalesce(b.rank = 1, FALSE) b1, b.rank IS NOT NULL b5 FROM r JOIN r b ON b.qid = r.qid AND b.condition = 'baseline')"
+CHI2 = "CASE WHEN {0} + {1} = 0 THEN 0 ELSE pow(abs({0} - {1}) - 1, 2) / ({0} + {1}) END"
 
 
-def pairs(by, k):
-    a, b = F.coalesce(F.col("rank") <= k, F.lit(False)), F.coalesce(F.col("rank_b") <= k, F.lit(False))
-    return by.agg(F.count(F.lit(1)).alias("n"), F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
+@query(
+    "M13_conditions_by_subset",
+    f"""WITH {BOTH}, s AS (SELECT 'overall' subset, * FROM j UNION ALL SELECT 'capacity_stated', * FROM j WHERE capacity IS NOT NULL UNION ALL SELECT 'capacity_absent', * FROM j WHERE capacity IS NULL UNION ALL SELECT 'first_groups', * FROM j WHERE grouped),
+    k AS (SELECT condition, subset, count(*) n, count_if(b1) kb, count_if(h1) kc, count_if(b1 AND NOT h1) b, count_if(h1 AND NOT b1) c FROM s WHERE condition <> 'baseline' GROUP BY ALL)
+    SELECT condition, subset, CAST(n AS BIGINT) AS n, round(kb / n, 6) AS base, round(greatest(0, {W.format('-').replace('k / n', 'kb / n')}), 6) AS base_low, round(least(1, {W.format('+').replace('k / n', 'kb / n')}), 6) AS base_high,
+      round(kc / n, 6) AS cond, round(greatest(0, {W.format('-').replace('k / n', 'kc / n')}), 6) AS cond_low, round(least(1, {W.format('+').replace('k / n', 'kc / n')}), 6) AS cond_high, round((kc - kb) / n, 6) AS delta, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, round({CHI2.format('b', 'c')}, 6) AS chi2 FROM k""",
+)
+def conditions(spark, sf_dir):
+    """Each condition's first places against the baseline's, overall and on three subsets."""
+    return evaluate.by_subset(evaluate.against(rows(spark, sf_dir, RUNS), "baseline").where("condition <> 'baseline'"), SUBSETS)
 
 
-@query("M13_conditions_by_subset", f"SELECT registry, {PAIR.format(1)} FROM ({RANKS}) GROUP BY registry")
-def conditions(spark, sf_dir):
-    return pairs(ranks(spark, sf_dir).groupBy("registry"), 1)
+SUBSETS = {"overall": F.lit(True), "capacity_stated": F.expr("capacity IS NOT NULL"), "capacity_absent": F.expr("capacity IS NULL"), "first_groups": F.col("grouped")}
 
 
-@query("M14_condition_report", " UNION ALL ".join(f"SELECT 'top{k}' AS condition, {PAIR.format(k)} FROM ({RANKS})" for k in (1, 2, 3, 4, 5)))
+@query(
+    "M14_condition_report",
+    f"""WITH {BOTH}, k AS (SELECT condition, avg(h1::INT) top1, avg(h5::INT) top5, avg(h1::INT - b1::INT) d1, avg(h5::INT - b5::INT) d5, count_if(b1 AND NOT h1) b, count_if(h1 AND NOT b1) c,
+      avg(h1::INT - b1::INT) FILTER (capacity IS NULL) da, count_if(capacity IS NULL AND b1 AND NOT h1) ba, count_if(capacity IS NULL AND h1 AND NOT b1) ca, avg(h1::INT - b1::INT) FILTER (grouped) dg, count_if(grouped AND b1 AND NOT h1) bg, count_if(grouped AND h1 AND NOT b1) cg, count_if(empty) e FROM j GROUP BY 1), m AS (SELECT *, condition <> 'baseline' o FROM k)
+    SELECT condition, round(top1, 6) AS top1, CASE WHEN o THEN round(d1, 6) END AS delta_top1, CASE WHEN o THEN round({CHI2.format('b', 'c')}, 6) END AS chi2, round(top5, 6) AS top5, CASE WHEN o THEN round(d5, 6) END AS delta_top5,
+      CASE WHEN o THEN round(da, 6) END AS delta_absent, CASE WHEN o THEN round({CHI2.format('ba', 'ca')}, 6) END AS chi2_absent, CASE WHEN o THEN round(dg, 6) END AS delta_groups, CASE WHEN o THEN round({CHI2.format('bg', 'cg')}, 6) END AS chi2_groups, CAST(e AS BIGINT) AS n_empty FROM m""",
+)
 def condition_report(spark, sf_dir):
-    r, out = ranks(spark, sf_dir), None
-    for k in (1, 2, 3, 4, 5):
-        one = pairs(r.groupBy(), k).select(F.lit(f"top{k}").alias("condition"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    """A line for each of the five conditions."""
+    return evaluate.condition_report(evaluate.against(rows(spark, sf_dir, RUNS), "baseline"), "baseline", {"absent": SUBSETS["capacity_absent"], "groups": SUBSETS["first_groups"]})
 
 
 @query("M15_old_new_delta", f"SELECT round(avg(CASE WHEN rank_b <= 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS delta FROM ({RANKS})")
@@ -219,6 +232,22 @@ def vectors(spark, sf_dir):
     return spark.read.parquet(out).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(total, 5).alias("total"))
 
 
+@query("S08_manifest", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def manifest(spark, sf_dir):
+    """Entries written under a header and read again."""
+    entries, out = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), f"{_landed(spark, sf_dir)}/manifest"
+    landed.save_manifest(entries, out)
+    return landed.load_manifest(spark, out, entries.schema)
+
+
+@query("S09_run_result", f"SELECT qid, rank FROM ({RANKS})")
+def run_result(spark, sf_dir):
+    """A run's predictions under a name that tells system, split, size and seed, found by that name."""
+    r, out = ranks(spark, sf_dir).select("qid", "rank"), _landed(spark, sf_dir)
+    landed.write_result(r, out, "naive_rag", "test", 42)
+    return spark.read.schema(r.schema).json(f"{out}/naive_rag-test-n*-seed42.json")
+
+
 @query("S11_largest_file")
 def largest_file(spark, sf_dir):
     return landed.largest_file(spark, sf_dir, "*.parquet", least=100).select(F.element_at(F.split("name", "-"), 1).alias("name"), "length")

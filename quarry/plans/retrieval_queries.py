@@ -89,8 +89,7 @@ def joined_text(spark, sf_dir):
 
 @query("R04_document_bm25", f"WITH {CODE_TEXT}, {CODE_SCORED}, {RANKED} SELECT qid, doc_id AS source, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def document_bm25(spark, sf_dir):
-    codes = index.joined_text(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    s = retrieve.bm25(table(spark, sf_dir, "benchmark"), index.build(codes, "source", "text"), "item_id", "text")
+    s = retrieve.bm25(table(spark, sf_dir, "benchmark"), index.build(table(spark, sf_dir, "documents"), "source", "text", parts=True), "item_id", "text")
     return retrieve.top(s, 5).select("qid", F.col("doc").alias("source"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -101,40 +100,36 @@ TARGET_RANK = "full_r AS (SELECT q.item_id qid, c.doc_id, coalesce(score, 0) sco
 @query("R05_target_rank", f"WITH {CODE_TEXT}, {CODE_SCORED}, {TARGETS}, {TARGET_RANK} SELECT qid, target, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM t JOIN full_r USING (qid) WHERE doc_id = target")
 def target_rank(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    codes = index.joined_text(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    s = retrieve.bm25(items, index.build(codes, "source", "text"), "item_id", "text")
+    ix = index.build(table(spark, sf_dir, "documents"), "source", "text", parts=True)
+    s = retrieve.bm25(items, ix, "item_id", "text")
     targets = items.select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("target"))
-    return retrieve.rank_of(s, targets, codes.select(F.col("source").alias("doc"))).withColumn("score", F.round("score", 6))
+    return retrieve.rank_of(s, targets, ix.stats).withColumn("score", F.round("score", 6))
 
 
 def _leak(spark, sf_dir):
-    """Every spliced document against the text of each code, before and after masking."""
+    """Every spliced document against the text of each code, with scores before and after masking."""
     docs = rows(spark, sf_dir, SPLICED)
-    codes = index.joined_text(docs, "code", "doc_id", "text")
-    ix = index.build(codes, "code", "text")
-    before = retrieve.bm25(docs, ix, "doc_id", "text")
-    after = retrieve.bm25(docs.withColumn("text", text.mask_words(F.col("text"))), ix, "doc_id", "text")
-    return docs, codes, before, after
+    ix = index.build(docs, "code", "text", parts=True)
+    terms = retrieve.query_terms(docs, "doc_id", {"before": F.col("text"), "after": text.mask_words(F.col("text"))})
+    return docs, ix, retrieve.scores(terms, ix, ["before", "after"])
 
 
 @query("R06_score_drop")
 def score_drop(spark, sf_dir):
     """Share of a document's score for its own code that masking takes; passes from one half on."""
-    docs, _, before, after = _leak(spark, sf_dir)
+    docs, _, scored = _leak(spark, sf_dir)
     own = docs.select(F.col("doc_id").alias("qid"), F.col("code").alias("doc"))
-    both = own.join(before.withColumnRenamed("score", "b"), ["qid", "doc"], "left").join(after.withColumnRenamed("score", "a"), ["qid", "doc"], "left")
-    drop = both.select("doc", F.when(F.coalesce("b", F.lit(0.0)) > 0, (F.col("b") - F.coalesce("a", F.lit(0.0))) / F.col("b")).otherwise(0.0).alias("drop"))
+    drop = own.join(scored, ["qid", "doc"], "left").select("doc", F.when(F.col("before") > 0, (F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0).alias("drop"))
     return drop.groupBy(F.col("doc").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("drop"), 6).alias("mean_drop"), F.round(F.avg((F.col("drop") >= 0.5).cast("int")), 6).alias("pass_rate"))
 
 
 @query("R07_rank_leak")
 def rank_leak(spark, sf_dir):
     """Rank of a document's own code before and after masking."""
-    docs, codes, before, after = _leak(spark, sf_dir)
-    own, size = docs.select(F.col("doc_id").alias("qid"), F.col("code").alias("target")), codes.select(F.col("code").alias("doc"))
-    b = retrieve.rank_of(before, own, size).select("qid", "target", F.col("rank").alias("before"))
-    a = retrieve.rank_of(after, own, size).select("qid", F.col("rank").alias("after"))
-    return b.join(a, "qid").groupBy(F.col("target").alias("code")).agg(
+    docs, ix, scored = _leak(spark, sf_dir)
+    own = docs.select(F.col("doc_id").alias("qid"), F.col("code").alias("target"))
+    ranks = retrieve.ranks_of(scored, own, ix.stats, ["before", "after"])
+    return ranks.select("qid", "target", F.col("before_rank").alias("before"), F.col("after_rank").alias("after")).groupBy(F.col("target").alias("code")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("after") == 1).cast("int")), 6).alias("top1_leak"), F.round(F.avg((F.col("after") <= 10).cast("int")), 6).alias("top10_leak"), F.round(F.avg(F.col("after") - F.col("before")), 6).alias("mean_drop")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import sections, tables
 
-from .registry import SPLICED, query, rows, table
+from .registry import ORACLES, SPLICED, query, rows, table
 
 TOC = "SELECT doc_id, concat('Contents ........... 3', chr(10), 'Chapter one .......... 12', chr(10), text) AS text FROM documents"
 #: The pattern for an engine whose \\s also takes line ends; the lines here have none between dots and number.
@@ -186,7 +186,7 @@ def program_id(spark, sf_dir):
     return rows(spark, sf_dir, PROGRAM).select("o_orderkey", F.try_element_at(ids, F.lit(1)).alias("program"))
 
 
-SECTIONED = "SELECT doc_id, concat('1. Scope of it', chr(10), substr(text, 1, 40), chr(10), '2.1 | Baseline monitoring', chr(10), '- first item', chr(10), 'goes on', chr(10), '(b) second', chr(10), 'III. Eligibility criteria', chr(10), 'x', chr(10), '4. Definition of terms') AS text FROM documents"
+SECTIONED = "SELECT doc_id, concat('1. Scope of it', chr(10), text, chr(10), '2.1 | Baseline monitoring', chr(10), '- first item', chr(10), 'goes on', chr(10), '(b) second', chr(10), 'III. Eligibility criteria', chr(10), 'x', chr(10), '4. Definition of terms') AS text FROM documents"
 HEAD_RE = sections.NUMBERED_HEADING
 HEAD_AT = {n: f"nullif(instr(lower(title), lower(regexp_extract(title, '{p}'))) * CAST(regexp_matches(title, '{p}') AS INT), 0)" for n, p in sections.HEADINGS}
 
@@ -196,11 +196,14 @@ def headings(spark, sf_dir):
     return sections.headings(rows(spark, sf_dir, SECTIONED), "doc_id", "text").select("doc_id", "line_no", "title")
 
 
-@query("T27_heading_categories", "SELECT * FROM (VALUES ('Scope of it', 'typical_projects'), ('Baseline monitoring', 'baseline_scenario'), ('Eligibility criteria', 'applicability'), ('Definition of terms', 'definitions')) t(title, category)")
+# The rule in words of its own: eligibility first, else the word that stands first; a definition of monitoring is none.
+FIRST_WORD = "list_sort(list_filter([{'at': CASE WHEN contains(lower(title), 'monitor') THEN 0 ELSE instr(lower(title), 'definition') END, 'name': 'definitions'}, {'at': instr(lower(title), 'baseline'), 'name': 'baseline_scenario'}, {'at': instr(lower(title), 'monitoring'), 'name': 'parameters_monitored'}, {'at': instr(lower(title), 'scope'), 'name': 'typical_projects'}], lambda x: x.at > 0))[1].name"
+
+
+@query("T27_heading_categories", f"SELECT DISTINCT title, CASE WHEN contains(lower(title), 'eligibility') THEN 'applicability' ELSE {FIRST_WORD} END AS category FROM ({ORACLES['T26_headings']})")
 def heading_categories(spark, sf_dir):
-    """Categories of the spliced headings; the texts' own lines may hold others."""
-    found = sections.headings(rows(spark, sf_dir, SECTIONED), "doc_id", "text").select("title", "category").distinct()
-    return found.where(F.col("title").isin("Scope of it", "Baseline monitoring", "Eligibility criteria", "Definition of terms"))
+    """Categories of all headings of the texts."""
+    return sections.headings(rows(spark, sf_dir, SECTIONED), "doc_id", "text").select("title", "category").distinct()
 
 
 @query("T28_split_by_headings")

@@ -25,6 +25,32 @@ def write_run(predictions: DataFrame, folder: str, run_id: str) -> None:
     predictions.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
 
 
+def write_result(predictions: DataFrame, folder: str, name: str, split: str, seed: int) -> str:
+    """A run's predictions as JSON lines in ``{name}-{split}-n{rows}-seed{seed}.json`` (S09); gives the path."""
+    path = f"{folder}/{name}-{split}-n{predictions.count()}-seed{seed}.json"
+    predictions.write.mode("overwrite").json(path)
+    return path
+
+
+def save_manifest(entries: DataFrame, folder: str) -> None:
+    """A manifest (S08): version, time (D04) and count, then an entry a line as a flow mapping, which YAML readers take.
+
+    Manifests list documents or codes, so one file holds them.
+    """
+    stamp = F.date_format(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = entries.agg(F.count(F.lit(1)).alias("n")).select(
+        F.posexplode(F.array(F.lit('version: "0.1"'), F.concat(F.lit('generated_at: "'), stamp, F.lit('"')), F.concat(F.lit("count: "), F.col("n")), F.when(F.col("n") > 0, "entries:").otherwise("entries: []"))).alias("at", "value")
+    )
+    body = entries.select(F.lit(4).alias("at"), F.concat(F.lit("- "), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value"))
+    head.union(body).orderBy("at", "value").coalesce(1).select("value").write.mode("overwrite").text(folder)
+
+
+def load_manifest(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The entries of a manifest that save_manifest wrote."""
+    line = spark.read.text(folder).where(F.col("value").startswith("- "))
+    return line.select(F.from_json(F.expr("substr(value, 3)"), schema).alias("e")).select("e.*")
+
+
 def latest(paths: DataFrame, path: str = "path") -> DataFrame:
     """The artifact of each slug with the largest n in ``{slug}-n{n}`` (S10); the newest name of all is max(path)."""
     name = F.element_at(F.split(path, "/"), -1)
