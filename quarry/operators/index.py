@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +74,24 @@ def mean_vectors(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """Mean vector of each key (A08), summed place by place before the shuffle."""
     each = vectors.select(key, F.posexplode(column).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def _as_vector(vectors: DataFrame, column: str) -> DataFrame:
+    return vectors.withColumn("_vector", array_to_vector(F.col(column).cast("array<double>")))
+
+
+def fit_pca(vectors: DataFrame, key: str, column: str, dims: int, sample: int = 1000, seed: int = 42) -> PipelineModel:
+    """Centring and principal components (R14), fitted on a seeded sample of ``sample`` vectors, dims + 64 at least.
+
+    The sample is those whose digest of seed and key comes first, so it does not
+    depend on partitioning; null vectors are left out.
+    """
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    some = _as_vector(vectors.where(F.col(column).isNotNull()).orderBy(order, key).limit(max(sample, dims + 64)).select(column), column)
+    return Pipeline(stages=[StandardScaler(withMean=True, withStd=False, inputCol="_vector", outputCol="_centred"), PCA(k=dims, inputCol="_centred", outputCol="_reduced")]).fit(some)
+
+
+def reduced(vectors: DataFrame, model: PipelineModel, column: str) -> DataFrame:
+    """Adds the array ``reduced`` of every vector (R14); the model may come from a file."""
+    full = _as_vector(vectors.where(F.col(column).isNotNull()), column)
+    return model.transform(full).withColumn("reduced", vector_to_array("_reduced")).drop("_vector", "_centred", "_reduced")

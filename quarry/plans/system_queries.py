@@ -220,14 +220,20 @@ def argsort(spark, sf_dir):
 
 @query("R14_pca")
 def pca(spark, sf_dir):
-    """Explained variance of centred vectors."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    v = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(v).transform(v)
-    model = PCA(k=8, inputCol="c", outputCol="p").fit(centred)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(model.explainedVariance)], "component int, variance double")
+    """Vectors in eight dimensions by a model that was fitted on a seeded sample, saved and loaded (R14, S07): their norms."""
+    from pyspark.ml import PipelineModel
+
+    v, out = table(spark, sf_dir, "embeddings"), f"{_landed(spark, sf_dir)}/pca"
+    index.fit_pca(v, "vec_id", "embedding", 8).write().overwrite().save(out)
+    reduced = index.reduced(v, PipelineModel.load(out), "embedding")
+    return reduced.select("vec_id", F.size("reduced").alias("dims"), F.round(F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
+@query("R14_explained_variance")
+def explained_variance(spark, sf_dir):
+    """Share of the sample's variance that each component explains."""
+    model = index.fit_pca(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(model.stages[-1].explainedVariance)], "component int, variance double")
 
 
 @query("R12_raw_channels", TWO + " SELECT 'a' AS channel, qid, code, CAST(rank AS INT) AS rank FROM a WHERE rank <= 10 UNION ALL SELECT 'b', qid, code, CAST(rank AS INT) FROM b WHERE rank <= 10")

@@ -4,11 +4,13 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import codes, stats, text
-from quarry.operators import evaluate, filters, fusion, index, retrieve, sampling, sections
+from quarry.operators import catalogue, evaluate, filters, fusion, index, retrieve, sampling, sections
+from quarry.sources import landed
 
 
 def one(spark, column, **values):
@@ -254,3 +256,74 @@ def test_json_parts(spark):
     cases = [("a {x} {\"k\": 1}", None, None), ("```json\n{bad}\n``` {\"k\": {\"z\": [1]}} {}", None, "[1]"), ("t {\"k\": {\"z\": [1]}} u", '{"k": {"z": [1]}}', "[1]"), ("```\n[1, 2]\n``` [3]", None, "[1, 2]"), ("[1", None, None), (None, None, None)]
     got = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, t string").select("k", sections.json_part("t").alias("o"), sections.json_list("t").alias("l")).collect()
     assert {r.k: (r.o, r.l) for r in got} == {k: c[1:] for k, c in enumerate(cases)}
+
+
+def test_parts_of_a_document_score_as_their_joined_text(spark):
+    docs = spark.createDataFrame([("a", 1, "solar wind wind"), ("a", 2, None), ("a", 3, "hydro solar"), ("b", 1, "plant"), ("c", 1, "")], "code string, pos long, text string")
+    q = spark.createDataFrame([(1, "solar wind"), (2, "plant plant hydro"), (3, "absent")], "q long, text string")
+    whole = index.build(index.joined_text(docs, "code", "pos", "text"), "code", "text")
+    parts = index.build(docs, "code", "text", parts=True)
+    score = lambda ix: sorted((r.qid, r.doc, round(r.score, 9)) for r in retrieve.bm25(q, ix, "q", "text").collect())
+    assert score(parts) == score(whole) and parts.totals.collect() == whole.totals.collect()
+
+
+def test_two_forms_of_a_text_are_scored_and_ranked_at_once(spark):
+    docs = spark.createDataFrame([("a", "solar wind"), ("b", "solar hydro"), ("c", "plant")], "doc string, text string")
+    q = spark.createDataFrame([(1, "solar wind", "solar"), (2, "plant", "nothing")], "q long, x string, y string")
+    ix = index.build(docs, "doc", "text")
+    both = retrieve.scores(retrieve.query_terms(q, "q", {"x": F.col("x"), "y": F.col("y")}), ix, ["x", "y"])
+    for name in "xy":
+        alone = {(r.qid, r.doc): r.score for r in retrieve.bm25(q, ix, "q", name).collect()}
+        assert {(r.qid, r.doc): r[name] for r in both.collect() if r[name]} == pytest.approx(alone)
+    targets = spark.createDataFrame([(1, "b"), (2, "c"), (3, "b")], "qid long, target string")
+    got = {r.qid: (r.x_rank, r.y_rank) for r in retrieve.ranks_of(both, targets, ix.stats, ["x", "y"]).collect()}
+    assert got == {1: (2, 2), 2: (1, 3), 3: (2, 2)}
+
+
+def test_reconcile_by_kind_and_dimension(spark):
+    m = spark.createDataFrame(
+        [("p", "I", " Installed Capacity ", 15.0, True), ("q", "I", "capacity", 14.0, True), ("r", "II", "capacity", 15.0, True), ("s", "I", "capacity", 15.0, False), ("t", "III", None, 60.0, True), ("u", "I", "savings", 1.0, None)],
+        "code string, kind string, dimension string, cap double, verify boolean",
+    )
+    h = spark.createDataFrame([(0, "I", "installed capacity", 15.0), (1, "I", "capacity", 14.0), (2, "III", "reductions", 60.0)], "pos int, kind string, dimension string, cap double")
+    got = {r.code: (r.state, r.harvested_cap) for r in catalogue.reconcile(m, h).collect()}
+    assert got == {"p": ("confirmed", 15.0), "q": ("conflict", 15.0), "r": ("unconfirmed", None), "t": ("confirmed", 60.0)}
+
+
+def test_diagnose_counts_what_the_filter_costs(spark):
+    c = spark.createDataFrame(
+        [(1, "AMS-I.A.", 1, 4, True), (1, "AM0001", 2, 3, False), (2, "AM0002", 1, 4, False), (2, "AM0003", 2, 0, False)], "gid long, code string, rank int, matches int, excluded boolean"
+    )
+    t = spark.createDataFrame([(1, "AMS-I.A.", True), (2, "AM0003", False), (3, "AM0009", False)], "gid long, gt string, small boolean")
+    r = evaluate.diagnose(c, t).collect()[0].asDict()
+    want = dict(n=3, ceiling=0.333333, n_small=1, n_small_excluded=1, small_excluded=1.0, full=0.333333, high=0.666667, n_plain=1, n_plain_lost=1, plain_lost=1.0, in_raw=0.666667, plain_top1=0.333333, first_top1=0.0)
+    assert r == pytest.approx(want)
+
+
+def test_condition_report_against_the_baseline(spark):
+    rows = [("baseline", 1, 1, False, None, True), ("baseline", 2, None, True, 5.0, False), ("all", 1, 2, False, None, True), ("all", 2, 1, False, 5.0, False), ("all", 9, 1, False, None, True)]
+    both = evaluate.against(spark.createDataFrame(rows, "condition string, qid long, rank int, empty boolean, capacity double, grouped boolean"), "baseline")
+    got = {r.condition: r for r in evaluate.condition_report(both, "baseline", {"absent": F.col("capacity").isNull()}).collect()}
+    assert (got["baseline"].top1, got["baseline"].delta_top1, got["baseline"].n_empty) == (0.5, None, 1)
+    assert (got["all"].top1, got["all"].delta_top1, got["all"].chi2, got["all"].delta_top5, got["all"].delta_absent) == (0.5, 0.0, 0.5, 0.5, -1.0)
+    lines = {r.subset: (r.n, r.b, r.c) for r in evaluate.by_subset(both.where("condition = 'all'"), {"overall": F.lit(True), "stated": F.col("capacity").isNotNull(), "none": F.lit(False)}).collect()}
+    assert lines == {"overall": (2, 1, 1), "stated": (1, 0, 1)}
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("ACM0001", "a: b # c\n- d", None), ("VM0007", None, 3)], "code string, title string, n int")
+    landed.save_manifest(rows, f"{tmp_path}/m")
+    assert sorted(landed.load_manifest(spark, f"{tmp_path}/m", rows.schema).collect()) == sorted(rows.collect())
+    head = [r.value for r in spark.read.text(f"{tmp_path}/m").collect()][:4]
+    assert head[0] == 'version: "0.1"' and head[1].startswith('generated_at: "20') and head[1].endswith('Z"') and head[2:] == ["count: 2", "entries:"]
+    landed.save_manifest(rows.limit(0), f"{tmp_path}/none")
+    assert landed.load_manifest(spark, f"{tmp_path}/none", rows.schema).count() == 0
+
+
+def test_components_equal_plain_ones(spark):
+    x = np.random.default_rng(1).normal(size=(90, 6)) * np.array([9, 5, 3, 2, 1, 0.5])
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)] + [(90, None)], "k long, e array<double>")
+    got = index.reduced(v, index.fit_pca(v, "k", "e", 2), "e").orderBy("k").collect()
+    centred = x - x.mean(0)
+    want = centred @ np.linalg.svd(centred)[2][:2].T
+    assert np.allclose(np.abs([r.reduced for r in got]), np.abs(want))
