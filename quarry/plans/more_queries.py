@@ -138,10 +138,10 @@ CHI2 = "CASE WHEN {0} + {1} = 0 THEN 0 ELSE pow(abs({0} - {1}) - 1, 2) / ({0} +
 )
 def conditions(spark, sf_dir):
     """Each condition's first places against the baseline's, overall and on three subsets."""
-    return evaluate.by_subset(evaluate.against(rows(spark, sf_dir, RUNS), "baseline").where("condition <> 'baseline'"), SUBSETS)
+    return evaluate.by_subset(evaluate.against(rows(spark, sf_dir, RUNS), "baseline").where("condition <> 'baseline'"), {name: F.expr(c) for name, c in SUBSETS.items()})
 
 
-SUBSETS = {"overall": F.lit(True), "capacity_stated": F.expr("capacity IS NOT NULL"), "capacity_absent": F.expr("capacity IS NULL"), "first_groups": F.col("grouped")}
+SUBSETS = {"overall": "true", "capacity_stated": "capacity IS NOT NULL", "capacity_absent": "capacity IS NULL", "first_groups": "grouped"}
 
 
 @query(
@@ -153,7 +153,7 @@ SUBSETS = {"overall": F.lit(True), "capacity_stated": F.expr("capacity IS NOT NU
 )
 def condition_report(spark, sf_dir):
     """A line for each of the five conditions."""
-    return evaluate.condition_report(evaluate.against(rows(spark, sf_dir, RUNS), "baseline"), "baseline", {"absent": SUBSETS["capacity_absent"], "groups": SUBSETS["first_groups"]})
+    return evaluate.condition_report(evaluate.against(rows(spark, sf_dir, RUNS), "baseline"), "baseline", {"absent": F.expr(SUBSETS["capacity_absent"]), "groups": F.expr(SUBSETS["first_groups"])})
 
 
 @query("M15_old_new_delta", f"SELECT round(avg(CASE WHEN rank_b <= 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS delta FROM ({RANKS})")
