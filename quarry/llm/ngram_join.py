@@ -46,13 +46,30 @@ def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np
     return h[new], np.searchsorted(doc[new], np.arange(texts + 1))
 
 
-def _digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+#: What is added to a shingle for a set's first name and for its second.
+_SALTS = U64(0x632BE59BD9B4E019), U64(0x9E6C63D0676A9A99)
+
+
+def _digests(h: np.ndarray, bounds: np.ndarray, salt: np.uint64) -> np.ndarray:
     """64-bit name of each set."""
     sums = np.zeros(len(h) + 1, U64)
-    np.cumsum(mix(h + U64(0x632BE59BD9B4E019)), out=sums[1:])
+    np.cumsum(mix(h + salt), out=sums[1:])
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U64))
 
 
+class _Names:
+    """Names of sets: the first name, of so many bits, or the second where different sets share the first."""
+
+    def __init__(self, bits: int, shared: np.ndarray):
+        self.drop, self.shared = U64(64 - bits), shared
+
+    def __call__(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        first = _digests(h, bounds, _SALTS[0]) >> self.drop
+        if not len(self.shared):
+            return first
+        return np.where(np.isin(first, self.shared), _digests(h, bounds, _SALTS[1]), first)
+
+
 def _parity(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A bitmap a set, as longs: each bit the parity of the shingles that fall on it.
 
@@ -73,8 +90,9 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, U64).view(np.int64))
 
 
-def _describe(n: int):
-    """Rows of documents (kind 0: id, node, size, bits) and of the sketch (kind 1: bucket, count)."""
+def _describe(n: int, names: _Names):
+    """Rows of documents (kind 0: id, node, second name, size, bits) and of the sketch (kind 1: bucket, count)."""
+    columns = ["kind", "id", "node", "second", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -83,13 +101,20 @@ def _describe(n: int):
                 h, bounds = _sets(data, offsets, n)
                 sketch += np.bincount((h & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i), _long(_digests(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), _parity(h, bounds)],
-                    names=["kind", "id", "node", "n", "bits"],
-                )
+                    [
+                        pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i), _long(names(h, bounds)), _long(_digests(h, bounds, _SALTS[1])),
+                        pa.array(np.diff(bounds).astype(np.int32)), _parity(h, bounds),
+                    ],
+                    names=columns,
+                )
         at = np.flatnonzero(sketch)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(at), np.int8)), pa.array(at.astype(np.int64)), pa.array(sketch[at]), pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.list_(pa.int64()))], names=["kind", "id", "node", "n", "bits"]
-        )
+            [
+                pa.array(np.ones(len(at), np.int8)), pa.array(at.astype(np.int64)), pa.array(sketch[at]), pa.array(np.zeros(len(at), np.int64)),
+                pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.list_(pa.int64())),
+            ],
+            names=columns,
+        )
 
     return run
 
@@ -113,7 +138,7 @@ def shared(percent: int) -> int:
     return 3 if percent >= 100 else max(1, min(3, -(-percent // (100 - percent))))
 
 
-def _prefixes(n: int, percent: int, held):
+def _prefixes(n: int, percent: int, held, names: _Names):
     """(token, size, node, leads) of each set's first shingles in the global order.
 
     Two different linked sets share ``k = shared(percent)`` tokens among the first
@@ -129,7 +154,7 @@ def _prefixes(n: int, percent: int, held):
             for _, _, data, offsets in chunks(batch.column(0)):
                 h, bounds = _sets(data, offsets, n)
                 size = np.diff(bounds)
-                nodes = _digests(h, bounds)
+                nodes = names(h, bounds)
                 slot = (nodes & U64(_RECENT - 1)).astype(np.int64)
                 fresh = np.zeros(len(nodes), bool)
                 fresh[np.unique(nodes, return_index=True)[1]] = True
@@ -326,7 +351,7 @@ def tree_links(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return found
 
 
-def _verified(n: int, percent: int, held):
+def _verified(n: int, percent: int, held, names: _Names):
     """Links (a, b) of representatives; rows (probe, is_probe, node, id, text) sorted by (probe, probe first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,10 +371,10 @@ def _verified(n: int, percent: int, held):
             groups, nodes, keys = (batch.column(k).to_pylist() for k in (0, 2, 3))
             for i, j, data, offsets in chunks(batch.column(4)):
                 h, bounds = _sets(data, offsets, n)
-                names = _digests(h, bounds).view(np.int64).tolist()
+                found = names(h, bounds).view(np.int64).tolist()
                 for k in range(j - i):
                     row = i + k
-                    if names[k] != nodes[row]:
+                    if found[k] != nodes[row]:
                         continue  # another row with the representative's id
                     own = h[bounds[k] : bounds[k + 1]]
                     own = own[np.argsort(_order(own, classes), kind="stable")]
@@ -384,7 +409,7 @@ def _differing(a: str, b: str):
     return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id", name_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of each row: groups by Jaccard links of word shingles.
 
     Words are white-space-parted and lower-cased (A-Z).  Two texts link when
@@ -392,7 +417,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     shingles (a text of fewer words: its whole sequence); a component is named by its
     smallest id.
 
-    One pass describes each text (set size, 64-bit name of the set, parity bitmap)
+    One pass describes each text (set size, two names of the set, parity bitmap)
     and counts shingles in a fixed sketch, which orders shingles from rare to
     frequent.  Equal sets are one node.  Each node goes, by the tokens of its prefix in
     that order, to the roots of the tree; buckets give candidate pairs, which size and
@@ -401,21 +426,35 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     leave in different components then meet in blocks of BLOCK nodes, so that a group
     of n copies costs about n pairs and no link between components is missed.
 
-    Shingles are compared by 58 bits of hash inside a pair, sets named by 64 bits.
+    Shingles are compared by 58 bits of hash inside a pair.  A set's first name has
+    ``name_bits`` bits (fewer only test the rest); where sets of different second names
+    share it, they take the second, so sets are told apart by both.  Such names are
+    listed in the driver: with 64 bits, one is expected among six thousand million sets.
     Edge cases: null and empty texts have no shingle and are their own component;
     repeated rows get a row each; a null id has a null component unless linked; other
     columns are not read; an empty table gives an empty table.
     """
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    described = kept(base.mapInArrow(trimmed(_describe(n)), "kind byte, id long, node long, n int, bits array<long>"))
+    described = kept(base.mapInArrow(trimmed(_describe(n, _Names(name_bits, np.zeros(0, U64)))), "kind byte, id long, node long, second long, n int, bits array<long>"))
     sketch = described.where("kind = 1").groupBy("id").agg(F.sum("node").alias("n")).collect()  # at most SKETCH rows
     held = spark.sparkContext.broadcast(_classes(sketch))
     rows = described.where("kind = 0")
-    classes = kept(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        firsts = F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        return kept(rows.where("n > 0").groupBy("node").agg(*firsts, (F.min("second") != F.max("second")).alias("shared")))
+
+    classes = grouped(rows)
+    shared_names = [r.node for r in classes.where("shared").select("node").collect()]
+    if shared_names:
+        release(classes)
+        rows = rows.withColumn("node", F.when(F.col("node").isin(shared_names), F.col("second")).otherwise(F.col("node")))
+        classes = grouped(rows)
+    names = _Names(name_bits, np.array(shared_names, np.int64).view(U64))
     found = kept(
         base.select("text")
-        .mapInArrow(trimmed(_prefixes(n, percent, held)), "token long, n int, node long, leads boolean")
+        .mapInArrow(trimmed(_prefixes(n, percent, held, names)), "token long, n int, node long, leads boolean")
         .repartition("token")
         .sortWithinPartitions("token", "n", "node")
         .mapInArrow(trimmed(_Bucketed(percent)), "kind byte, a long, b long, times long")
@@ -437,7 +476,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
             .repartition("a", "salt")
             .sortWithinPartitions("a", "salt", "later")
             .select("a", "later", "node", "id", "text")
-            .mapInArrow(trimmed(_verified(n, percent, held)), "a long, b long")
+            .mapInArrow(trimmed(_verified(n, percent, held, names)), "a long, b long")
         )
         release(close)
         return out

@@ -47,6 +47,12 @@ def test_five_words_at_eighty(spark, corpus, documents):
     assert got == brute(corpus, 5, 80)
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_sets_that_share_a_name_stay_apart(spark, corpus, documents, bits):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(documents, name_bits=bits).collect()}
+    assert got == brute(corpus, 5, 80)
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert J.near_duplicates(empty).count() == 0
