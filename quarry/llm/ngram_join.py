@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -264,12 +265,13 @@ class _Bucketed:
 def _across(percent: int, nearest: bool):
     """Close pairs of different components inside blocks of a large bucket; if ``nearest``, one for each node at most.
 
-    Rows: token, i, j, own, n, node, component, bits.  Pairs are compared by size and
-    bitmap here, so only those that a link may join leave the block.
+    Rows: token, cell, i, j, own, home, n, node, component, bits.  Pairs are compared by
+    size and bitmap here, so only those that a link may join leave the block; guests of
+    a cell do not meet there.
     """
 
     def pairs(rows: list[np.ndarray]) -> np.ndarray:
-        i, j, own, n, node, component, bits = rows[1:]
+        i, j, own, home, n, node, component, bits = rows[2:]
         length = np.array([len(x) for x in bits])
         whole = {k: np.stack([bits[x] for x in np.flatnonzero(length == k)]) for k in np.unique(length)}
         at = np.zeros(len(n), np.int64)
@@ -278,7 +280,7 @@ def _across(percent: int, nearest: bool):
         half = {k: v[:, : k // 2] ^ v[:, k // 2 :] for k, v in whole.items()}
         out = []
         for x in np.flatnonzero(own == i):
-            fit = (own == j) & (component != component[x])
+            fit = (own == j) & (component != component[x]) & (home | home[x])
             if i[0] == j[0]:
                 fit &= node > node[x]
             size = n.astype(np.int64)
@@ -305,7 +307,7 @@ def _across(percent: int, nearest: bool):
             rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(rows[0]):
                 continue
-            edge = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
+            edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[:4]], axis=0)) + 1
             found = [pairs([x[lo:hi] for x in rows]) for lo, hi in zip(np.concatenate([[0], edge[:-1]]), edge, strict=False)] if len(edge) else []
             if found:
                 p = np.unique(np.concatenate(found), axis=0)
@@ -409,6 +411,17 @@ def _differing(a: str, b: str):
     return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _cells(percent: int, n: str):
+    """array<struct<cell, home>>: the size class of a set of n shingles, its home, and the class below, where it is a guest.
+
+    Sets whose sizes allow a link are of one class or of neighbouring ones, so they meet in the home of the smaller.
+    """
+    if percent >= 100:
+        return F.array(F.struct(F.col(n).cast("int").alias("cell"), F.lit(True).alias("home")))
+    size = F.floor(F.log(n) / (1.0001 * math.log(100 / percent))).cast("int")  # a little wide, whatever the rounding
+    return F.array(F.struct(size.alias("cell"), F.lit(True).alias("home")), F.struct((size - 1).alias("cell"), F.lit(False).alias("home")))
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id", name_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of each row: groups by Jaccard links of word shingles.
 
@@ -423,8 +436,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     that order, to the roots of the tree; buckets give candidate pairs, which size and
     bitmap bounds thin, and tries over the full sets decide them.  A bucket of more
     than SMALL_BUCKET nodes first gives a chain and pivots only; nodes that these
-    leave in different components then meet in blocks of BLOCK nodes, so that a group
-    of n copies costs about n pairs and no link between components is missed.
+    leave in different components then meet in blocks of BLOCK nodes of the sizes that
+    may link, so that a group of n copies costs about n pairs and no link between
+    components is missed.
 
     Shingles are compared by 58 bits of hash inside a pair.  A set's first name has
     ``name_bits`` bits (fewer only test the rest); where sets of different second names
@@ -488,23 +502,27 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("token")).distinct()
     # first each node with its nearest of another component, which joins most that can be joined; then all that are left
     for nearest in (True, False) if not large.isEmpty() else ():
-        named = large.join(classes.select("node", "id"), "node").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        named = kept(named.select("token", "node", F.coalesce("component", "id").alias("component")))
-        mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        blocks = named.join(mixed.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("m")), "token").join(classes.select("node", "n", "bits"), "node")
+        named = large.join(classes.select("node", "id", "n"), "node").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        named = kept(named.select("token", "node", F.coalesce("component", "id").alias("component"), F.explode(_cells(percent, "n")).alias("at")).select("token", "node", "component", "at.*"))
+        cells = named.groupBy("token", "cell").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("home").alias("any"))
+        mixed = cells.where("lo <> hi AND any").select("token", "cell", F.ceil(F.col("c") / BLOCK).cast("int").alias("m"))
+        blocks = named.join(mixed, ["token", "cell"]).join(classes.select("node", "n", "bits"), "node")
         met = kept(
             blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-            .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "component", "bits")
-            .repartition("token", "i", "j")
-            .sortWithinPartitions("token", "i", "j")
+            .select("token", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "n", "node", "component", "bits")
+            .repartition("token", "cell", "i", "j")
+            .sortWithinPartitions("token", "cell", "i", "j")
             .mapInArrow(trimmed(_across(percent, nearest)), "a long, b long")
             .distinct()
         )
+        release(named)
         if met.isEmpty():
             break
         edges = edges.union(links(met, base))
         labels = components(edges)
+        release(met)
+    release(found)
     named = classes.select("node", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return rows.select("id", "node", "n").join(named, "node", "left").select(
         F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id")

@@ -95,3 +95,30 @@ def test_components_of_chains(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (None, 5), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("percent", [70, 80])
+def test_large_buckets_of_many_sizes(spark, monkeypatch, percent):
+    r, used = random.Random(11), []
+    across = J._across
+    monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(J, "_across", lambda *a: used.append(a) or across(*a))
+    rows = []
+    for group in range(90):
+        own = [f"w{group}x{k}" for k in range(r.randint(1, 4))]
+        for _ in range(3):
+            tail = own[: r.randint(1, len(own))]
+            if r.random() < 0.5:
+                tail[-1] = f"v{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join([f"s{k}" for k in range(10)] + tail)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert used and got == brute(rows, 5, percent)
+
+
+def test_sizes_that_may_link_share_a_home(spark):
+    n = np.arange(1, 1200)
+    cells = {x.n: [tuple(c) for c in x.cells] for x in spark.createDataFrame([(int(k),) for k in n], "n int").select("n", J._cells(85, "n").alias("cells")).collect()}
+    for a in range(1, 1000):
+        for b in (a, min(a * 100 // 85, 1199)):
+            homes = [c for c, home in cells[a] + cells[b] if home]
+            assert any(c in homes for c in {c for c, _ in cells[a]} & {c for c, _ in cells[b]})
