@@ -40,3 +40,21 @@ def one_per_program(df: DataFrame, program: str, date: str, key: str) -> DataFra
     group = F.coalesce(F.col(program).cast("string"), F.concat(F.lit("NOPOA:"), F.col(key).cast("string")))
     order = Window.partitionBy(group).orderBy(F.coalesce(F.col(date).cast("string"), F.lit("9999-99-99")), key)
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def without_replacement(queries: DataFrame, space: DataFrame, k: int, seed: int) -> DataFrame:
+    """(qid, code, rank, score): k codes for each query at random, each at most once (R18); fewer where there are fewer codes.
+
+    Codes are numbered, and for each place j of the last k a draw below j + 1 is taken, or
+    j itself if that draw came up before; draws are digests of seed, query and place.  So a
+    query makes k rows, whatever the size of the space.
+    """
+    numbered = space.select("code").distinct().withColumn("at", F.row_number().over(Window.orderBy("code")) - 1)
+    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    draw = lambda j: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "qid", j)), 1, 8), 16, 10).cast("long") % (j + 1)
+    pick = F.aggregate(
+        F.sequence(F.greatest(F.col("n") - k, F.lit(0)), F.col("n") - 1), F.array().cast("array<long>"),
+        lambda seen, j: F.concat(seen, F.array(F.when(F.array_contains(seen, draw(j)), j).otherwise(draw(j)))),
+    )
+    picked = queries.select("qid").crossJoin(F.broadcast(n)).where("n > 0").select("qid", F.posexplode(pick).alias("place", "at"))  # one row
+    return picked.join(numbered, "at").select("qid", "code", (F.col("place") + 1).alias("rank"), (1.0 / (F.col("place") + 1)).alias("score"))

@@ -23,3 +23,15 @@ def primary_document(files: DataFrame, by: str, pos: str) -> DataFrame:
 def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done yet."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")
+
+
+def text_of(asked: DataFrame, sections: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(gid, found): each id's text by preference (R19): masked section, section, body, short text; empty ones are passed over.
+
+    asked: gid; sections: gid, redacted, section; bodies: gid, body, text.  A body of
+    nothing gives an empty text, an id that is in neither table a null.
+    """
+    some = lambda *names: F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in names))
+    first = sections.select("gid", some("redacted", "section").alias("_first"))
+    last = bodies.select("gid", F.coalesce(some("body", "text"), F.lit("")).alias("_last"))
+    return asked.select("gid").join(first, "gid", "left").join(last, "gid", "left").select("gid", F.coalesce("_first", "_last").alias("found"))

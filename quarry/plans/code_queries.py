@@ -91,12 +91,6 @@ def histogram(spark, sf_dir):
     return filters.matched(table(spark, sf_dir, "documents"), "text", WORDS, F.lit(False)).groupBy("match_count").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F10_semantic_inclusion", "SELECT CAST(count(*) AS BIGINT) AS n FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') AND p_type <> 'SD'")
-def inclusion(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.where(F.col("p_brand").isin("Brand#11", "Brand#12") & (F.col("p_type") != "SD")).agg(F.count(F.lit(1)).alias("n"))
-
-
 SAID = "SELECT l_orderkey AS gid, l_linenumber AS pos, l_suppkey % 40 AS code FROM lineitem"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
-from quarry.operators import catalogue, evaluate, filters, fusion, index, retrieve, sampling
+from quarry.operators import catalogue, evaluate, filters, fusion, index, retrieve, sampling, tables
 
 from .code_queries import VERSIONS
 from .registry import CODES, query, rows, table
@@ -435,17 +435,31 @@ def frequency_prior(spark, sf_dir):
     return retrieve.top(c, 5, "o_orderpriority", "c_mktsegment", "n")
 
 
-@query("R18_random_baseline", f"SELECT item_id AS qid, s_suppkey AS code, CAST(n AS INT) AS rank, round(1.0 / n, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY md5(concat('42:', CAST(item_id AS STRING), ':', CAST(s_suppkey AS STRING))), s_suppkey) n FROM benchmark, supplier) WHERE n <= 5")
+DRAW = "CAST(concat('0x', substr(md5(concat('42:', CAST(item_id AS VARCHAR), ':', CAST(n - {0} AS VARCHAR))), 1, 8)) AS BIGINT) % (n - {0} + 1)"
+DRAWS = "WITH s AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS place FROM (SELECT DISTINCT source AS code FROM documents)), c1 AS (SELECT item_id, n, " + DRAW.format(5) + " AS x1 FROM benchmark, (SELECT count(*) AS n FROM s))"
+for _k in range(2, 6):
+    DRAWS += f", c{_k} AS (SELECT *, CASE WHEN {DRAW.format(6 - _k)} IN ({', '.join(f'x{i}' for i in range(1, _k))}) THEN n - {6 - _k} ELSE {DRAW.format(6 - _k)} END AS x{_k} FROM c{_k - 1})"
+
+
+@query("R18_random_baseline", DRAWS + " SELECT item_id AS qid, code, CAST(k AS INT) AS rank, round(1.0 / k, 6) AS score FROM (SELECT item_id, unnest([x1, x2, x3, x4, x5]) AS place, unnest([1, 2, 3, 4, 5]) AS k FROM c5) JOIN s USING (place)")
 def random_baseline(spark, sf_dir):
-    """Five of a code-sized label space for each query."""
-    from pyspark.sql import Window
+    """Five codes of the label space for each query."""
+    space = table(spark, sf_dir, "documents").select(F.col("source").alias("code"))
+    picked = sampling.without_replacement(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), space, 5, 42)
+    return picked.withColumn("score", F.round("score", 6))
 
-    p = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")).crossJoin(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code")))
-    n = F.row_number().over(Window.partitionBy("qid").orderBy(F.md5(F.concat_ws(":", F.lit("42"), "qid", "code")), "code"))
-    return p.withColumn("rank", n).where("rank <= 5").withColumn("score", F.round(1.0 / F.col("rank"), 6))
 
+#: A masked and a plain section of some documents, either of which may be empty, and the body of most.
+SECTIONS = "SELECT doc_id AS gid, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN concat('masked ', text) END AS redacted, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('plain ', text) END AS section FROM documents WHERE doc_id % 4 > 0"
+BODIES = "SELECT doc_id AS gid, CASE WHEN doc_id % 2 = 0 THEN text END AS body, CASE WHEN doc_id % 8 = 1 THEN 'short' END AS text FROM documents WHERE doc_id % 9 > 0"
 
-@query("R19_text_lookup", "SELECT d.doc_id, md5(coalesce(b.text, d.text)) AS digest FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+
+@query(
+    "R19_text_lookup",
+    f"""SELECT d.doc_id AS gid, md5(CASE WHEN s.redacted <> '' THEN s.redacted WHEN s.section <> '' THEN s.section WHEN b.gid IS NULL THEN NULL WHEN b.body <> '' THEN b.body WHEN b.text <> '' THEN b.text ELSE '' END) AS digest
+    FROM documents d LEFT JOIN ({SECTIONS}) s ON s.gid = d.doc_id LEFT JOIN ({BODIES}) b ON b.gid = d.doc_id""",
+)
 def text_lookup(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("other"))
-    return table(spark, sf_dir, "documents").join(b, "doc_id", "left").select("doc_id", F.md5(F.coalesce("other", "text")).alias("digest"))
+    """The masked section, else the section, else the body of each id."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gid"))
+    return tables.text_of(asked, rows(spark, sf_dir, SECTIONS), rows(spark, sf_dir, BODIES)).select("gid", F.md5("found").alias("digest"))

@@ -65,16 +65,25 @@ _spans("T19_gold_standard_span", "SECTION A. x", "SECTION B. z", "GS", 14)
 _spans("T20_component_span", "SECTION A.", "SECTION B.", "GS-CDM-CPA-DD", 12)
 _spans("T21_small_scale_span", "SECTION A. General description", "A.4. Tech", "VCS-CDM-SSC", 32)
 
-BOOK = "SELECT p_partkey, concat('Typical project(s) ', p_name, ';', chr(10), 'Important conditions ', p_type, '.,', chr(10), CASE WHEN p_size % 2 = 0 THEN 'BASELINE SCENARIO none' ELSE '' END) AS page FROM part"
-TYPICAL, CONDITIONS = r"Typical project\(s\)\s*([^\n]*?)[;.,]*\n", r"Important conditions\s*([^\n]*?)[;.,]*\n"
+BOOK = """SELECT p_partkey, concat('AM', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0')) AS code, concat('AM', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), ' ', p_name, chr(10), CASE WHEN p_partkey % 7 = 0 THEN 'nothing' ELSE concat(
+  'Typical project(s)', chr(10), p_name, chr(10), ' here', chr(10), 'Type of GHG emissions', chr(10), 'mitigation action', chr(10), '• ', p_type, ';', chr(10), 'goes on.', chr(10), 'Important conditions under', chr(10), 'which the methodology is', chr(10), 'applicable', chr(10), '•', chr(10), 'first ', p_brand, ';.', chr(10), '  •  second', chr(10), 'line,', chr(10),
+  'Important parameters', chr(10), CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN concat('At validation:', chr(10), '• v', chr(10), 'Monitored:', chr(10), '• m;', chr(10), '• n') WHEN 1 THEN concat('At validation:', chr(10), '• v') ELSE concat('• m;', chr(10), '• n') END, chr(10),
+  'BASELINE SCENARIO', chr(10), 'as  ', p_type, chr(10), 'PROJECT SCENARIO', chr(10), 'new ', p_name, chr(10), 'AM', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), '  again') END) AS text FROM part"""
 
 
-@query("T31_booklet", f"SELECT p_partkey, regexp_extract(page, '{TYPICAL}', 1) AS typical, regexp_extract(page, '{CONDITIONS}', 1) AS conditions, CAST(2 + CAST(contains(page, 'BASELINE SCENARIO') AS INT) AS BIGINT) AS anchors FROM ({BOOK})")
+@query(
+    "T31_booklet",
+    """SELECT p_partkey, concat(p_name, ' here') AS typical, concat(p_type, '; goes on') AS mitigation, concat('first ', p_brand, '|second line') AS conditions, CASE WHEN p_partkey % 3 < 2 THEN 'v' ELSE '' END AS validation, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE 'm|n' END AS monitored,
+      concat('as ', p_type) AS baseline, concat('new ', p_name) AS project FROM part WHERE p_partkey % 7 <> 0""",
+)
 def booklet(spark, sf_dir):
-    """Pages of two anchors or more, texts between them without their last signs."""
-    anchors = sum(F.contains("page", F.lit(a)).cast("long") for a in ("Typical project(s)", "Important conditions", "BASELINE SCENARIO"))
-    b = rows(spark, sf_dir, BOOK).withColumn("anchors", anchors).where("anchors >= 2")
-    return b.select("p_partkey", F.regexp_extract("page", TYPICAL, 1).alias("typical"), F.regexp_extract("page", CONDITIONS, 1).alias("conditions"), "anchors")
+    """Sections, items and scenarios of pages with two anchors or more."""
+    b = sections.booklet(rows(spark, sf_dir, BOOK))
+    joined = lambda c, name: F.array_join(c, "|").alias(name)
+    return b.select(
+        "p_partkey", F.col("typical_projects").alias("typical"), F.col("mitigation_action").alias("mitigation"), joined("applicability", "conditions"), joined("parameters_at_validation", "validation"),
+        joined("parameters_monitored", "monitored"), F.col("baseline_scenario").alias("baseline"), F.col("project_scenario").alias("project"),
+    )
 
 
 @query("P04_scale_multipliers", "SELECT p_partkey, signal AS multiplier FROM (" + ORACLES["P03_scale_signal"] + ") WHERE signal < 1")
@@ -253,9 +262,13 @@ def largest_file(spark, sf_dir):
     return landed.largest_file(spark, sf_dir, "*.parquet", least=100).select(F.element_at(F.split("name", "-"), 1).alias("name"), "length")
 
 
-@query("S12_newest_snapshot", "SELECT max(url) AS newest FROM pages")
+SNAPSHOTS = "SELECT page_id, concat('/data/', CASE WHEN page_id % 4 = 0 THEN 'notes' ELSE 'guidance' END, '-', CASE WHEN page_id % 3 = 0 THEN 'gs' ELSE 'cdm' END, '-', CAST(20200000 + page_id * 7919 % 9999 AS STRING), CASE WHEN page_id % 5 = 0 THEN '.txt' ELSE '.html' END) AS path FROM pages"
+
+
+@query("S12_newest_snapshot", f"SELECT CASE WHEN page_id % 3 = 0 THEN 'gs' ELSE 'cdm' END AS slug, max(path) AS path FROM ({SNAPSHOTS}) WHERE page_id % 4 > 0 AND page_id % 5 > 0 GROUP BY 1")
 def newest(spark, sf_dir):
-    return table(spark, sf_dir, "pages").agg(F.max("url").alias("newest"))
+    """The newest guidance page of each registry by its name."""
+    return landed.newest(rows(spark, sf_dir, SNAPSHOTS), r"^guidance-(.*)-[^-]*\.html$")
 
 
 @query("S35_absent_side_table", "SELECT s_suppkey, CAST(NULL AS DOUBLE) AS cap FROM supplier")

@@ -303,18 +303,19 @@ def text_source(spark, sf_dir):
     return landed.text_source(d, "rich").select("gid", F.md5("text").alias("digest"))
 
 
-@query("S20_status_tally", "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+STATUS = "SELECT o_orderkey, o_orderkey % 6 = 0 AS present, CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 500 WHEN 3 THEN NULL ELSE 200 END AS status FROM orders"
+
+
+@query("S20_status_tally", f"SELECT CASE WHEN present THEN 'skip_exists' WHEN status = 200 THEN 'ok' WHEN status = 403 THEN 'fail_403' WHEN status = 404 THEN 'fail_404' ELSE 'fail_other' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM ({STATUS}) GROUP BY 1")
 def status_tally(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return rows(spark, sf_dir, STATUS).groupBy(landed.fetched(F.col("present"), F.col("status")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("L07_incremental_index")
 def incremental_index(spark, sf_dir):
     """Postings appended by a file stream until it has caught up; the rows that the sink then holds."""
     base = _landed(spark, sf_dir)
-    out = f"{base}/postings-{abs(hash(sf_dir)) % 10**9}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    out = f"{base}/postings"
     schema = table(spark, sf_dir, "documents").schema
     src = f"{base}/stream-in"
     table(spark, sf_dir, "documents").write.mode("overwrite").parquet(src)

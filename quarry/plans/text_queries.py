@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import sections, tables
+from quarry.operators import catalogue, sections, tables
 
 from .registry import ORACLES, SPLICED, query, rows, table
 
@@ -170,6 +173,12 @@ def document_type(spark, sf_dir):
     return rows(spark, sf_dir, NAMED).select("doc_id", kind.alias("kind")).withColumn("class", sections.semantic_class(F.col("kind")))
 
 
+@query("F10_semantic_inclusion", f"SELECT doc_id FROM (SELECT doc_id, {TYPE_SQL} AS kind FROM ({NAMED})) WHERE {CLASS_CASE} IN ('single', 'component') AND kind <> 'SD-VISta'")
+def inclusion(spark, sf_dir):
+    """Documents of single projects and components, but for SD-VISta."""
+    return rows(spark, sf_dir, NAMED).where(sections.included(sections.doc_type(F.col("name"), F.col("text")))).select("doc_id")
+
+
 @query("A06_type_tallies", f"SELECT coalesce(lang, 'all') AS lang, coalesce(kind, 'all') AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT d.lang, {TYPE_SQL} AS kind FROM ({NAMED}) JOIN documents d USING (doc_id)) GROUP BY GROUPING SETS ((lang, kind), (kind), ())".replace("left(text", "left(n.text").replace("matches(text", "matches(n.text").replace(f"({NAMED}) JOIN", f"({NAMED}) n JOIN"))
 def type_tallies(spark, sf_dir):
     typed = rows(spark, sf_dir, NAMED).select("doc_id", sections.doc_type(F.col("name"), F.col("text")).alias("kind")).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
@@ -177,13 +186,17 @@ def type_tallies(spark, sf_dir):
     return sets.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("kind", F.lit("all")).alias("kind"), "n")
 
 
-PROGRAM = "SELECT o_orderkey, concat('GS', lpad(CAST(o_orderkey % 9000 + 1000 AS STRING), 4, '0')) AS gid, concat('GS', lpad(CAST(o_orderkey % 9000 + 1000 AS STRING), 4, '0'), ' GS', lpad(CAST(o_custkey % 9000 + 1000 AS STRING), 4, '0'), ' VPA-3.pdf') AS name FROM orders"
+PROGRAM = """SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'GS-VPA-DD' WHEN 1 THEN 'CDM-CPA-DD' WHEN 2 THEN 'VCS-CPA-component' ELSE 'VCS-PD' END AS kind, concat('GS', CAST(1000 + doc_id AS STRING)) AS gid,
+  CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN concat('GS', CAST(1000 + doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN ' VPA-3.pdf' ELSE ' GS 7001 VPA-3.pdf' END) WHEN 1 THEN 'x PoA 88.pdf' WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'plain.pdf' ELSE 'CPA-W-015.pdf' END ELSE 'CPA-1 GS7777.pdf' END AS name,
+  concat(CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'of PoA-9.2 ' WHEN doc_id % 4 = 2 THEN 'this CPA 15 is ' ELSE 'under GS_8002 here ' END, text) AS text FROM documents"""
+# what the rule makes of these names and heads; digits of the texts themselves stand in no such reference
+PROGRAM_SQL = """CASE kind WHEN 'GS-VPA-DD' THEN CASE WHEN doc_id % 3 <> 0 THEN 'GS7001' WHEN doc_id % 5 <> 0 THEN 'GS8002' END WHEN 'CDM-CPA-DD' THEN CASE WHEN doc_id % 5 <> 0 THEN 'PoA-9.2' ELSE 'PoA88' END
+  WHEN 'VCS-CPA-component' THEN CASE WHEN doc_id % 3 <> 0 THEN 'CPA-W' WHEN doc_id % 5 <> 0 THEN 'CPA' END END"""
 
 
-@query("T25_program_id", f"SELECT o_orderkey, list_filter(regexp_extract_all(name, 'GS\\d{{4,5}}'), lambda x: x <> gid)[1] AS program FROM ({PROGRAM})")
+@query("T25_program_id", f"SELECT doc_id, {PROGRAM_SQL} AS program FROM ({PROGRAM})")
 def program_id(spark, sf_dir):
-    ids = F.filter(F.regexp_extract_all("name", F.lit(r"GS\d{4,5}"), F.lit(0)), lambda x: x != F.col("gid"))
-    return rows(spark, sf_dir, PROGRAM).select("o_orderkey", F.try_element_at(ids, F.lit(1)).alias("program"))
+    return rows(spark, sf_dir, PROGRAM).select("doc_id", sections.program_id(F.col("kind"), F.col("name"), F.col("text"), F.col("gid")).alias("program"))
 
 
 SECTIONED = "SELECT doc_id, concat('1. Scope of it', chr(10), text, chr(10), '2.1 | Baseline monitoring', chr(10), '- first item', chr(10), 'goes on', chr(10), '(b) second', chr(10), 'III. Eligibility criteria', chr(10), 'x', chr(10), '4. Definition of terms') AS text FROM documents"
@@ -229,11 +242,21 @@ def clean_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_markup(F.col("html"))).alias("digest"))
 
 
-@query("T33_eligibility_excerpt", "SELECT l_orderkey, left(string_agg(concat(CAST(l_partkey AS STRING), ' ', l_returnflag), '; ' ORDER BY l_linenumber, l_partkey, l_returnflag), 30) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) n FROM lineitem) WHERE n <= 6 GROUP BY l_orderkey")
+CONDITIONS = "SELECT l_partkey, CONCAT('item <b>', CAST(l_orderkey AS STRING), '</b>  ', l_returnflag) AS item, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem"
+
+
+@query(
+    "T33_eligibility_excerpt",
+    f"""WITH c AS ({CONDITIONS}), t AS (SELECT p_partkey, concat('Typical ', p_name) AS typical, concat('none of ', p_type) AS base, (SELECT string_agg(replace(replace(replace(item, '<b>', ' '), '</b>', ' '), '  ', ' '), ' ' ORDER BY n) FROM c WHERE l_partkey = p_partkey AND n <= 12) AS twelve,
+      (SELECT string_agg(replace(replace(replace(item, '<b>', ' '), '</b>', ' '), '  ', ' '), ' ' ORDER BY n) FROM c WHERE l_partkey = p_partkey AND n <= 6) AS six FROM part)
+    SELECT p_partkey, left(regexp_replace(concat_ws(' ', typical, twelve, base), ' +', ' ', 'g'), 7000) AS long, left(regexp_replace(concat_ws(' ', typical, six), ' +', ' ', 'g'), 60) AS short FROM t""",
+)
 def excerpt(spark, sf_dir):
-    """The first six bullets of each order, cut at 30 signs."""
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("b"))
-    return l.select("l_orderkey", F.substring(F.array_join(F.transform(F.slice("b", 1, 6), lambda x: F.concat_ws(" ", x["l_partkey"], x["l_returnflag"])), "; "), 1, 30).alias("excerpt"))
+    """What is typical, the first twelve conditions and the baseline; and a short form of six, cut at sixty signs."""
+    first = rows(spark, sf_dir, CONDITIONS).where("n <= 12").groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("c"))
+    p = table(spark, sf_dir, "part").join(first, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("items", F.transform("c", lambda x: x["item"]))
+    typical, base = F.concat(F.lit("Typical "), "p_name"), F.concat(F.lit("none of "), "p_type")
+    return p.select("p_partkey", sections.eligibility(typical, F.col("items"), base).alias("long"), sections.eligibility(typical, F.col("items"), None, 6, 60).alias("short"))
 
 
 @query("T35_needle_contexts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '.{0,20}license.{0,20}')) AS BIGINT) AS n FROM documents WHERE contains(text, 'license')")
@@ -274,20 +297,66 @@ def capacity(spark, sf_dir):
     return rows(spark, sf_dir, CAP).select("o_orderkey", F.col("t").rlike(T.CAPACITY).alias("stated"), F.regexp_extract("t", T.CAPACITY, 0).alias("value"))
 
 
-@query("S23_html_index", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a[^>]+href=\"([^\"]+)\"', 1)) AS BIGINT) AS n_links, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) AS title FROM pages")
+INDEX = """SELECT page_id, concat(html, chr(10), '<tr><th nowrap="nowrap">ACM', lpad(CAST(page_id % 10000 AS STRING), 4, '0'), '</th><td>x</td>', chr(10), '<a href="https://cdm.unfccc.int/methodologies/DB/A', CAST(page_id AS STRING), '">Title', chr(10), ' of ', CAST(page_id AS STRING), ' --- Version 3.0 </a></tr>',
+  '<tr><th>AMS-I.D</th><a href="https://cdm.unfccc.int/methodologies/DB/B2">Other</a></tr><tr><th>ACM', lpad(CAST(page_id % 10000 AS STRING), 4, '0'), '</th><a href="https://cdm.unfccc.int/methodologies/DB/C3">Again</a></tr>',
+  CASE WHEN page_id % 3 = 0 THEN '<tr><th>AM0001</th><a href="https://cdm.unfccc.int/methodologies/DB/D4">Last</a></tr>' ELSE '' END) AS html FROM pages"""
+
+
+@query(
+    "S23_html_index",
+    """SELECT page_id, concat('ACM', lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0')) AS code, concat('https://cdm.unfccc.int/methodologies/DB/A', page_id) AS url, concat('Title of ', page_id) AS title FROM pages
+    UNION ALL SELECT page_id, 'AM0001', 'https://cdm.unfccc.int/methodologies/DB/D4', 'Last' FROM pages WHERE page_id % 3 = 0""",
+)
 def html_index(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a[^>]+href="([^"]+)"'), F.lit(1))).cast("long").alias("n_links"), F.regexp_extract("html", "(?i)<title>([^<]*)</title>", 1).alias("title"))
+    """Rows of a category's index behind whole pages: other codes and repeated ones go."""
+    return catalogue.index_rows(rows(spark, sf_dir, INDEX), "html", catalogue.INDEX_ROWS["CDM"], catalogue.INDEX_CODES["PA"]).select("page_id", "code", "url", "title")
+
+
+ANCHORS = """SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'Standards' ELSE 'Procedures' END AS section,
+  concat('https://', CASE WHEN p_partkey % 5 = 0 THEN 'other.example' ELSE 'h.example' END, '/docs/', CASE WHEN p_partkey % 3 = 0 THEN concat('plain', CAST(p_partkey % 40 AS STRING)) ELSE concat(CAST(400 + p_partkey % 30 AS STRING), '_V1.', CAST(p_size AS STRING), '_PAR_a-title') END, '.pdf') AS href,
+  CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 = 1 THEN p_name ELSE concat(p_name, ', v', CAST(p_size % 12 AS STRING), '.', CAST(p_partkey % 3 AS STRING)) END AS text,
+  concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN concat(' CDM-EB', CAST(p_size AS STRING), '-A07-TOOL Ver3.1 05.0', CAST(1 + p_size % 9 AS STRING), '.2020 Core document') ELSE ' Note: 1 optional' END) AS row FROM part"""
+HERE = "strpos(href, '//h.example') > 0"
+NAME = "regexp_extract(href, '([^/]*)[.]pdf$', 1)"
+EXPECTED = ["GS-400", "GS-plain1", "GS-none"]
 
 
-@query("S26_catalog_discovery", "SELECT split_part(url, '/', 3) AS host, CAST(count(*) AS BIGINT) AS n, arg_max(page_id, page_id) AS latest FROM pages GROUP BY 1")
+@query(
+    "S26_catalog_discovery",
+    f"""WITH a AS (SELECT *, {NAME} AS stem FROM ({ANCHORS}) WHERE {HERE}),
+    l AS (SELECT *, concat(CASE WHEN starts_with(text, 'r') THEN '' ELSE 'R-' END, replace(split_part(text, ',', 1), ' ', '-')) AS doc_id, regexp_extract(text, ', v(.*)$', 1) AS version FROM a WHERE text <> ''),
+    r AS (SELECT *, CASE WHEN pos % 3 = 0 THEN regexp_extract(row, 'CDM-EB[0-9]+-A07-TOOL') ELSE concat('R-', stem) END AS doc_id FROM a),
+    f AS (SELECT *, concat('GS-', CASE WHEN pos % 3 = 0 THEN stem ELSE split_part(stem, '_V', 1) END) AS doc_id FROM a)
+    SELECT 'doclink' AS mode, doc_id, version, CASE section WHEN 'Standards' THEN 'standard' ELSE 'procedure' END AS type, '' AS effective, href AS url FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN version = '' THEN [0] ELSE [CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT)] END DESC, pos) n FROM l) WHERE n = 1
+    UNION ALL SELECT 'row', doc_id, CASE WHEN pos % 3 = 0 THEN '3.1' ELSE '' END, CASE section WHEN 'Standards' THEN 'standard' ELSE 'procedure' END, CASE WHEN pos % 3 = 0 THEN regexp_replace(regexp_extract(row, '05[.]0[0-9][.]2020'), '05[.](0[0-9])[.]2020', '2020-\\1-05') ELSE '' END, href FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) n FROM r) WHERE n = 1
+    UNION ALL SELECT 'filename', doc_id, CASE WHEN pos % 3 = 0 THEN '' ELSE regexp_extract(stem, '_V([0-9.]+)_', 1) END, CASE WHEN pos % 3 = 0 THEN 'core' ELSE 'optional' END, CASE WHEN pos % 3 = 0 THEN regexp_replace(regexp_extract(row, '05[.]0[0-9][.]2020'), '05[.](0[0-9])[.]2020', '2020-\\1-05') ELSE '' END, href FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) n FROM f) WHERE n = 1
+    UNION ALL SELECT 'missing', x, NULL, NULL, NULL, NULL FROM (SELECT unnest({EXPECTED}) x) WHERE x NOT IN (SELECT doc_id FROM f)""",
+)
 def discovery(spark, sf_dir):
-    host = F.element_at(F.split("url", "/"), 3)
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("latest"))
+    """Documents that a catalogue's links name, by each way of reading them, and the expected ones that are missing."""
+    a = rows(spark, sf_dir, ANCHORS)
+    columns = ["doc_id", "version", "type", "effective", "url"]
+    found = {m: catalogue.discovered(a, m, o, "//h.example").select(F.lit(m).alias("mode"), *columns) for m, o in (("doclink", "R"), ("row", "R"), ("filename", "GS"))}
+    expected = spark.createDataFrame([(x,) for x in EXPECTED], "doc_id string")
+    none = [F.lit(None).cast("string").alias(c) for c in columns[1:]]
+    missing = tables.missing(expected, found["filename"], "doc_id").select(F.lit("missing").alias("mode"), "doc_id", *none)
+    return found["doclink"].union(found["row"]).union(found["filename"]).union(missing)
 
 
-@query("S21_download_plan", "SELECT page_id, coalesce(nullif(regexp_extract(url, '^(.*\\.html)', 1), ''), concat('https://mirror.example/', CAST(page_id AS STRING))) AS target FROM pages")
+ENTRIES = """SELECT CAST(p_partkey AS STRING) AS code, CASE WHEN p_partkey % 4 > 0 THEN p_type END AS registry, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN NULL WHEN 1 THEN array(named_struct('version', '1', 'url', ''), named_struct('version', '2', 'url', concat('https://h.example/a%20b+', p_size, '.pdf')), named_struct('version', '3', 'url', 'https://h.example/c.pdf')) ELSE array(named_struct('version', '1', 'url', '')) END AS documents,
+  CASE WHEN p_size % 2 = 0 THEN concat('https://made.example/', p_partkey, '.pdf') END AS made_url, '9' AS made_version FROM part"""
+OWNER = "coalesce(CASE WHEN p_partkey % 4 > 0 THEN p_type END, '_UNKNOWN')"
+
+
+@query(
+    "S21_download_plan",
+    f"""SELECT every, CAST(p_partkey AS VARCHAR) AS code, {OWNER} AS registry, v AS version, concat({OWNER}, '/', p_partkey, '/', CASE v WHEN '2' THEN concat('a b+', p_size, '.pdf') WHEN '3' THEN 'c.pdf' ELSE concat(p_partkey, '.pdf') END) AS target
+    FROM part, (VALUES (TRUE, '2'), (TRUE, '3'), (FALSE, '2'), (TRUE, '9'), (FALSE, '9')) k(every, v) WHERE CASE WHEN v = '9' THEN p_partkey % 3 <> 1 AND p_size % 2 = 0 ELSE p_partkey % 3 = 1 END""",
+)
 def download_plan(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("url", r"^(.*\.html)", 1), F.lit("")), F.concat(F.lit("https://mirror.example/"), "page_id")).alias("target"))
+    """Listed files, all or the first with an address, else made-up addresses."""
+    e = rows(spark, sf_dir, ENTRIES)
+    return reduce(DataFrame.union, [catalogue.download_plan(e, k).select(F.lit(k).alias("every"), "code", "registry", "version", "target") for k in (True, False)])
 
 
 @query("S31_skip_existing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,12 +52,24 @@ def load_manifest(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 
 def latest(paths: DataFrame, path: str = "path") -> DataFrame:
-    """The artifact of each slug with the largest n in ``{slug}-n{n}`` (S10); the newest name of all is max(path)."""
+    """The artifact of each slug with the largest n in ``{slug}-n{n}``."""
     name = F.element_at(F.split(path, "/"), -1)
     parsed = paths.select(F.regexp_extract(name, r"^(.*?)-n(\d+)", 1).alias("slug"), F.regexp_extract(name, r"-n(\d+)", 1).try_cast("long").alias("n"), path)
     return parsed.where("slug <> ''").groupBy("slug").agg(F.max_by(path, F.struct("n", path)).alias(path), F.max("n").alias("n"))
 
 
+def newest(paths: DataFrame, name: str, path: str = "path") -> DataFrame:
+    """(slug, path): of each slug, the first group of the pattern ``name``, the file whose name is last in order (S12); other files are left out."""
+    file = F.element_at(F.split(path, "/"), -1)
+    named = paths.where(file.rlike(name)).select(F.regexp_extract(file, name, 1).alias("slug"), file.alias("_file"), path)
+    return named.groupBy("slug").agg(F.max(F.struct("_file", path))[path].alias(path))
+
+
+def fetched(present: Column, status: Column) -> Column:
+    """What came of a download (S20): a file that was there is skipped, 200 is ok, other answers fail by their number."""
+    return F.when(present, "skip_exists").when(status == 200, "ok").when(status.isin(403, 404), F.concat(F.lit("fail_"), status.cast("string"))).otherwise("fail_other")
+
+
 def largest_file(spark: SparkSession, folder: str, glob: str = "*.pdf", not_prefix: str = "RU_", least: int = 1024) -> DataFrame:
     """The largest file of each directory that is big enough and not of another language (S11, S22): contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path", "length")

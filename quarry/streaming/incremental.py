@@ -10,10 +10,12 @@ from quarry.functions import text
 
 def postings(docs: DataFrame, doc: str, column: str) -> DataFrame:
     """(doc, terms array<struct<term,tf>>, dl) of each document by itself: no state between batches."""
-    words = text.tokens(F.col(column))
-    return docs.select(F.col(doc).alias("doc"), words.alias("w")).select(
-        "doc", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf"))).alias("terms"), F.size("w").alias("dl")
-    )
+    words = docs.select(F.col(doc).alias("doc"), F.sort_array(text.tokens(F.col(column))).alias("w")).withColumn("dl", F.size("w"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = words.withColumn("s", starts)
+    terms = F.transform("s", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - i).alias("tf")))
+    return runs.select("doc", terms.alias("terms"), "dl")
 
 
 def catch_up(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, doc: str, column: str) -> int:

@@ -327,3 +327,54 @@ def test_components_equal_plain_ones(spark):
     centred = x - x.mean(0)
     want = centred @ np.linalg.svd(centred)[2][:2].T
     assert np.allclose(np.abs([r.reduced for r in got]), np.abs(want))
+
+
+def test_programme_of_a_component(spark):
+    cases = [
+        ("GS-VPA-DD", "GS1 GS5658 VPA-37.pdf", "", "GS11044", "GS5658"), ("GS-VPA-DD", "GS11044_GS5658-VPA.pdf", "GS 4321", "GS11044", "GS4321"), ("GS-VPA-DD", None, None, "GS1000", None),
+        ("CDM-CPA-DD", "PoA 7_x", "in PoA-12.1", "g", "PoA-12.1"), ("CDM-CPA-DD", "Poa 7", "", "g", "Poa7"), ("CDM-CPA-DD", "x", None, "g", None),
+        ("VCS-CPA-component", "cpa-w-015.pdf", "", "g", "CPA-w"), ("VCS-CPA-component", "x", "z" * 490 + " CPA 15", "g", "CPA"), ("VCS-CPA-component", "x", "z" * 500 + "CPA 15", "g", None), ("VCS-PD", "GS7777", "PoA-1", "g", None), (None, "GS7777", "x", "g", None),
+    ]
+    df = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k long, kind string, name string, text string, gid string")
+    got = {r.k: r.p for r in df.select("k", sections.program_id(F.col("kind"), F.col("name"), F.col("text"), F.col("gid")).alias("p")).collect()}
+    assert got == {k: c[4] for k, c in enumerate(cases)}
+
+
+def test_booklet_pages_and_items(spark):
+    page = "AM0001 t\nTypical project(s)\na\nBASELINE SCENARIO\nfirst\nBASELINE SCENARIO\n last AM0001 tail\nImportant parameters\nMonitored:\n• m\nAt validation:\n• v;"
+    df = spark.createDataFrame([(1, page, "AM0001"), (2, "Typical project(s) only", "AM2"), (3, None, None), (4, "PROJECT SCENARIO and Important conditions", "X")], "k long, text string, code string")
+    got = {r.k: r for r in sections.booklet(df).collect()}
+    assert set(got) == {1, 4} and (got[1].baseline_scenario, got[1].typical_projects) == ("last", "a")
+    assert (got[1].parameters_at_validation, got[1].parameters_monitored) == ([], ["m At validation:", "v"])
+    assert (got[4].project_scenario, got[4].applicability) == ("and Important conditions", [])
+    items = {"intro\n• a;\n b.,\n•\nc\n  •  d": ["intro", "a; b", "c", "d"], "": [], "•\n•\n;": [], "• x • y": ["x • y"]}
+    assert {t: one(spark, sections.booklet_items(F.col("t")), t=t) for t in items} == items
+
+
+def test_index_rows_and_plans_on_nulls(spark):
+    html = 'V x VM0042 y <a class="b" href="https://v.example/1">An\n other</a> VM0042 <a href="https://v.example/2">no</a> VT0001 <a href="https://v.example/3">T --- version 1.0</a>'
+    rows = catalogue.index_rows(spark.createDataFrame([(1, html), (2, None), (3, "")], "k long, html string"), "html", catalogue.INDEX_ROWS["Verra"]).collect()
+    assert sorted((r.k, r.code, r.url, r.title) for r in rows) == [(1, "VM0042", "https://v.example/1", "An other"), (1, "VT0001", "https://v.example/3", "T")]
+    schema = "code string, registry string, documents array<struct<version:string,url:string>>, made_url string, made_version string"
+    plans = spark.createDataFrame([("a", None, [("1", None), ("2", "u/x%zz")], "m/1", "9"), ("b", "R", None, "m/b%2Fc", "9"), ("c", "R", [], "", "9"), ("d", "R", None, None, None)], schema)
+    assert {(r.code, r.version, r.target) for r in catalogue.download_plan(plans).collect()} == {("a", "2", "_UNKNOWN/a/x%zz"), ("b", "9", "R/b/b/c")}
+
+
+def test_draws_without_replacement(spark):
+    space = spark.createDataFrame([(f"c{k}",) for k in range(7)] + [("c0",)], "code string")
+    q = spark.range(300).withColumnRenamed("id", "qid")
+    got = {}
+    for r in sampling.without_replacement(q, space, 3, 1).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.code
+    assert len(got) == 300 and all(sorted(x) == [1, 2, 3] and len(set(x.values())) == 3 for x in got.values())
+    counts = {c: sum(c in x.values() for x in got.values()) for c in {c for x in got.values() for c in x.values()}}
+    assert len(counts) == 7 and 90 < min(counts.values()) and max(counts.values()) < 170
+    assert sampling.without_replacement(q.limit(2), space.limit(2), 5, 1).count() == 4 and sampling.without_replacement(q, space.limit(0), 5, 1).count() == 0
+
+
+def test_postings_count_each_word(spark):
+    from quarry.streaming import incremental
+
+    docs = spark.createDataFrame([(1, "wind solar wind day hydro wind"), (2, None), (3, "a"), (4, "solo")], "d long, t string")
+    got = {r.doc: ({t.term: t.tf for t in r.terms}, r.dl) for r in incremental.postings(docs, "d", "t").collect()}
+    assert got == {1: ({"wind": 3, "solar": 1, "hydro": 1}, 5), 2: ({}, 0), 3: ({}, 0), 4: ({"solo": 1}, 1)}
