@@ -14,8 +14,9 @@ from .ngram_join import op1_ngram_join
 from .packing import op3_packing
 from .pii import op6_pii
 from .quality import op8_quality
-from .sql import DECONTAMINATE, NGRAM_JOIN, SUBSTRING_DEDUP
+from .sql import DECONTAMINATE, NGRAM_JOIN, SUBSTRING_DEDUP, TARGET_ENCODING
 from .substrings import op4_substring_dedup
+from .target_encoding import op12_target_encoding
 from .urls import op9_urls
 
 
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_urls": op9_urls,
         "op10_fingerprints": op10_fingerprints,
+        "op12_target_encoding": op12_target_encoding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op4_substring_dedup": SUBSTRING_DEDUP, "op5_decontaminate": DECONTAMINATE}
+    return {"op1_ngram_join": NGRAM_JOIN, "op4_substring_dedup": SUBSTRING_DEDUP, "op5_decontaminate": DECONTAMINATE, "op12_target_encoding": TARGET_ENCODING}

@@ -1,4 +1,4 @@
-"""SQL of the operators that SQL can express: n-gram join, substring dedup, decontamination."""
+"""SQL of the operators that SQL can express."""
 
 from __future__ import annotations
 
@@ -41,3 +41,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text: half a byte at a time, the table by its rule."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    entries = ", ".join(f"{k}::UBIGINT" for k in table)
+    step = lambda c: f"xor({c} >> 4, list_extract([{entries}], CAST({c} & 15 AS INTEGER) + 1))"
+    start = "list_value(4294967295::UBIGINT)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT)"
+    return f"xor(list_reduce(list_concat({start}, {codes}), lambda c, b: {step(step('xor(c, b)'))}), 4294967295::UBIGINT)"
+
+
+def _past(column: str) -> str:
+    """n and s of the line's column before its moment, without its fold."""
+    over = lambda *by: f"(PARTITION BY {', '.join(by)} ORDER BY moment RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return ", ".join(
+        f"coalesce({f} OVER {over(column)}, 0) - coalesce({f} OVER {over(column, 'fold')}, 0) AS {column}_{c}"
+        for c, f in (("n", "sum(1)"), ("s", "sum(CASE WHEN flag = 'returned' THEN 1 ELSE 0 END)"))
+    )
+
+
+def _rate(column: str, prior: str) -> str:
+    return f"CASE WHEN {column}_n < 1 THEN {prior} ELSE CAST((1000000 * {column}_s + 50 * {prior}) // ({column}_n + 50) AS BIGINT) END"
+
+
+TARGET_ENCODING = f"""
+WITH j AS (SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, l.flag, coalesce(s.client_id, -1) AS client_id, epoch_us(s.sold_at) AS moment,
+  CAST({_crc32('CAST(l.sale_id AS VARCHAR)')} % 5 AS INTEGER) AS fold FROM sale_lines l JOIN sales s ON s.sale_id = l.sale_id WHERE s.sold_at IS NOT NULL),
+k AS (SELECT j.*, i.kind, v.nation_id, c.segment, 0 AS a FROM j LEFT JOIN items i ON i.item_id = j.item_id LEFT JOIN vendors v ON v.vendor_id = j.vendor_id LEFT JOIN clients c ON c.client_id = j.client_id),
+h AS (SELECT *, {', '.join(_past(x) for x in ('a', 'kind', 'item_id', 'nation_id', 'vendor_id', 'segment', 'client_id'))} FROM k),
+p AS (SELECT *, {_rate('a', '500000')} AS r FROM h),
+g AS (SELECT *, {_rate('kind', 'r')} AS rk, {_rate('nation_id', 'r')} AS rn, {_rate('segment', 'r')} AS rs FROM p)
+SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, count(*) FILTER (WHERE flag = 'returned') AS n_returned,
+  CAST(max(item_id_n) AS BIGINT) AS item_n, max({_rate('item_id', 'rk')}) AS item_rate, CAST(max(vendor_id_n) AS BIGINT) AS vendor_n,
+  max({_rate('vendor_id', 'rn')}) AS vendor_rate, CAST(max(client_id_n) AS BIGINT) AS client_n, max({_rate('client_id', 'rs')}) AS client_rate
+FROM g GROUP BY sale_id, item_id, vendor_id
+"""

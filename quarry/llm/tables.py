@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and a lost executor loses nothing.
+def kept(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written to the shared folder (a folder for each value of ``by``) and read again: lineage is cut, and a lost executor loses nothing.
 
     The shuffle files behind df are not needed from then on and are deleted.
     """
@@ -42,7 +42,8 @@ def kept(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
