@@ -2,31 +2,73 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import kept, release, table
+from .words import trimmed
 
 #: Rows that a leaf of a key's tree holds on average, at most.
-LEAF = 16
+LEAF = 64
 #: A node is copied once for each 2**COPY_BITS leaves that may ask for it.
 COPY_BITS = 12
-#: A key: what it is a value of, and the value as a number or as a text.
-KEY = ["col", "id", "name"]
-
-
-def _each(folds: int, value) -> list[Column]:
-    """One column for n and one for s for each fold."""
-    return [value(c, f).alias(f"{c}{f}") for c in "ns" for f in range(folds)]
-
-
-def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF) -> DataFrame:
-    """(col, id, name, at, fold, n, s) for each key, moment and fold of ``rows``: sums over the key's earlier rows of other folds.
-
-    ``rows`` has col, id and name (a key, none null), size (the same for all rows of a key:
-    at least how many there are, or about), at (long), fold (0 to ``folds`` - 1), n and s.
+#: A key: what it is a value of, and the value.
+KEY = ["col", "id"]
+
+
+def _within(folds: int):
+    """Arrow batches of moments sorted by key, leaf and time -> the same with sums over the leaf's earlier moments, and no sums; and for each leaf a row with its own."""
+
+    def leaves(rows: pa.Table) -> pa.RecordBatch:
+        col, id, leaf, at, fold, n, s = (rows.column(k).to_numpy() for k in range(7))
+        size = len(at)
+        new_leaf = np.ones(size, bool)
+        new_leaf[1:] = (col[1:] != col[:-1]) | (id[1:] != id[:-1]) | (leaf[1:] != leaf[:-1])
+        new_moment = new_leaf.copy()
+        new_moment[1:] |= at[1:] != at[:-1]
+        starts, moments = np.flatnonzero(new_leaf), np.flatnonzero(new_moment)
+        of_leaf, of_moment = np.cumsum(new_leaf) - 1, np.cumsum(new_moment) - 1
+        here, whole = [], []
+        for x in (n, s):
+            by_fold = np.zeros((size + 1, folds), np.int64)
+            by_fold[np.arange(1, size + 1), fold] = x
+            np.cumsum(by_fold, axis=0, out=by_fold)
+            here.append(by_fold[moments][of_moment] - by_fold[starts][of_leaf])
+            whole.append(by_fold[np.append(starts[1:], size)] - by_fold[starts])
+        at_leaf = lambda x: np.concatenate([x, x[starts]])
+        ends = [np.concatenate([x.sum(1) - x[np.arange(size), fold], np.zeros(len(starts), np.int64)]) for x in here]
+        places = np.concatenate([np.zeros(size, np.int32), np.arange(len(starts) + 1, dtype=np.int32) * (2 * folds)])
+        sums = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(whole, axis=1).ravel()))
+        return pa.RecordBatch.from_arrays([*(pa.array(at_leaf(x)) for x in (col, id, leaf, at, fold)), *map(pa.array, ends), sums], names=[*KEY, "leaf", "at", "fold", "n", "s", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the leaf that the last batch did not end
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(k).to_numpy() for k in range(3)]
+            same = (key[0] == key[0][-1]) & (key[1] == key[1][-1]) & (key[2] == key[2][-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut or (held and any(held[-1].column(k)[-1].as_py() != key[k][0] for k in range(3))):
+                yield leaves(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield leaves(pa.Table.from_batches(held))
+
+    return trimmed(run)
+
+
+def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF, by: str | None = None) -> DataFrame:
+    """(col, id, at, fold, n, s) for each key, moment and fold of ``rows``: sums over the key's earlier rows of other folds; a table (kept by ``by``).
+
+    ``rows`` has col and id (a key: a byte and a long), size (the same for all rows of a key:
+    at least how many there are, or about), at (long), fold (0 to ``folds`` - 1), n and s,
+    none null.
 
     The span of time is halved until a key of ``size`` rows has about ``leaf`` of them in a
     leaf: a hot key has a deep tree, a rare one a single leaf.  Nodes are numbered as in a
@@ -35,7 +77,7 @@ def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF) -> DataFrame:
     fold.  Each leaf that has rows explodes the time before it into the nodes that make it up
     (the left siblings of those of its ancestors that are right children, as many as its
     number has ones), joins them by equality and adds them.  What is earlier within the leaf
-    comes from a running sum.  All folds minus the own one are the history.
+    comes from running sums over its sorted moments.  All folds minus the own one are the history.
 
     A node is asked for by as many leaves as its sibling covers, so it is copied once for
     each 2**12 of them.  Rows of one key, moment and fold are one row after the first sum, so
@@ -50,25 +92,27 @@ def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF) -> DataFrame:
     depth = F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / leaf)))).cast("int")
     placed = rows.withColumn("depth", depth).withColumn("leaf", F.expr(f"shiftright(at - {lo}L, {bits} - depth) + shiftleft(1L, depth)"))
     moments = placed.groupBy(*KEY, "leaf", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    dealt = moments.repartition(*KEY, "leaf")
+    name = F.xxhash64(*KEY, "leaf").alias("name")  # first in sorts, which its first eight bytes nearly decide
+    dealt = moments.repartition(*KEY, "leaf").sortWithinPartitions(name, *KEY, "leaf", "at")
+    sums = [f"{c}{f}" for c in "ns" for f in range(folds)]
+    both = kept(dealt.mapInArrow(_within(folds), "col byte, id long, leaf long, at long, fold int, n long, s long, sums array<long>"))
 
-    # the condition on `at` always holds: with it, all readers want the same columns and share one shuffle
-    of_fold = lambda c, f: F.when((F.col("fold") == f) & (F.col("at") >= lo), F.col(c)).otherwise(0)
-    leaves = dealt.groupBy(*KEY, "leaf").agg(*_each(folds, lambda c, f: F.sum(of_fold(c, f))))
     height = F.length(F.conv("leaf", 10, 2)) - 1
-    steps = leaves.where("leaf > 1").withColumn("level", F.explode(F.sequence(F.lit(0), height - 1))).withColumn("node", F.expr("shiftright(leaf, level)"))
-    summed = lambda: _each(folds, lambda c, f: F.sum(f"{c}{f}"))
-    nodes = steps.where("node & 1 = 0").groupBy(*KEY, "level", "node").agg(*summed())
+    leaves = both.where("size(sums) > 0 AND leaf > 1").select(*KEY, "leaf", *(F.col("sums")[k].alias(x) for k, x in enumerate(sums)))
+    steps = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), height - 1))).withColumn("node", F.expr("shiftright(leaf, level)"))
+    summed = [F.sum(x).alias(x) for x in sums]
+    nodes = steps.where("node & 1 = 0").groupBy(*KEY, "level", "node").agg(*summed)
     first_asking, last_asking = F.expr("shiftleft(node + 1, level)"), F.expr("shiftleft(node + 2, level) - 1")
     copies = nodes.withColumn("copy", F.explode(F.sequence(F.shiftright(first_asking, COPY_BITS), F.shiftright(last_asking, COPY_BITS))))
     probes = steps.where("node & 1 = 1").select(*KEY, "leaf", "level", (F.col("node") - 1).alias("node"), F.shiftright("leaf", COPY_BITS).alias("copy"))
-    before = probes.join(copies, [*KEY, "level", "node", "copy"]).groupBy(*KEY, "leaf").agg(*summed())
+    before = probes.join(copies, [*KEY, "level", "node", "copy"]).groupBy(*KEY, "leaf").agg(*summed)
 
-    earlier = Window.partitionBy(*KEY, "leaf").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    running = dealt.select(*KEY, "leaf", "at", "fold", *(F.sum(of_fold(c, f)).over(earlier).alias(f"_{c}{f}") for c in "ns" for f in range(folds)))
-    of_all = lambda c, f: F.coalesce(f"_{c}{f}", F.lit(0)) + F.coalesce(f"{c}{f}", F.lit(0))
-    others = {c: reduce(Column.__add__, (F.when(F.col("fold") == f, 0).otherwise(of_all(c, f)) for f in range(folds))) for c in "ns"}
-    return running.join(before, [*KEY, "leaf"], "left").select(*KEY, "at", "fold", *(x.alias(c) for c, x in others.items()))
+    all_folds = before.select(name, *KEY, "leaf", F.array(*sums[:folds]).alias("n_before"), F.array(*sums[folds:]).alias("s_before"))
+    others = lambda c: sum((F.when(F.col("fold") != f, F.coalesce(F.col(f"{c}_before")[f], F.lit(0))).otherwise(0) for f in range(folds)), F.col(c))
+    out = both.where("size(sums) = 0").select(name, *KEY, "leaf", "at", "fold", "n", "s").join(all_folds, ["name", *KEY, "leaf"], "left")
+    out = kept(out.select(*KEY, "at", "fold", others("n").alias("n"), others("s").alias("s")), by=by)
+    release(both)
+    return out
 
 
 def rate(n: str, s: str, prior: str, weight: int = 50) -> Column:
@@ -76,25 +120,25 @@ def rate(n: str, s: str, prior: str, weight: int = 50) -> Column:
     return F.expr(f"CASE WHEN {n} < 1 THEN {prior} ELSE (1000000L * {s} + {weight}L * {prior}) div ({n} + {weight}L) END")
 
 
-def _number(c: str) -> tuple[Column, Column]:
-    return F.coalesce(c, F.lit(0)).cast("long"), F.when(F.col(c).isNull(), "null").otherwise("")
-
-
-def _text(c: str) -> tuple[Column, Column]:
-    return F.col(c).isNull().cast("long"), F.coalesce(c, F.lit(""))
-
-
 def _sized(counted: DataFrame, known: DataFrame, id: str, group: str) -> DataFrame:
-    """(id, group, id_size, group_size): how many counted rows an id and its group have; an id that several rows know takes the least group."""
+    """(id, its size, group_id, its size): how many counted rows an id and its group have.
+
+    A group goes by the least id in it, below all ids where it holds the null id.  An id that
+    several rows know takes the least group.
+    """
     both = counted.select(id, F.lit(None).cast(known.schema[group].dataType).alias(group), F.lit(1).alias("n"))
     both = both.unionByName(known.where(F.col(id).isNotNull()).select(id, group, F.lit(0).alias("n")))
     ids = kept(both.groupBy(id).agg(F.min(group).alias(group), F.sum("n").alias(f"{id}_size")).where(f"{id}_size > 0"))
-    groups = ids.groupBy(group).agg(F.sum(f"{id}_size").alias(f"{group}_size")).withColumnRenamed(group, "_group")
-    out = kept(ids.join(groups, F.col(group).eqNullSafe(F.col("_group"))).drop("_group"))
+    groups = ids.groupBy(F.col(group).alias("_group")).agg(F.min(F.coalesce(id, F.lit(_NO_ID))).alias(f"{group}_id"), F.sum(f"{id}_size").alias(f"{group}_size"))
+    out = kept(ids.join(groups, F.col(group).eqNullSafe(F.col("_group"))).drop("_group", group))
     release(ids)
     return out
 
 
+#: Stands for the null vendor inside.
+_NO_ID = -(1 << 63)
+
+
 def encode(
     lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, *, folds: int = 5, weight: int = 50, leaf: int = LEAF
 ) -> DataFrame:
@@ -116,56 +160,41 @@ def encode(
     other columns, whatever their names, are not read; an empty table gives an empty table.
     """
     at = F.unix_micros(F.col("sold_at").cast("timestamp"))
-    lines = lines.select("sale_id", F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), "vendor_id", "flag")
+    lines = lines.select("sale_id", F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), F.coalesce(F.col("vendor_id").cast("long"), F.lit(_NO_ID)).alias("vendor_id"), "flag")
     sales = sales.where("sold_at IS NOT NULL AND sale_id IS NOT NULL").select(
         "sale_id", F.coalesce("client_id", F.lit(-1)).cast("long").alias("client_id"), at.alias("at"), F.pmod(F.crc32(F.col("sale_id").cast("string")), F.lit(folds)).cast("int").alias("fold")
     )
     own = lines.where("sale_id IS NOT NULL").groupBy("sale_id", "item_id", "vendor_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("flag") == "returned", F.lit(False))).alias("s")
     )
-    known = [_sized(lines, items, "item_id", "kind"), _sized(lines, vendors, "vendor_id", "nation_id"), _sized(sales, clients, "client_id", "segment")]
-    of_item, of_vendor, of_client = known
-    sold = sales.groupBy("sale_id", "client_id", "at", "fold").agg(F.count(F.lit(1)).alias("times")).join(of_client, "client_id")
-    vendor = of_vendor.withColumnRenamed("vendor_id", "_vendor")
-    whole = kept(
-        own.join(of_item, "item_id").join(vendor, F.col("vendor_id").eqNullSafe(F.col("_vendor"))).drop("_vendor")
-        .join(sold, "sale_id").withColumns({"n": F.expr("n * times"), "s": F.expr("s * times")}).drop("times")
-    )
-    every = whole.agg(F.count(F.lit(1))).first()[0]
-    #: column -> its key's number and text, and its size
-    keys = {
-        "all": (F.lit(0).cast("long"), F.lit(""), F.lit(every)),
-        "kind": (*_text("kind"), F.col("kind_size")),
-        "item_id": (*_number("item_id"), F.col("item_id_size")),
-        "nation_id": (*_number("nation_id"), F.col("nation_id_size")),
-        "vendor_id": (*_number("vendor_id"), F.col("vendor_id_size")),
-        "segment": (*_text("segment"), F.col("segment_size")),
-        "client_id": (*_number("client_id"), F.col("client_id_size")),
-    }
-    parts = [F.struct(F.lit(k).cast("byte").alias("col"), i.alias("id"), t.alias("name"), size.cast("long").alias("size")) for k, (i, t, size) in enumerate(keys.values())]
-    rows = whole.select("at", "fold", "n", "s", F.explode(F.array(*parts)).alias("x")).select("x.*", "at", "fold", "n", "s")
-    past = kept(history(rows, folds=folds, leaf=leaf), by="col")
+    dimensions = [_sized(lines, items, "item_id", "kind"), _sized(lines, vendors, "vendor_id", "nation_id"), _sized(sales, clients, "client_id", "segment")]
+    every = dimensions[0].agg(F.sum("item_id_size")).first()[0] or 0
+    sold = sales.groupBy("sale_id", "client_id", "at", "fold").agg(F.count(F.lit(1)).alias("times")).join(dimensions[2], "client_id")
+    whole = own.join(dimensions[0], "item_id").join(dimensions[1], "vendor_id").join(sold, "sale_id")
+    whole = kept(whole.withColumns({"n": F.expr("n * times"), "s": F.expr("s * times"), "all_id": F.lit(0).cast("long"), "all_size": F.lit(every).cast("long")}).drop("times"))
+    keys = ["all", "kind", "item", "nation_id", "vendor", "segment", "client"]
+    parts = [F.struct(F.lit(k).cast("byte").alias("col"), F.col(f"{c}_id").alias("id"), F.col(f"{c}_id_size" if c in ("item", "vendor", "client") else f"{c}_size").alias("size")) for k, c in enumerate(keys)]
+    rows = whole.select("at", "fold", "n", "s", F.inline(F.array(*parts)))
+    past = history(rows, folds=folds, leaf=leaf, by="col")
 
     def with_past(df: DataFrame, key: str) -> DataFrame:
-        number, text, _ = keys[key]
-        found = past.where(F.col("col") == list(keys).index(key)).select("id", "name", "at", "fold", F.col("n").alias(f"{key}_n"), F.col("s").alias(f"{key}_s"))
-        return df.withColumns({"id": number, "name": text}).join(found, ["id", "name", "at", "fold"]).drop("id", "name")
+        found = past.where(F.col("col") == keys.index(key)).select(F.col("id").alias(f"{key}_id"), "at", "fold", F.col("n").alias(f"{key}_n"), F.col("s").alias(f"{key}_s"))
+        return df.join(found, ["at", f"{key}_id", "fold"])
 
-    sold = whole.select("sale_id", "at", "fold", "client_id", "segment").distinct()
-    for key in ("all", "segment", "client_id"):
+    sold = whole.select("sale_id", "at", "fold", "client_id", "segment_id", "all_id").distinct()
+    for key in ("all", "segment", "client"):
         sold = with_past(sold, key)
     sold = sold.withColumn("all_rate", rate("all_n", "all_s", "500000L", weight)).withColumn("segment_rate", rate("segment_n", "segment_s", "all_rate", weight))
-    sold = sold.select("sale_id", "at", "client_id", "all_rate", F.col("client_id_n").alias("client_n"), rate("client_id_n", "client_id_s", "segment_rate", weight).alias("client_rate"))
-    out = whole.select("sale_id", "item_id", "vendor_id", "kind", "nation_id", "client_id", "at", "fold", "n", "s")
-    for key in ("item_id", "kind", "vendor_id", "nation_id"):
+    sold = sold.select("sale_id", "at", "client_id", "all_rate", "client_n", rate("client_n", "client_s", "segment_rate", weight).alias("client_rate"))
+    out = whole.select("sale_id", "item_id", "vendor_id", "kind_id", "nation_id_id", "client_id", "at", "fold", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"))
+    for key in ("item", "kind", "vendor", "nation_id"):
         out = with_past(out, key)
     out = out.join(sold, ["sale_id", "at", "client_id"])
     out = out.withColumn("kind_rate", rate("kind_n", "kind_s", "all_rate", weight)).withColumn("nation_rate", rate("nation_id_n", "nation_id_s", "all_rate", weight))
     return out.select(
-        "sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"),
-        F.col("item_id_n").alias("item_n"), rate("item_id_n", "item_id_s", "kind_rate", weight).alias("item_rate"),
-        F.col("vendor_id_n").alias("vendor_n"), rate("vendor_id_n", "vendor_id_s", "nation_rate", weight).alias("vendor_rate"),
-        "client_n", "client_rate",
+        "sale_id", "item_id", F.when(F.col("vendor_id") != _NO_ID, F.col("vendor_id")).alias("vendor_id"), "n_lines", "n_returned",
+        "item_n", rate("item_n", "item_s", "kind_rate", weight).alias("item_rate"),
+        "vendor_n", rate("vendor_n", "vendor_s", "nation_rate", weight).alias("vendor_rate"), "client_n", "client_rate",
     )
 
 
