@@ -82,3 +82,12 @@ SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, count(*) FILTER (WHERE
   max({_rate('vendor_id', 'rn')}) AS vendor_rate, CAST(max(client_id_n) AS BIGINT) AS client_n, max({_rate('client_id', 'rs')}) AS client_rate
 FROM g GROUP BY sale_id, item_id, vendor_id
 """
+
+LINE_DEDUP = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.holder AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id
+"""
