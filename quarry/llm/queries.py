@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversations import op11_conversation_repair
 from .decontaminate import op5_decontaminate
 from .fingerprints import op10_fingerprints
 from .licenses import op2_licenses
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_urls": op9_urls,
         "op10_fingerprints": op10_fingerprints,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_target_encoding": op12_target_encoding,
         "op13_line_dedup": op13_line_dedup,
     }
