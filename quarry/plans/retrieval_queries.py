@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import fusion, index, retrieve
+from quarry.operators import fusion, index, retrieve, vector_index
+
+from quarry.sources import landed
 
 from .registry import SPLICED, query, rows, table
 
@@ -149,6 +151,17 @@ def dense_topk(spark, sf_dir):
     return near(spark, sf_dir, 50).select("qid", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query("R08_vector_index")
+def vector_file(spark, sf_dir):
+    """The approximate form: cells and quantised residuals written as files, of which a query reads the nearest; ranked by whole vectors."""
+    v, out = table(spark, sf_dir, "embeddings"), landed.folder(spark)
+    model = vector_index.fit(v, "vec_id", "embedding", cells=32)
+    ix = vector_index.build(v, model, "vec_id", "embedding", out)
+    asked = v.where("vec_id % 100 = 0")  # the stated query set
+    got = vector_index.search(asked, ix, model, v, 50, query="vec_id", id="vec_id", column="embedding", probes=26)
+    return got.select("qid", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("R09_masked_dense", f"WITH {DENSE}, o AS (SELECT dr.*, label FROM dr JOIN embeddings e ON e.vec_id = dr.doc_id WHERE rank <= 150), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) nr FROM o WHERE label < 5) SELECT qid, doc_id, CAST(nr AS INT) AS rank FROM m WHERE nr <= 50")
 def masked_dense(spark, sf_dir):
     """Three times as many as asked for, then the mask, then the first 50."""

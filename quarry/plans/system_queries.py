@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -249,13 +246,7 @@ def scoring_join(spark, sf_dir):
 
 
 def _landed(spark, sf_dir):
-    """A fresh folder that the engine writes to; the shared one where the cluster names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/landed-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="landed-")
+    return landed.folder(spark)
 
 
 @query("S01_json_scan", "SELECT doc_id, lang FROM documents")

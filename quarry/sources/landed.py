@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh folder that the engine may write to: in the one that spark.checkpoint.dir, or the context, names; a temporary one only for a local master."""
+    base, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if base or held.isDefined():
+        return f"{(base or held.get()).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="landed-")
+
+
 def json_tree(spark: SparkSession, folder: str, schema: str, glob: str = "*.body.json") -> DataFrame:
     """One row a JSON file under a folder tree, with its path (S01, S02, S03); the schema is stated, not inferred."""
     df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(folder)
