@@ -1,10 +1,12 @@
-"""Queries over whole pages: anchors and detail pages."""
+"""Queries over whole pages, and over paginated sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quarry.operators import markup
+from quarry.operators.tables import first_seen
+from quarry.sources import landed, paged
 
 from .registry import query, rows, table
 
@@ -42,3 +44,31 @@ def anchors(spark, sf_dir):
 def detail_pages(spark, sf_dir):
     found = markup.details(rows(spark, sf_dir, DETAILED), "page_id", "html", "url")
     return found.select("page_id", "title", "released", "code", "version", "category", F.array_join("categories", "|").alias("categories"))
+
+
+PAGE_SIZE = 500
+ITEMS = "gid string, start string, credits long, code string, digest string"
+
+
+def _paged(spark, sf_dir):
+    """Documents landed as pages of a paginated source."""
+    path = landed.folder(spark)
+    day = F.concat(F.lit("20"), (F.col("doc_id") % 10 + 15).cast("string"), F.lit("-01-01"))
+    gid = F.concat(F.upper(F.coalesce("lang", F.lit(""))), F.col("doc_id").cast("string"))
+    items = table(spark, sf_dir, "documents").select("doc_id", gid.alias("gid"), day.alias("start"), F.col("n_chars").alias("credits"), F.col("source").alias("code"), "text")
+    paged.land(items.withColumn("digest", F.md5(F.coalesce("text", F.lit("")))).drop("text"), "doc_id", PAGE_SIZE, path)
+    return paged.read(spark, ITEMS, path=path)
+
+
+@query("S17_paginated_scan", "SELECT concat(upper(coalesce(lang, '')), doc_id) AS gid, CAST(doc_id // 500 + 1 AS INT) AS page, md5(coalesce(text, '')) AS digest FROM documents WHERE upper(lang) LIKE 'E%' AND doc_id % 10 + 15 >= 20 AND n_chars > 1000")
+def paginated_scan(spark, sf_dir):
+    """Filters on name, date and credits are sent with each page's request; pages that fail are left to fetched()."""
+    items, _ = paged.fetched(_paged(spark, sf_dir).where("gid LIKE 'E%' AND start >= '2020-01-01' AND credits > 1000"))
+    return items.select("gid", "page", "digest")
+
+
+@query("S18_catalog_dump", "SELECT source AS code, concat(upper(coalesce(lang, '')), doc_id) AS gid FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) n FROM documents WHERE source <> '') WHERE n = 1")
+def catalog_dump(spark, sf_dir):
+    """The first item of each code in the source's order."""
+    items, _ = paged.fetched(_paged(spark, sf_dir))
+    return first_seen(items.where("code <> ''"), ["code"], ["page", "place"]).select("code", "gid")
