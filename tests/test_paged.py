@@ -53,8 +53,8 @@ def test_filters_go_to_the_server(spark, folder):
 
 
 def test_failing_pages_are_skipped_and_reported(spark, folder):
-    df = paged.read(spark, COLUMNS, path=folder, transport="test_paged:shaky", wait=0).persist()
-    asked = paged.read(spark, COLUMNS, path=folder, transport="test_paged:shaky", wait=0).where("gid LIKE 'GS%' AND credits > 1")
+    df = paged.read(spark, COLUMNS, path=folder, transport="tests.test_paged:shaky", wait=0).persist()
+    asked = paged.read(spark, COLUMNS, path=folder, transport="tests.test_paged:shaky", wait=0).where("gid LIKE 'GS%' AND credits > 1")
     assert sorted(r.page for r in paged.fetched(asked)[1].collect()) == [3, 6, 9]
     items, skipped = paged.fetched(df)
     assert sorted((r.page, r.error) for r in skipped.collect()) == [(p, f"OSError: status 500 on page {p}") for p in (3, 6, 9)]
@@ -64,7 +64,7 @@ def test_failing_pages_are_skipped_and_reported(spark, folder):
 
 
 def test_a_failing_first_page(spark, folder):
-    items, skipped = paged.fetched(paged.read(spark, COLUMNS, path=folder, transport="test_paged:no_first", wait=0))
+    items, skipped = paged.fetched(paged.read(spark, COLUMNS, path=folder, transport="tests.test_paged:no_first", wait=0))
     assert items.count() == 0 and [r.page for r in skipped.collect()] == [1]
 
 
