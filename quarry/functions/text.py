@@ -92,6 +92,8 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def choice(text: Column) -> Column:
-    """What follows ``CHOICE:`` to the end of the line, without a last full stop."""
-    return F.nullif(F.regexp_replace(F.trim(F.regexp_extract(text, r"(?i)CHOICE:[ \t]*([^\n]*)", 1)), r"\.$", ""), F.lit(""))
+def choice(text: Column, first: Column, second: Column) -> Column:
+    """Which of two candidates an answer names (D19): the word after ``CHOICE:`` without ``.,;:`` at its ends, else the one that alone occurs; null if neither."""
+    word = F.regexp_replace(F.regexp_extract(text, r"(?i)CHOICE\s*:\s*(\S+)", 1), r"^[.,;:]+|[.,;:]+$", "")
+    alone = lambda a, b: F.contains(text, a) & ~F.contains(text, b)
+    return F.when((word == first) | (word == second), word).when(alone(first, second), first).when(alone(second, first), second)

@@ -115,14 +115,29 @@ def order_statistics(df: DataFrame, key: str, x: str) -> DataFrame:
     return at.groupBy(key).agg(pick(0.5).alias("upper_median"), pick(0.9).alias("p90"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"))
 
 
-def backoff(prior: DataFrame, wanted: DataFrame, levels: list[list[str]]) -> DataFrame:
-    """Counts of the first level that has any (J11): wanted rows with each level's count, the most special first."""
-    out, cols = wanted, []
-    for k, level in enumerate(levels):
-        own = prior.groupBy(*level).agg(F.sum("n").alias(f"_c{k}"))
-        out = out.join(own, level, "left")
-        cols.append(F.when(F.col(f"_c{k}") > 0, F.col(f"_c{k}")))
-    return out.withColumn("n", F.coalesce(*cols, F.lit(0))).drop(*[f"_c{k}" for k in range(len(levels))])
+def backoff(prior: DataFrame, wanted: DataFrame, levels: list[list[str]], lists: list[str]) -> DataFrame:
+    """Adds n: counts of the first level, the most special first, at which any candidate of the row's list has one.
+
+    prior: the levels' columns and n.  ``lists`` names a list of candidates, which takes one level as a whole;
+    a list without any count has zeros.
+    """
+    out, names = wanted, [f"_c{k}" for k in range(len(levels))]
+    for c, level in zip(names, levels, strict=True):
+        out = out.join(prior.groupBy(*level).agg(F.sum("n").alias(c)), level, "left").fillna(0, [c])
+    w = Window.partitionBy(*lists)
+    return out.withColumn("n", F.coalesce(*(F.when(F.max(c).over(w) > 0, F.col(c)) for c in names), F.lit(0))).drop(*names)
+
+
+def gap(firsts: DataFrame) -> DataFrame:
+    """(part, n) of the gap between the right group and the right code (M10): registry_variant, scale_tier, fine_applicability.
+
+    firsts: pred, gt and for each _group, _family and _scale (null if unknown).  Only first
+    places that are wrong but of the truth's group count: of another family, else of another
+    known scale, else the rest.
+    """
+    scales = F.coalesce(F.col("pred_scale") != F.col("gt_scale"), F.lit(False))
+    part = F.when(F.col("pred_family") != F.col("gt_family"), "registry_variant").when(scales, "scale_tier").otherwise("fine_applicability")
+    return firsts.where("pred <> gt AND pred_group = gt_group").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bootstrap(differences: DataFrame, draws: int = 20_000, seed: int = 42) -> DataFrame:

@@ -60,6 +60,26 @@ def routed(a: DataFrame, b: DataFrame, wins: list, k: int, c: int = 60, key: str
     return head.select("qid", key, F.lit(1).alias("rank")).union(rest)
 
 
+def or_unrouted(out: DataFrame, a: DataFrame, b: DataFrame, k: int, key: str = "code") -> DataFrame:
+    """``out`` and, for queries that it has no row of, the first k of a, or of b where a has none."""
+    without = lambda x, done: x.where(F.col("rank") <= k).select("qid", key, "rank").join(done.select("qid").distinct(), "qid", "left_anti")
+    return out.select("qid", key, "rank").union(without(a, out)).union(without(without(b, out), a))
+
+
+def judged(a: DataFrame, b: DataFrame, verdicts: DataFrame, k: int, c: int = 60, key: str = "code") -> DataFrame:
+    """(qid, key, rank): where the first places of two lists differ, a judge's choice comes first, a's where it made none; else the common first.
+
+    verdicts: qid, choice (null or absent: none).  The other places by rank fusion without the first.
+    """
+    first = lambda x, n: x.where("rank = 1").select("qid", F.col(key).alias(n))
+    both = first(a, "fa").join(first(b, "fb"), "qid", "full").join(verdicts.select("qid", "choice"), "qid", "left")
+    chosen = F.when((F.col("fa") != F.col("fb")) & F.col("choice").isNotNull(), F.col("choice")).otherwise(F.coalesce("fa", "fb"))
+    head = both.select("qid", chosen.alias(key))
+    scores = a.select("qid", key, "rank").union(b.select("qid", key, "rank")).groupBy("qid", key).agg(F.sum(1 / (c + F.col("rank"))).alias("score"))
+    rest = top(scores.join(head, ["qid", key], "left_anti"), k - 1, key).select("qid", key, (F.col("rank") + 1).alias("rank"))
+    return head.select("qid", key, F.lit(1).alias("rank")).union(rest)
+
+
 def slot_rerank(ranked: DataFrame, key: str = "code") -> DataFrame:
     """Permutes only the places that members of the query's group hold, by ``new_score``.
 

@@ -101,13 +101,16 @@ def group_metrics(spark, sf_dir):
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == F.col("gt")).alias("exact"), F.count_if(group("pg", "pred") == group("gg", "gt")).alias("same_group"))
 
 
-@query("M10_gap_decomposition", f"SELECT CASE WHEN pred = gt THEN 'exact' WHEN p.p_brand = g.p_brand THEN 'registry_variant' WHEN p.p_size = g.p_size THEN 'scale_tier' ELSE 'fine_applicability' END AS part, CAST(count(*) AS BIGINT) AS n FROM ({PRED}) x JOIN part p ON p.p_partkey = pred JOIN part g ON g.p_partkey = gt GROUP BY 1")
+#: Each code's group, family and scale; the scale of a third is unknown.
+TRAITS = "SELECT p_partkey AS code, p_size % 10 AS grp, p_brand AS family, CASE WHEN p_size > 34 THEN 'large' WHEN p_size > 17 THEN 'small' END AS scale FROM part"
+HARD = "SELECT l_orderkey, l_linenumber, l_partkey AS pred, (l_partkey + 10 * (l_linenumber % 4) + CAST(l_quantity AS INT) % 2) % 200 + 1 AS gt FROM lineitem"
+
+
+@query("M10_gap_decomposition", f"WITH t AS ({TRAITS}) SELECT CASE WHEN p.family <> g.family THEN 'registry_variant' WHEN p.scale IS NOT NULL AND g.scale IS NOT NULL AND p.scale <> g.scale THEN 'scale_tier' ELSE 'fine_applicability' END AS part, CAST(count(*) AS BIGINT) AS n FROM ({HARD}) x JOIN t p ON p.code = pred JOIN t g ON g.code = gt WHERE pred <> gt AND p.grp = g.grp GROUP BY 1")
 def gap(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    one = lambda n: part.select(F.col("p_partkey").alias(n), F.col("p_brand").alias(n + "_b"), F.col("p_size").alias(n + "_s"))
-    x = rows(spark, sf_dir, PRED).join(one("pred"), "pred").join(one("gt"), "gt")
-    kind = F.when(F.col("pred") == F.col("gt"), "exact").when(F.col("pred_b") == F.col("gt_b"), "registry_variant").when(F.col("pred_s") == F.col("gt_s"), "scale_tier").otherwise("fine_applicability")
-    return x.groupBy(kind.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    traits = rows(spark, sf_dir, TRAITS)
+    one = lambda n: traits.select(F.col("code").alias(n), F.col("grp").alias(f"{n}_group"), F.col("family").alias(f"{n}_family"), F.col("scale").alias(f"{n}_scale"))
+    return evaluate.gap(rows(spark, sf_dir, HARD).join(one("pred"), "pred").join(one("gt"), "gt"))
 
 
 @query("M11_residual_ambiguity", "SELECT p_brand, CAST(count(*) AS BIGINT) AS level_a, CAST(count_if(p_size <= 25) AS BIGINT) AS level_b, CAST(count_if(p_size <= 25 AND p_retailprice > 1000) AS BIGINT) AS level_c, round(avg(p_size), 6) AS mean, median(p_size) AS middle FROM part GROUP BY p_brand")
@@ -146,12 +149,22 @@ def nested_prior(spark, sf_dir):
     return u.groupingSets([["grp", "country", "code"], ["grp", "region", "code"], ["grp", "code"]], "grp", "country", "region", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J11_backoff", f"WITH u AS (SELECT grp, country, region, code, count(*) n FROM ({USE}) GROUP BY ALL), w AS (SELECT DISTINCT t.p_type grp, n_name country, r_name region, 'Brand#11' code FROM (SELECT DISTINCT p_type FROM part) t, nation JOIN region ON r_regionkey = n_regionkey) SELECT w.grp, w.country, CAST(coalesce(nullif((SELECT sum(n) FROM u WHERE u.grp = w.grp AND u.country = w.country AND u.code = w.code), 0), nullif((SELECT sum(n) FROM u WHERE u.grp = w.grp AND u.region = w.region AND u.code = w.code), 0), nullif((SELECT sum(n) FROM u WHERE u.grp = w.grp AND u.code = w.code), 0), 0) AS BIGINT) AS n FROM w")
+BRANDS = "'Brand#11', 'Brand#12', 'Brand#13'"
+LEVEL = "coalesce((SELECT sum(n) FROM u WHERE u.grp = w.grp AND {0} AND u.code = w.code), 0)"
+
+
+@query(
+    "J11_backoff",
+    f"""WITH u AS (SELECT grp, country, region, code, count(*) n FROM ({USE}) GROUP BY ALL), w AS (SELECT DISTINCT t.p_type grp, n_name country, r_name region, code FROM (SELECT DISTINCT p_type FROM part) t, nation JOIN region ON r_regionkey = n_regionkey, (SELECT unnest([{BRANDS}]) code)),
+    c AS (SELECT *, {LEVEL.format('u.country = w.country')} a, {LEVEL.format('u.region = w.region')} b, {LEVEL.format('TRUE')} g FROM w)
+    SELECT grp, country, code, CAST(CASE WHEN max(a) OVER l > 0 THEN a WHEN max(b) OVER l > 0 THEN b ELSE g END AS BIGINT) AS n FROM c WINDOW l AS (PARTITION BY grp, country)""",
+)
 def backoff(spark, sf_dir):
+    """Three candidates for each kind and country; a list takes one level for all of them."""
     u = rows(spark, sf_dir, USE).groupBy("grp", "country", "region", "code").agg(F.count(F.lit(1)).alias("n"))
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("country"), F.col("r_name").alias("region"))
-    wanted = table(spark, sf_dir, "part").select(F.col("p_type").alias("grp")).distinct().crossJoin(F.broadcast(places)).withColumn("code", F.lit("Brand#11"))  # 25 nations
-    return evaluate.backoff(u, wanted, [["grp", "country", "code"], ["grp", "region", "code"], ["grp", "code"]]).select("grp", "country", "n")
+    wanted = table(spark, sf_dir, "part").select(F.col("p_type").alias("grp")).distinct().crossJoin(F.broadcast(places)).select("*", F.explode(F.expr(f"array({BRANDS})")).alias("code"))  # 25 nations
+    return evaluate.backoff(u, wanted, [["grp", "country", "code"], ["grp", "region", "code"], ["grp", "code"]], ["grp", "country"]).select("grp", "country", "code", "n")
 
 
 @query("A12_confusion_pairs", f"SELECT pred, gt, CAST(count(*) AS BIGINT) AS n FROM ({PRED}) WHERE pred <> gt GROUP BY ALL ORDER BY n DESC, pred, gt LIMIT 10")
@@ -372,14 +385,17 @@ def shuffle(spark, sf_dir):
     return t.select("c_custkey", F.row_number().over(Window.orderBy(sampling.ticket("c_custkey"), "c_custkey")).cast("long").alias("pos"))
 
 
-@query("E02_stratified_split", f"SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY {T.format('c_custkey')}, c_custkey) <= floor(count(*) OVER (PARTITION BY c_mktsegment) * 0.15) THEN 'val' ELSE 'test' END AS split FROM customer")
+QUOTAS = "SELECT c_mktsegment, CASE WHEN last THEN 60 - coalesce(sum(CASE WHEN last THEN 0 ELSE share END) OVER (), 0) ELSE share END AS quota FROM (SELECT c_mktsegment, CAST(round_even(60.0 * count(*) / sum(count(*)) OVER (), 0) AS BIGINT) AS share, row_number() OVER (ORDER BY c_mktsegment DESC) = 1 AS last FROM customer GROUP BY 1)"
+
+
+@query("E02_stratified_split", f"SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c.c_mktsegment ORDER BY {T.format('c_custkey')}, c_custkey) <= quota THEN 'val' ELSE 'test' END AS split FROM customer c JOIN ({QUOTAS}) q ON q.c_mktsegment = c.c_mktsegment")
 def stratified(spark, sf_dir):
-    return sampling.split(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 0.15).select("c_custkey", "split")
+    return sampling.split(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 60).select("c_custkey", "split")
 
 
-@query("E03_round_robin", "SELECT c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) t FROM customer) ORDER BY t, c_mktsegment, c_nationkey, c_custkey LIMIT 60")
+@query("E03_round_robin", f"WITH l AS (SELECT *, c_custkey % 37 = 0 AS leaked FROM customer) SELECT c_custkey FROM l WHERE leaked UNION ALL SELECT c_custkey FROM (SELECT *, row_number() OVER (ORDER BY t, c_mktsegment, c_nationkey, c_custkey) AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY {T.format('c_custkey')}, c_custkey) t FROM l WHERE NOT leaked)) WHERE place <= greatest(0, 60 - (SELECT count(*) FROM l WHERE leaked))")
 def round_robin(spark, sf_dir):
-    return sampling.round_robin(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", 60).select("c_custkey")
+    return sampling.round_robin(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", 60, "c_custkey % 37 = 0").select("c_custkey")
 
 
 @query("E04_quota_sample", f"SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {T.format('c_custkey')}, c_custkey) n FROM customer) WHERE n <= CASE c_mktsegment WHEN 'BUILDING' THEN 15 WHEN 'MACHINERY' THEN 35 ELSE 0 END")
@@ -387,10 +403,10 @@ def quota(spark, sf_dir):
     return sampling.quota(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", {"BUILDING": 15, "MACHINERY": 35}).select("c_custkey", "c_mktsegment")
 
 
-@query("E05_proportional_sizes", "SELECT c_mktsegment, CAST(floor(100.0 * count(*) / (SELECT count(*) FROM customer)) AS BIGINT) AS size FROM customer GROUP BY 1")
+@query("E05_proportional_sizes", "SELECT c_mktsegment, CAST(round_even(100.0 * count(*) / sum(count(*)) OVER (), 0) AS BIGINT) AS size FROM customer GROUP BY 1")
 def sizes(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).crossJoin(c.agg(F.count(F.lit(1)).alias("all"))).select("c_mktsegment", F.floor(100.0 * F.col("n") / F.col("all")).alias("size"))  # one row
+    pools = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.sizes(pools, 100).select("c_mktsegment", "size")
 
 
 PROGRAMS = "SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey END AS program, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10) END AS started FROM orders"
@@ -401,6 +417,11 @@ def program_dedupe(spark, sf_dir):
     return sampling.one_per_program(rows(spark, sf_dir, PROGRAMS), "program", "started", "o_orderkey").select("o_orderkey")
 
 
+@query("E06_dropped", f"SELECT program, kept, o_orderkey AS dropped FROM (SELECT *, row_number() OVER w AS n, first_value(o_orderkey) OVER w AS kept FROM ({PROGRAMS}) WINDOW w AS (PARTITION BY coalesce(CAST(program AS STRING), concat('NOPOA:', CAST(o_orderkey AS STRING))) ORDER BY coalesce(started, '9999-99-99'), o_orderkey)) WHERE n > 1")
+def dropped(spark, sf_dir):
+    return sampling.dropped_of_programs(rows(spark, sf_dir, PROGRAMS), "program", "started", "o_orderkey")
+
+
 @query("X01_union", "SELECT l_partkey AS code FROM lineitem WHERE l_quantity > 40 UNION SELECT p_partkey FROM part WHERE p_size > 40")
 def union(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("code"))

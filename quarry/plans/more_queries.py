@@ -120,11 +120,9 @@ def usage_prior(spark, sf_dir):
     own = open_.groupBy("qid").agg(F.max(F.struct("l_linenumber", "l_partkey", "grp"))["grp"].alias("own"))
     c = lists.join(own, "qid").withColumn("member", F.col("own") == F.col("grp"))
     used = l.where("status <> 'O'").groupBy("grp", "country", "region", "code").agg(F.count(F.lit(1)).alias("n"))
-    w, levels = Window.partitionBy("qid", "member"), (["grp", "country", "code"], ["grp", "region", "code"], ["grp", "code"])
-    for k, level in enumerate(levels):
-        c = c.join(used.groupBy(*level).agg(F.sum("n").alias(f"n{k}")), level, "left").fillna(0, [f"n{k}"])
-    prior = F.when(F.max("n0").over(w) > 0, F.col("n0")).when(F.max("n1").over(w) > 0, F.col("n1")).otherwise(F.col("n2"))
-    scored = c.withColumns({"prior": prior, "size": F.count(F.lit(1)).over(w), "j": F.row_number().over(w.orderBy("rank"))})
+    w = Window.partitionBy("qid", "member")
+    c = evaluate.backoff(used, c, [["grp", "country", "code"], ["grp", "region", "code"], ["grp", "code"]], ["qid", "member"])
+    scored = c.withColumns({"prior": F.col("n"), "size": F.count(F.lit(1)).over(w), "j": F.row_number().over(w.orderBy("rank"))})
     combined = ALPHA * (F.col("size") - F.col("j") + 1) / F.col("size") + (1 - ALPHA) * F.col("prior") / F.greatest(F.max("prior").over(w), F.lit(1))
     moved = fusion.slot_rerank(scored.withColumn("new_score", combined).select("qid", "code", "rank", "member", "new_score"))
     return lists.select("qid", "code", "rank").join(moved.withColumnRenamed("rank", "new_rank"), ["qid", "code"])

@@ -282,6 +282,20 @@ def disagreement(spark, sf_dir):
     return first(a, "first_a").join(first(b, "first_b"), "qid").withColumn("differ", F.col("first_a") != F.col("first_b"))
 
 
+#: A judge that names the second list's first for every other query, and nothing for a fifth.
+JUDGED = ", j AS (SELECT qid, a.code fa, b.code fb, CASE WHEN qid % 5 = 0 THEN NULL WHEN qid % 2 = 0 THEN b.code ELSE a.code END choice FROM (SELECT * FROM a WHERE rank = 1) a FULL JOIN (SELECT * FROM b WHERE rank = 1) b USING (qid)), h AS (SELECT qid, CASE WHEN fa <> fb AND choice IS NOT NULL THEN choice ELSE coalesce(fa, fb) END code FROM j), "
+
+
+@query("P12_judged", TWO + JUDGED + ROUTE.split("), ", 1)[1] + " SELECT qid, code, CAST(rank AS INT) AS rank FROM route")
+def judged(spark, sf_dir):
+    """Two systems; where their first places differ a judge's answer is read for one of the two (D19) and comes first, the rest by rank fusion."""
+    a, b = (ranked(x, 5) for x in two(spark, sf_dir))
+    first = lambda x, n: x.where("rank = 1").select("qid", F.col("code").alias(n))
+    pairs = first(a, "fa").join(first(b, "fb"), "qid").where("fa <> fb")
+    said = F.when(F.col("qid") % 5 == 0, "no idea").when(F.col("qid") % 2 == 0, F.concat(F.lit("CHOICE: "), "fb", F.lit("."))).otherwise(F.concat(F.lit("choice:"), "fa"))
+    return fusion.judged(a, b, pairs.select("qid", text.choice(said, F.col("fa"), F.col("fb")).alias("choice")), 5)
+
+
 @query("P05_prior_injection", TWO + ", pr AS (SELECT source code, count(*) * 1.0 / (SELECT count(*) FROM documents) prior FROM documents GROUP BY 1), f AS (SELECT qid, code, score + 0.15 * coalesce(prior, 0) score FROM (SELECT * FROM a WHERE rank <= 10) LEFT JOIN pr USING (code)) " + TOP5.format("f"))
 def prior_injection(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

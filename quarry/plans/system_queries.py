@@ -103,16 +103,17 @@ FILTERED = f", v AS (SELECT code, max(CAST(status = 'Withdrawn' AS INT)) AS w, m
 )
 
 
-@query("P11_dated_router", TWO + FILTERED + ROUTE.replace("FROM a WHERE", "FROM fa WHERE").replace("FROM b WHERE", "FROM fb WHERE") + " SELECT qid, code, CAST(rank AS INT) AS rank FROM route")
+@query("P11_dated_router", TWO + FILTERED + ROUTE.replace("FROM a WHERE", "FROM fa WHERE").replace("FROM b WHERE", "FROM fb WHERE") + " SELECT qid, code, CAST(rank AS INT) AS rank FROM route UNION ALL SELECT qid, code, CAST(rank AS INT) FROM a WHERE rank <= 5 AND qid NOT IN (SELECT qid FROM route) UNION ALL SELECT qid, code, CAST(rank AS INT) FROM b WHERE rank <= 5 AND qid NOT IN (SELECT qid FROM route) AND qid NOT IN (SELECT qid FROM a)")
 def dated_router(spark, sf_dir):
-    """The router over lists of five without the codes that are invalid at the query's date (P11); a query without date keeps all."""
+    """The router over lists of five without the codes that are invalid at the query's date (P11); a query without date keeps all, and one that is left no code its unfiltered five."""
     versions, order = rows(spark, sf_dir, CODE_VERSIONS), Window.partitionBy("qid").orderBy("rank")
 
     def filtered(x):
         dated = ranked(x, 5).select("qid", "code", "rank", F.expr(DAY).alias("d"))
         return filters.invalid_at(dated, versions).where("NOT invalid").select("qid", "code", F.row_number().over(order).alias("rank"))
 
-    return fusion.routed(*map(filtered, two(spark, sf_dir)), ["src3", "src7"], 5)
+    a, b = two(spark, sf_dir)
+    return fusion.or_unrouted(fusion.routed(filtered(a), filtered(b), ["src3", "src7"], 5), ranked(a, 5), ranked(b, 5), 5)
 
 
 @query("M07_model_table", f"{TWO} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(x.code = t AND y.code <> t) AS BIGINT) AS b, CAST(count_if(x.code <> t AND y.code = t) AS BIGINT) AS c FROM (SELECT *, {TRUTH} t FROM a WHERE rank = 1) x JOIN (SELECT * FROM b WHERE rank = 1) y USING (qid)")

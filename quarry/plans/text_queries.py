@@ -199,18 +199,25 @@ def program_id(spark, sf_dir):
     return rows(spark, sf_dir, PROGRAM).select("doc_id", sections.program_id(F.col("kind"), F.col("name"), F.col("text"), F.col("gid")).alias("program"))
 
 
-SECTIONED = "SELECT doc_id, concat('1. Scope of it', chr(10), text, chr(10), '2.1 | Baseline monitoring', chr(10), '- first item', chr(10), 'goes on', chr(10), '(b) second', chr(10), 'III. Eligibility criteria', chr(10), 'x', chr(10), '4. Definition of terms') AS text FROM documents"
+SECTIONED = "SELECT doc_id, concat('1. Scope of it', chr(10), text, chr(10), '2.1 | Baseline monitoring', chr(10), '- first item', chr(10), 'goes on', chr(10), '(b) second', chr(10), 'III. Eligibility criteria', chr(10), 'x', chr(10), 'Sources of it ............ 12', chr(10), '3. Sources and sinks', chr(10), 'they are these', chr(10), 'Project boundary', chr(10), 'The fence.', chr(10), '4.', chr(10), 'Definition of terms', chr(10), 'a is b', chr(10), 'Monitoring plan ends') AS text FROM documents"
 HEAD_RE = sections.NUMBERED_HEADING
 HEAD_AT = {n: f"nullif(instr(lower(title), lower(regexp_extract(title, '{p}'))) * CAST(regexp_matches(title, '{p}') AS INT), 0)" for n, p in sections.HEADINGS}
 
 
-@query("T26_headings", f"SELECT doc_id, CAST(i - 1 AS INT) AS line_no, trim(regexp_extract(l[i], '{HEAD_RE}', 1)) AS title FROM (SELECT doc_id, split(text, chr(10)) l FROM ({SECTIONED})), LATERAL (SELECT unnest(range(1, len(l) + 1)) i) WHERE regexp_extract(l[i], '{HEAD_RE}', 1) <> ''")
+CONTENTS = r"(?m)^[^\n]*?\.{8,}\s*\d+\s*$\n?"
+MARKED = (
+    f"regexp_replace(regexp_replace(regexp_replace(text, '{CONTENTS}', '', 'g'), '{HEAD_RE.replace('^', '(?m)^(', 1).replace('([^', ')([^')}', chr(1) || '\\2' || chr(2) || '\\1\\2', 'g'), "
+    f"'(?im)^({sections.BARE_HEADING})', chr(1) || '\\2' || chr(2) || '\\1', 'g')"
+)
+
+
+@query("T26_headings", f"SELECT doc_id, CAST(i - 1 AS INT) AS n, trim(split_part(l[i], chr(2), 1)) AS title FROM (SELECT doc_id, split({MARKED}, chr(1)) l FROM ({SECTIONED})), LATERAL (SELECT unnest(range(2, len(l) + 1)) i)")
 def headings(spark, sf_dir):
-    return sections.headings(rows(spark, sf_dir, SECTIONED), "doc_id", "text").select("doc_id", "line_no", "title")
+    return sections.headings(rows(spark, sf_dir, SECTIONED), "doc_id", "text").select("doc_id", "n", "title")
 
 
 # The rule in words of its own: eligibility first, else the word that stands first; a definition of monitoring is none.
-FIRST_WORD = "list_sort(list_filter([{'at': CASE WHEN contains(lower(title), 'monitor') THEN 0 ELSE instr(lower(title), 'definition') END, 'name': 'definitions'}, {'at': instr(lower(title), 'baseline'), 'name': 'baseline_scenario'}, {'at': instr(lower(title), 'monitoring'), 'name': 'parameters_monitored'}, {'at': instr(lower(title), 'scope'), 'name': 'typical_projects'}], lambda x: x.at > 0))[1].name"
+FIRST_WORD = "list_sort(list_filter([{'at': CASE WHEN contains(lower(title), 'monitor') THEN 0 ELSE instr(lower(title), 'definition') END, 'name': 'definitions'}, {'at': instr(lower(title), 'baseline'), 'name': 'baseline_scenario'}, {'at': instr(lower(title), 'project boundary'), 'name': 'project_scenario'}, {'at': instr(lower(title), 'monitoring'), 'name': 'parameters_monitored'}, {'at': instr(lower(title), 'scope'), 'name': 'typical_projects'}], lambda x: x.at > 0))[1].name"
 
 
 @query("T27_heading_categories", f"SELECT DISTINCT title, CASE WHEN contains(lower(title), 'eligibility') THEN 'applicability' ELSE {FIRST_WORD} END AS category FROM ({ORACLES['T26_headings']})")
@@ -281,12 +288,14 @@ def balanced_json(spark, sf_dir):
     return own.withColumn("k", F.get_json_object("obj", "$.k").cast("long"))
 
 
-SAID = "SELECT conv_id, turn, concat(substr(text, 1, 30), chr(10), 'CHOICE: ', CASE WHEN turn % 2 = 0 THEN 'AMS-I.D.' ELSE 'VM0001' END, chr(10), 'x') AS t FROM conversations"
+SAID = """SELECT conv_id, turn, 'AMS-I.D.' AS a, 'VM0001' AS b, concat(text, chr(10), CASE CAST(turn % 6 AS INT) WHEN 0 THEN 'CHOICE: VM0001; because it fits' WHEN 1 THEN 'choice :AMS-I.D.'
+  WHEN 2 THEN 'I prefer VM0001' WHEN 3 THEN 'CHOICE: neither, AMS-I.D. and VM0001 fail' WHEN 4 THEN 'CHOICE: VM9' ELSE concat('Choice:', chr(10), 'VM0001.') END, chr(10), 'x') AS t FROM conversations"""
+ALONE = "contains(t, {0}) AND NOT contains(t, {1})"
 
 
-@query("D19_choice", f"SELECT conv_id, turn, regexp_replace(trim(regexp_extract(t, '(?i)CHOICE:[ \\t]*([^\\n]*)', 1)), '\\.$', '') AS choice FROM ({SAID})")
+@query("D19_choice", f"SELECT conv_id, turn, CASE WHEN w IN (a, b) THEN w WHEN {ALONE.format('a', 'b')} THEN a WHEN {ALONE.format('b', 'a')} THEN b END AS choice FROM (SELECT *, trim(regexp_extract(t, '(?i)CHOICE\\s*:\\s*(\\S+)', 1), '.,;:') AS w FROM ({SAID}))")
 def choice(spark, sf_dir):
-    return rows(spark, sf_dir, SAID).select("conv_id", "turn", T.choice(F.col("t")).alias("choice"))
+    return rows(spark, sf_dir, SAID).select("conv_id", "turn", T.choice(F.col("t"), F.col("a"), F.col("b")).alias("choice"))
 
 
 CAP = "SELECT o_orderkey, concat('plant of ', CAST(o_orderkey % 30 AS STRING), CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN ' MW' WHEN 1 THEN ' people' WHEN 2 THEN '.5kWp' WHEN 3 THEN ' MWh' WHEN 4 THEN ' MWe.' WHEN 5 THEN ',5 gwth' WHEN 6 THEN ' kWh, 3 MW' ELSE ' MWs' END) AS t FROM orders"

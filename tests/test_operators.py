@@ -168,8 +168,9 @@ def test_program_dedupe_and_split(spark):
     d = spark.createDataFrame([(1, "p", "2020"), (2, "p", "2020"), (3, None, None), (4, None, None), (5, "q", None)], "gid long, p string, d string")
     assert {r.gid for r in sampling.one_per_program(d, "p", "d", "gid").collect()} == {1, 3, 4, 5}
     s = spark.range(100).withColumn("s", F.col("id") % 2)
-    got = sampling.split(s, "s", "id", 0.15)
-    assert got.where("split = 'val'").count() == 14 and got.repartition(7).where("split = 'val'").exceptAll(got.where("split = 'val'")).count() == 0
+    got = sampling.split(s, "s", "id", 15)
+    assert {r.s: r.n for r in got.where("split = 'val'").groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 8, 1: 7}  # 7.5 to even, the rest to the last
+    assert got.repartition(7).where("split = 'val'").exceptAll(got.where("split = 'val'")).count() == 0
 
 
 @pytest.mark.parametrize(
