@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
@@ -128,6 +128,48 @@ def backoff(prior: DataFrame, wanted: DataFrame, levels: list[list[str]], lists:
     return out.withColumn("n", F.coalesce(*(F.when(F.max(c).over(w) > 0, F.col(c)) for c in names), F.lit(0))).drop(*names)
 
 
+class Checked:
+    """Rows with counts that are taken as the rows go by, and demands on them: one job, no second reading.
+
+    ``rows`` may be used as any table; after an action on it, demand() raises if a condition was
+    broken, with the number of rows that broke it.
+    """
+
+    def __init__(self, rows: DataFrame, broken: dict[str, Column]):
+        self._seen = Observation()
+        self.rows = rows.observe(self._seen, *(F.count_if(c).alias(name) for name, c in broken.items()))
+
+    def demand(self) -> None:
+        """Waits for the first action on ``rows``; call it after one."""
+        if found := {name: n for name, n in self._seen.get.items() if n}:
+            raise ValueError(", ".join(f"{n} rows: {name}" for name, n in found.items()))
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> Checked:
+    """Rows of ``left`` with the right row of their key (J01); a key without one is an error, as in a lookup, and stays with nulls until demand()."""
+    found = right.withColumn("_found", F.lit(True))
+    both = left.join(found, key, "left")
+    out = Checked(both, {f"no right row of {key}": F.col("_found").isNull()})
+    out.rows = out.rows.drop("_found")
+    return out
+
+
+def group_ranks(lists: DataFrame, truth: DataFrame, groups: DataFrame) -> Checked:
+    """(qid, exact_rank, group_rank): first place of the truth, and of any code of its group, null if none.
+
+    lists: qid, code, rank; truth: qid, gt; groups: code, grp; a code without group is a
+    group of its own.  Demands that the exact rank is never better than the group's.
+    """
+    group = lambda g, c: F.coalesce(g, F.concat(F.lit("SINGLETON::"), c))
+    of = lambda c, n: groups.select(F.col("code").alias(c), F.col("grp").cast("string").alias(n))
+    known = truth.select("qid", "gt").join(of("gt", "_gg"), "gt", "left")
+    both = known.join(lists.select("qid", "code", "rank").join(of("code", "_cg"), "code", "left"), "qid", "left")
+    same = group(F.col("_cg"), F.col("code").cast("string")) == group(F.col("_gg"), F.col("gt").cast("string"))
+    out = both.groupBy("qid").agg(F.min(F.when(F.col("code") == F.col("gt"), F.col("rank"))).alias("exact_rank"), F.min(F.when(same, F.col("rank"))).alias("group_rank"))
+    worse = F.col("exact_rank").isNotNull() & (F.col("group_rank").isNull() | (F.col("group_rank") > F.col("exact_rank")))
+    return Checked(out, {"exact rank better than group rank": worse})
+
+
 def gap(firsts: DataFrame) -> DataFrame:
     """(part, n) of the gap between the right group and the right code (M10): registry_variant, scale_tier, fine_applicability.
 

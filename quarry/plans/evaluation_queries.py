@@ -101,6 +101,21 @@ def group_metrics(spark, sf_dir):
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == F.col("gt")).alias("exact"), F.count_if(group("pg", "pred") == group("gg", "gt")).alias("same_group"))
 
 
+ORDER_LISTS = "SELECT l_orderkey AS qid, l_partkey AS code, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS rank FROM lineitem GROUP BY l_orderkey, l_partkey"
+ORDER_TRUTH = "SELECT o_orderkey AS qid, (o_orderkey * 13 + o_custkey) % 200 + 1 AS gt FROM orders"
+OWN = "coalesce(CAST({0}.grp AS VARCHAR), concat('SINGLETON::', {1}))"
+
+
+@query(
+    "M09_group_ranks",
+    f"WITH g AS (SELECT p_partkey AS code, p_size % 10 AS grp FROM part WHERE p_partkey % 6 > 0), x AS (SELECT t.qid, gt, l.code, rank, {OWN.format('a', 'gt')} gg, {OWN.format('b', 'l.code')} cg FROM ({ORDER_TRUTH}) t LEFT JOIN ({ORDER_LISTS}) l ON l.qid = t.qid LEFT JOIN g a ON a.code = gt LEFT JOIN g b ON b.code = l.code) SELECT qid, min(CASE WHEN code = gt THEN rank END) AS exact_rank, min(CASE WHEN code IS NOT NULL AND gg = cg THEN rank END) AS group_rank FROM x GROUP BY qid",
+)
+def group_ranks(spark, sf_dir):
+    """Exact and group ranks of every order's list; their order is demanded as the rows go by."""
+    groups = table(spark, sf_dir, "part").where("p_partkey % 6 > 0").select(F.col("p_partkey").alias("code"), (F.col("p_size") % 10).alias("grp"))
+    return evaluate.group_ranks(rows(spark, sf_dir, ORDER_LISTS), rows(spark, sf_dir, ORDER_TRUTH), groups).rows
+
+
 #: Each code's group, family and scale; the scale of a third is unknown.
 TRAITS = "SELECT p_partkey AS code, p_size % 10 AS grp, p_brand AS family, CASE WHEN p_size > 34 THEN 'large' WHEN p_size > 17 THEN 'small' END AS scale FROM part"
 HARD = "SELECT l_orderkey, l_linenumber, l_partkey AS pred, (l_partkey + 10 * (l_linenumber % 4) + CAST(l_quantity AS INT) % 2) % 200 + 1 AS gt FROM lineitem"

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stats
 from quarry.functions import text as T
-from quarry.operators import evaluate, fusion, index, retrieve, sections
+from quarry.operators import evaluate, fusion, index, retrieve, sections, verify
 from quarry.sources import landed
 
-from . import recommend
+from . import recommend, table_function
 from .evaluation_queries import RANKS, USE, W, purity_sql, ranks
 from .registry import ORACLES, SPLICED, query, rows, table
+from .retrieval_queries import SCALED, TOP5, TWO, two
 from .system_queries import _inputs, _landed
 from .text_queries import ANY, COVERED
 
@@ -274,3 +275,23 @@ def absent(spark, sf_dir):
     """A missing pack is an empty table, and the rest goes on without it."""
     caps = landed.optional_json(spark, f"{sf_dir}/no-such-pack.json", "code long, cap double")
     return table(spark, sf_dir, "supplier").join(caps, F.col("s_suppkey") == F.col("code"), "left").select("s_suppkey", "cap")
+
+
+@query("L01_table_function", TWO + SCALED + ", f AS (SELECT qid, code, 0.5 * coalesce(na.x, 0) + 0.5 * coalesce(nb.x, 0) score FROM na FULL JOIN nb USING (qid, code)) " + TOP5.format("f"))
+def table_function_query(spark, sf_dir):
+    """Two channels of all items through the table function, called in SQL."""
+    a, b = (x.select("qid", "code", "score", F.lit(n).alias("channel")) for n, x in zip("ab", two(spark, sf_dir), strict=True))
+    table_function.register(spark)
+    a.union(b).createOrReplaceTempView("channels")
+    found = spark.sql("SELECT * FROM recommend_codes(TABLE(channels), 5, map('a', 0.5D, 'b', 0.5D))")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("T12_splice_back")
+def splice_back(spark, sf_dir):
+    """Marked paragraphs of whole texts shown to a verifier, its answers spliced back in place."""
+    def verifier(paragraphs):
+        return [(True, "version", p.replace("version", "[version]")) if "version" in p else None for p in paragraphs]
+
+    texts, _ = verify.verified(rows(spark, sf_dir, SPLICED), "doc_id", "text", verifier)
+    return texts.select("doc_id", "n_asked", "n_replaced", F.md5("text").alias("digest"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -110,3 +111,24 @@ def test_pilot_takes_all_leaked_first(spark):
     got = [r.id for r in sampling.round_robin(d, ["cell"], "id", 20, "leaked").collect()]
     assert len(got) == 20 and {0, 10, 20, 30, 40, 50} <= set(got)
     assert sampling.round_robin(d, ["cell"], "id", 3, "leaked").count() == 6
+
+
+def test_lookups_and_invariants_fail_with_their_counts(spark, tmp_path):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "gid int, x string")
+    right = spark.createDataFrame([(1, "p")], "gid int, y string")
+    found = evaluate.looked_up(left, right, "gid")
+    found.rows.write.parquet(str(tmp_path / "out"))  # the same job counts
+    with pytest.raises(ValueError, match="2 rows: no right row of gid"):
+        found.demand()
+    whole = evaluate.looked_up(left.where("gid = 1"), right, "gid")
+    assert whole.rows.collect() == [(1, "a", "p")] and whole.demand() is None
+    lists = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "z", 1)], "qid int, code string, rank int")
+    truth = spark.createDataFrame([(1, "b"), (2, "y"), (3, "a")], "qid int, gt string")
+    groups = spark.createDataFrame([("a", "g"), ("b", "g")], "code string, grp string")
+    ranks = evaluate.group_ranks(lists, truth, groups)
+    assert {r.qid: (r.exact_rank, r.group_rank) for r in ranks.rows.collect()} == {1: (2, 1), 2: (None, None), 3: (None, None)}
+    ranks.demand()
+    broken = evaluate.Checked(lists, {"first": F.col("rank") == 1})
+    broken.rows.count()
+    with pytest.raises(ValueError, match="2 rows: first"):
+        broken.demand()
