@@ -63,7 +63,7 @@ def _within(folds: int):
     return trimmed(run)
 
 
-def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF, by: str | None = None) -> DataFrame:
+def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF, by: str | None = None, span: DataFrame | None = None) -> DataFrame:
     """(col, id, at, fold, n, s) for each key, moment and fold of ``rows``: sums over the key's earlier rows of other folds; a table (kept by ``by``).
 
     ``rows`` has col and id (a key: a byte and a long), size (the same for all rows of a key:
@@ -82,11 +82,12 @@ def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF, by: str | None
     A node is asked for by as many leaves as its sibling covers, so it is copied once for
     each 2**12 of them.  Rows of one key, moment and fold are one row after the first sum, so
     no leaf gathers more rows than its moments and folds, whatever its key's share of the
-    rows.  Nothing but the first and last moment reaches the driver.
+    rows.  Nothing but the first and last moment (of ``span``, where given: rows with all the
+    moments) reaches the driver.
 
     An empty table gives an empty table; ties in time are no history of each other.
     """
-    first = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    first = (rows if span is None else span).agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
     lo = first["lo"] or 0
     bits = max(1, ((first["hi"] or 0) - lo).bit_length())
     depth = F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / leaf)))).cast("int")
@@ -98,7 +99,7 @@ def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF, by: str | None
     both = kept(dealt.mapInArrow(_within(folds), "col byte, id long, leaf long, at long, fold int, n long, s long, sums array<long>"))
 
     height = F.length(F.conv("leaf", 10, 2)) - 1
-    leaves = both.where("size(sums) > 0 AND leaf > 1").select(*KEY, "leaf", *(F.col("sums")[k].alias(x) for k, x in enumerate(sums)))
+    leaves = kept(both.where("size(sums) > 0 AND leaf > 1").select(*KEY, "leaf", *(F.col("sums")[k].alias(x) for k, x in enumerate(sums))))
     steps = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), height - 1))).withColumn("node", F.expr("shiftright(leaf, level)"))
     summed = [F.sum(x).alias(x) for x in sums]
     nodes = steps.where("node & 1 = 0").groupBy(*KEY, "level", "node").agg(*summed)
@@ -111,7 +112,7 @@ def history(rows: DataFrame, *, folds: int = 5, leaf: int = LEAF, by: str | None
     others = lambda c: sum((F.when(F.col("fold") != f, F.coalesce(F.col(f"{c}_before")[f], F.lit(0))).otherwise(0) for f in range(folds)), F.col(c))
     out = both.where("size(sums) = 0").select(name, *KEY, "leaf", "at", "fold", "n", "s").join(all_folds, ["name", *KEY, "leaf"], "left")
     out = kept(out.select(*KEY, "at", "fold", others("n").alias("n"), others("s").alias("s")), by=by)
-    release(both)
+    release(both, leaves)
     return out
 
 
@@ -175,7 +176,7 @@ def encode(
     keys = ["all", "kind", "item", "nation_id", "vendor", "segment", "client"]
     parts = [F.struct(F.lit(k).cast("byte").alias("col"), F.col(f"{c}_id").alias("id"), F.col(f"{c}_id_size" if c in ("item", "vendor", "client") else f"{c}_size").alias("size")) for k, c in enumerate(keys)]
     rows = whole.select("at", "fold", "n", "s", F.inline(F.array(*parts)))
-    past = history(rows, folds=folds, leaf=leaf, by="col")
+    past = history(rows, folds=folds, leaf=leaf, by="col", span=whole)
 
     def with_past(df: DataFrame, key: str) -> DataFrame:
         found = past.where(F.col("col") == keys.index(key)).select(F.col("id").alias(f"{key}_id"), "at", "fold", F.col("n").alias(f"{key}_n"), F.col("s").alias(f"{key}_s"))
