@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stats
 from quarry.functions import text as T
-from quarry.operators import evaluate, fusion, index, retrieve, sections, verify
+from quarry.operators import evaluate, extract, fusion, index, retrieve, sections, verify
 from quarry.sources import landed
 
 from . import recommend, table_function
@@ -295,3 +295,23 @@ def splice_back(spark, sf_dir):
 
     texts, _ = verify.verified(rows(spark, sf_dir, SPLICED), "doc_id", "text", verifier)
     return texts.select("doc_id", "n_asked", "n_replaced", F.md5("text").alias("digest"))
+
+
+#: What a stand-in model answers about a document, by its number: prose first for a fifth, a field too few for a seventh, nothing that fits for an eleventh.
+ASKED = "SELECT doc_id, concat('document ', CAST(doc_id AS STRING), ': ', coalesce(text, '')) AS text FROM documents"
+
+
+@query("L04_features", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 2 ELSE 1 END AS attempts, doc_id % 11 <> 0 AS ok, CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat('tech-', doc_id % 40) END AS technology, CASE WHEN doc_id % 11 = 0 OR doc_id % 3 = 0 THEN '' ELSE 'IN' END AS country, CASE WHEN doc_id % 11 = 0 OR doc_id % 2 = 0 THEN 'unknown' ELSE 'large' END AS scale FROM documents")
+def features_query(spark, sf_dir):
+    """Features of whole documents from a stand-in model whose bad answers are asked again."""
+    def transport(prompts):
+        out = []
+        for p in prompts:
+            k, again = int(p.split("document ", 1)[1].split(":", 1)[0]), "It does not fit: " in p
+            good = f'Sure: {{"ghg": ["co2"], "technology": "Tech  {k % 40}", "country_iso": "{"" if k % 3 == 0 else "in"}", "scale": {"null" if k % 2 == 0 else '"Large"'}}}'
+            short = '{"ghg": [], "technology": "x", "scale": "small"}'
+            out.append("none" if k % 11 == 0 else good if again else "a plant" if k % 5 == 0 else short if k % 7 == 0 else good)
+        return out
+
+    rows_, _ = extract.features(rows(spark, sf_dir, ASKED), "doc_id", "text", transport)
+    return rows_.select("doc_id", "attempts", "ok", "technology", "country", "scale")
