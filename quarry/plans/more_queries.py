@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stats
 from quarry.functions import text as T
-from quarry.operators import evaluate, extract, fusion, index, retrieve, sections, verify
+from quarry.operators import embed, evaluate, extract, fusion, index, retrieve, sections, verify
 from quarry.sources import landed
 
 from . import recommend, table_function
@@ -315,3 +315,16 @@ def features_query(spark, sf_dir):
 
     rows_, _ = extract.features(rows(spark, sf_dir, ASKED), "doc_id", "text", transport)
     return rows_.select("doc_id", "attempts", "ok", "technology", "country", "scale")
+
+
+@query(
+    "R15_embedding",
+    "WITH t AS (SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS n FROM documents), r AS (SELECT *, sum(n) OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 20000 AS covered FROM t) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n > 2000 THEN 'too long' WHEN NOT covered THEN 'cap' END AS reason, CASE WHEN n BETWEEN 1 AND 2000 AND covered THEN n END AS size FROM r",
+)
+def embedding(spark, sf_dir):
+    """Vectors of documents by a stand-in model as long as 20,000 tokens last; the others' reasons."""
+    def transport(texts):
+        return [[float(-(-len(t) // 4))] for t in texts]
+
+    found = embed.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", transport, cap=20_000, batch_tokens=2_000)
+    return found.select("doc_id", "reason", F.col("vector")[0].cast("long").alias("size"))
