@@ -72,3 +72,18 @@ def catalog_dump(spark, sf_dir):
     """The first item of each code in the source's order."""
     items, _ = paged.fetched(_paged(spark, sf_dir))
     return first_seen(items.where("code <> ''"), ["code"], ["page", "place"]).select("code", "gid")
+
+
+#: Pages as downloads: every fourth begins like a PDF, every tenth is one and the same challenge.
+DOWNLOADS = "SELECT concat('p', CAST(page_id AS STRING)) AS name, CASE WHEN page_id % 10 = 3 THEN 'Request unsuccessful. Incapsula' WHEN page_id % 10 = 4 THEN '%PDF same' WHEN page_id % 4 = 0 THEN concat('%PDF-1.4 ', html) ELSE html END AS value FROM pages WHERE html IS NOT NULL"
+
+
+@query(
+    "S22_landing_by_content",
+    f"WITH f AS (SELECT name, sha256(value || chr(10)) AS sha256, CAST(strlen(value || chr(10)) AS BIGINT) AS bytes, value LIKE '%PDF%' AND left(value, 4) = '%PDF' OR strlen(value || chr(10)) > 10000 AS fits FROM ({DOWNLOADS})), k AS (SELECT sha256, min(name) AS kept_as FROM f WHERE fits GROUP BY 1) SELECT name, f.sha256, bytes, CASE WHEN NOT fits THEN 'rejected' WHEN name = kept_as THEN 'landed' ELSE 'duplicate' END AS status, kept_as FROM f LEFT JOIN k ON k.sha256 = f.sha256",
+)
+def landing_by_content(spark, sf_dir):
+    """Whole pages written as files, and their manifest by content."""
+    path = landed.folder(spark)
+    rows(spark, sf_dir, DOWNLOADS).write.partitionBy("name").text(path)
+    return landed.by_content(spark, path, name=r"/name=([^/]*)/", glob="part-*")

@@ -106,3 +106,20 @@ def report(rows: DataFrame, columns: list[str]) -> DataFrame:
     head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "at int, value string")
     body = rows.orderBy(columns[0]).select(F.lit(2).alias("at"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |")).alias("value"))
     return head.union(body).orderBy("at", "value").select("value")
+
+
+def by_content(spark: SparkSession, folder: str, *, name: str = r"([^/]*)$", glob: str = "*", tiny: int = 10_000) -> DataFrame:
+    """(name, sha256, bytes, status, kept_as) of each file under a folder (S22): ``rejected`` if it begins with no ``%PDF`` and is not
+    over ``tiny`` bytes, ``duplicate`` if a file of a smaller name has the same content, else ``landed``.
+
+    kept_as is the name that the content is kept under, null for rejected ones.  Contents are
+    read once, for their digest and first bytes, and go no further; a content of very many
+    copies is one row a task before digests meet.  Empty files are rejected; an empty folder
+    gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    own = files.select(F.regexp_extract("path", name, 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("_pdf"))
+    fits = own.withColumn("_fits", F.col("_pdf") | (F.col("bytes") > tiny))
+    first = fits.where("_fits").groupBy("sha256").agg(F.min("name").alias("kept_as"))
+    status = F.when(~F.col("_fits"), "rejected").when(F.col("name") == F.col("kept_as"), "landed").otherwise("duplicate")
+    return fits.join(first, "sha256", "left").select("name", "sha256", "bytes", status.alias("status"), "kept_as")
