@@ -114,8 +114,8 @@ def by_content(spark: SparkSession, folder: str, *, name: str = r"([^/]*)$", glo
 
     kept_as is the name that the content is kept under, null for rejected ones.  Contents are
     read once, for their digest and first bytes, and go no further; a content of very many
-    copies is one row a task before digests meet.  Empty files are rejected; an empty folder
-    gives no rows.
+    copies is one row a task before digests meet.  Spark reads no empty files: they have no
+    row, and an empty folder gives none.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     own = files.select(F.regexp_extract("path", name, 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("_pdf"))
