@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from .words import _BYTE_POWERS, _BYTE_VALUES, U64, chunks, mix, trimmed
 
-#: Bytes of a window, windows of a neighbourhood, and neighbourhoods that a feature must lead.
-WINDOW, NEAR, LEADS = 64, 16, 4
-#: Windows of a text up to which all of them are features; offsets of which one is a start where words give none.
-FEW, STEP = 64, 16
+#: Bytes of a window; offsets of which one is a start where words give none.
+WINDOW, STEP = 32, 8
+#: Windows of a text for each further window of its neighbourhoods, and the windows of the widest.
+GROWTH, NEAR = 16, 24
 #: Bits of a filter, bits a feature sets, and features a filter takes.
 BITS, HASHES, FULL = 2048, 5, 160
 #: Classes of entropy.
 RANKS = 1024
-#: Share of the way from chance to full overlap that counts as nothing.
-CUTOFF = 0.3
+#: Standard deviations of chance overlap that count as nothing.
+NOISE = 4.0
 _ROWS_A_PART, _PARTS = 8192, 1 << 16
 _BLOCK = 1 << 16
 
@@ -89,11 +89,13 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start, text = start[fits], text[fits]
     if not len(start):
         return start, text, start
-    end = np.minimum(start + WINDOW, offsets[text + 1])
-    hot = np.zeros((n + 1, 32), np.uint8)
-    hot[np.arange(1, n + 1), _CLASS[data]] = 1
-    sums = np.cumsum(hot, axis=0, dtype=np.uint8)  # differences of at most WINDOW survive the wrap
-    entropy = np.concatenate([_PLOGP[sums[end[k : k + _BLOCK]] - sums[start[k : k + _BLOCK]]].sum(axis=1) for k in range(0, len(start), _BLOCK)])
+    size = np.minimum(offsets[text + 1] - start, WINDOW)
+    seen = np.lib.stride_tricks.sliding_window_view(np.concatenate([_CLASS[data], np.full(WINDOW, 32)]), WINDOW)
+    entropy = np.empty(len(start), np.float32)
+    for k in range(0, len(start), _BLOCK):
+        classes = np.where(np.arange(WINDOW) < size[k : k + _BLOCK, None], seen[start[k : k + _BLOCK]], 32)
+        at = (classes + np.arange(len(classes))[:, None] * 33).ravel()
+        entropy[k : k + _BLOCK] = _PLOGP[np.bincount(at, minlength=33 * len(classes)).reshape(-1, 33)[:, :32]].sum(axis=1)
     return start, text, np.minimum((entropy * (RANKS / 5.0)).astype(np.int64), RANKS - 1)
 
 
@@ -129,21 +131,16 @@ def digests(texts: list[bytes], place: np.ndarray) -> list[np.ndarray]:
     # a window leads a neighbourhood if its entropy class is the rarest there, leftmost first
     key = place[entropy] * len(start) + np.arange(len(start))
     count = np.bincount(text, minlength=len(texts))
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    chosen = (count <= FEW)[text]
-    wide = np.flatnonzero(count > FEW)
-    if len(wide):
-        best, span = key, 1
-        while span < NEAR:
-            step = min(span, NEAR - span)
-            best = np.minimum(best[:-step], best[step:])
-            span += step
-        inside = _spread(first[wide], count[wide] - NEAR + 1)
-        leader = best[inside] % len(start)
-        strong = np.bincount(leader, minlength=len(start)) >= LEADS
-        held = np.concatenate([[0], np.cumsum(strong)])
-        chosen |= strong
-        chosen[leader[held[inside + NEAR] == held[inside]]] = True
+    lead = np.ones(len(start), np.int64)  # windows of the widest neighbourhood of its text that it leads
+    left, right = np.ones(len(start), bool), np.ones(len(start), bool)
+    for d in range(1, min(NEAR, len(start))):
+        same = text[d:] == text[:-d]
+        left[:d], right[-d:] = False, False
+        left[d:] &= same & (key[:-d] > key[d:])
+        right[:-d] &= same & (key[d:] > key[:-d])
+        lead += left
+        lead += right
+    chosen = lead >= np.minimum(1 + count // GROWTH, NEAR)[text]
     start, text = start[chosen], text[chosen]
     end = np.minimum(start + WINDOW, offsets[text + 1])
     up, down = _BYTE_POWERS.get(len(data) + 1)
@@ -168,7 +165,7 @@ def digests(texts: list[bytes], place: np.ndarray) -> list[np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: each filter of the shorter digest with its best partner; overlap of bits between chance and full."""
+    """0 to 1: each filter of the shorter digest with its best partner; overlap of bits between what chance explains and full."""
     if len(a) > len(b) or (len(a) == len(b) and a.tobytes() > b.tobytes()):
         a, b = b, a
     if not len(a):
@@ -179,7 +176,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     shared = x @ y.T
     n, m = x.sum(1)[:, None], y.sum(1)[None, :]
     most, chance = np.minimum(n, m), n * m / BITS
-    floor = chance + CUTOFF * (most - chance)
+    floor = chance + NOISE * np.sqrt(chance * (1 - n / BITS) * (1 - m / BITS))
     return float(np.clip((shared - floor) / np.maximum(most - floor, 1e-9), 0, 1).max(axis=1).mean())
 
 
@@ -253,7 +250,7 @@ def _compare(place_held):
         rows: list[tuple[int | None, str]] = []
         part, size, done = None, 0, False
         for batch in batches:
-            for p, guest, doc, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for p, guest, doc, text in zip(*(map(pa.Scalar.as_py, batch.column(k)) for k in range(4)), strict=True):
                 if guest:
                     if not done and rows:
                         yield work(rows, text)
@@ -275,11 +272,12 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id") ->
 
     Windows of WINDOW bytes at the beginnings of words, and at content-defined offsets in
     runs without any, are ranked by how rare their entropy is in all documents; a window
-    that is the rarest of at least LEADS neighbourhoods of NEAR windows is a feature, and
-    so are the rarest of a neighbourhood that would have none and all windows of a text
-    of at most FEW.  Features go, HASHES bits each, into
-    filters of BITS bits, FULL a filter, a new one chained on when one is full.
-    Likeness compares bit overlap, normalised between chance and full.
+    that is the rarest of a neighbourhood is a feature.  Neighbourhoods grow with the text,
+    by a window for each GROWTH windows, up to NEAR windows; what leads a wide one leads a
+    narrow one too, so a longer text's features are among those that its part would have.
+    Features go, HASHES bits each, into filters of BITS bits, FULL a filter, a new one
+    chained on when one is full.  Likeness compares bit overlap, normalised between NOISE
+    standard deviations above chance and full.
 
     Texts travel once, to parts that are ranges of ids of about equal count; a part
     is read in order and holds a quarter of a megabyte of text at a time.  Edge cases:
