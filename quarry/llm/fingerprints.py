@@ -228,6 +228,10 @@ def with_next(docs: DataFrame, text: str, id: str) -> DataFrame:
     return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "_o", "text").drop("_o")
 
 
+def _values(column: pa.Array) -> Iterator[object]:
+    return (x.as_py() for x in column)
+
+
 def _compare(place_held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = place_held.value
@@ -250,7 +254,7 @@ def _compare(place_held):
         rows: list[tuple[int | None, str]] = []
         part, size, done = None, 0, False
         for batch in batches:
-            for p, guest, doc, text in zip(*(map(pa.Scalar.as_py, batch.column(k)) for k in range(4)), strict=True):
+            for p, guest, doc, text in zip(*(_values(batch.column(k)) for k in range(4)), strict=True):  # one text at a time
                 if guest:
                     if not done and rows:
                         yield work(rows, text)
