@@ -5,13 +5,14 @@ DataFrame functions only: no Python runs on the executors.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import boxed, kept
+from .tables import boxed, kept, release
 
 
 @dataclass(frozen=True)
@@ -67,36 +68,58 @@ def _shape(segment: Column) -> Column:
     return F.regexp_replace(s, r"[0-9]+", "{n}")
 
 
+def _chains(at: DataFrame, node: list[str]) -> DataFrame:
+    """Rows moved down to where the segments of their node's rows first differ; rows whose path ends before it, to their end."""
+    longest = at.groupBy(*node).agg(F.max(F.struct(F.size("segments").alias("size"), "segments")).alias("m")).select(*node, F.col("m.segments").alias("longest"))
+    same = F.zip_with("segments", F.slice("longest", 1, F.size("segments")), lambda a, b: a == b)
+    shared = at.join(longest, node).groupBy(*node).agg(F.min(F.nullif(F.array_position(same, False), F.lit(0)) - 1).alias("shared"))
+    steps = F.least("shared", F.size("segments")).cast("int")  # least passes over null: no two rows differ
+    down = at.join(shared, node).withColumn("steps", steps)
+    chain = F.when(F.col("steps") > 0, F.concat(F.lit("/"), F.array_join(F.slice("segments", 1, F.col("steps")), "/"))).otherwise("")
+    return down.withColumns({"template": F.concat("template", chain), "segments": F.slice("segments", F.col("steps") + 1, F.size("segments"))}).select(*at.columns)
+
+
+def _branches(at: DataFrame, node: list[str]) -> DataFrame:
+    """Rows moved one level down, to the child of their node that keeps its name or to the wildcard."""
+    at = at.withColumn("segment", F.element_at("segments", F.lit(1)))
+    child = at.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    whole = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+    rest_l, rest_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
+    pooled = (F.col("all_b") + 1) / (F.col("all_l") + 2)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
+    told = (F.col("l") > 0) & (rest_l > 0)
+    differs = told & (F.abs(F.col("b") / F.col("l") - rest_b / rest_l) > APART * error)
+    small = (F.col("children") > CHILDREN) & (F.col("n") < SHARE * F.col("all_n"))
+    named = child.join(whole, node).select(*node, "segment", F.when(differs | ~(told | small), F.col("segment")).otherwise("*").alias("name"))
+    down = at.join(named, [*node, "segment"])
+    return down.withColumns({"template": F.concat("template", F.lit("/"), "name"), "segments": F.slice("segments", 2, F.size("segments"))}).drop("segment", "name")
+
+
 def templates(rows: DataFrame) -> DataFrame:
-    """Adds ``template`` to distinct (host, segments, n, labelled, blocked).
-
-    Level by level, down to the longest path, a node's children are counted.  A child that
-    is alone, or whose blocked share differs from its siblings' by APART standard errors,
-    stays; one that does not differ merges with them.  Where labels cannot tell, as the child
-    or its siblings have none, it is a wildcard if its node has many children and it is a
-    small one, and stays otherwise.  Rows are only ever summed by (host, template so far,
-    segment), before which equal paths are summed; paths that have ended take no further part.
+    """(host, _shape, n, labelled, blocked, template) of distinct (host, _shape, segments, n, labelled, blocked).
+
+    A child that is alone stays, so rows go down at once to where the segments of their
+    node first differ.  There the node's children are counted: one whose blocked share
+    differs from its siblings' by APART standard errors stays; one that does not differ
+    merges with them.  Where labels cannot tell, as the child or its siblings have none, it
+    is a wildcard if its node has many children and it is a small one, and stays otherwise.
+    Rows are only ever summed by (host, template so far, segment); paths that have ended
+    take no further part.  There are as many rounds as forks on one path, however long it is.
     """
-    at = rows.withColumn("template", F.lit(""))
     node = ["host", "template"]
-    ended = [at.where(F.size("segments") == 0)]
-    depth = rows.agg(F.max(F.size("segments"))).collect()[0][0] or 0
-    for level in range(depth):
-        at = at.where(F.size("segments") > level).withColumn("segment", F.element_at("segments", F.lit(level + 1)))
-        child = at.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        whole = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-        rest_l, rest_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
-        pooled = (F.col("all_b") + 1) / (F.col("all_l") + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("l"), F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
-        told = (F.col("l") > 0) & (rest_l > 0)
-        differs = told & (F.abs(F.col("b") / F.col("l") - rest_b / rest_l) > APART * error)
-        small = (F.col("children") > CHILDREN) & (F.col("n") < SHARE * F.col("all_n"))
-        alone = F.col("children") == 1
-        named = child.join(whole, node).select(*node, "segment", F.when(alone | differs | ~(told | small), F.col("segment")).otherwise("*").alias("name"))
-        at = at.join(named, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name")).drop("segment", "name").select(*ended[0].columns)
-        at = kept(at)  # each level reads the one before three times
-        ended.append(at.where(F.size("segments") == level + 1))
-    return reduce(DataFrame.unionAll, ended)
+    at = rows.withColumn("template", F.lit(""))
+    ended, tables = [at.where(F.size("segments") == 0)], []
+    at = at.where(F.size("segments") > 0)
+    for move in itertools.cycle((_chains, _branches)):
+        if at.isEmpty():
+            break
+        moved = kept(move(at, node))  # the next step reads it three times
+        tables.append(moved)
+        ended.append(moved.where(F.size("segments") == 0).select(*at.columns))
+        at = moved.where(F.size("segments") > 0)
+    tree = kept(reduce(DataFrame.unionByName, ended).drop("segments"))
+    release(*tables)
+    return tree
 
 
 def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, url: str = "url", reject: float = 0.5) -> DataFrame:
@@ -122,7 +145,9 @@ def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, url: str = "url"
     shapes = rows.groupBy("host", "_shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("_verdict").alias("labelled"), F.sum(F.when(F.col("_verdict") == "block", 1).otherwise(0)).alias("blocked")
     )
-    tree = templates(kept(shapes.withColumn("segments", F.filter(F.split("_shape", "/"), lambda s: s != ""))))
+    summed = kept(shapes.withColumn("segments", F.filter(F.split("_shape", "/"), lambda s: s != "")))
+    tree = templates(summed)
+    release(summed)
     by_template = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     by_host = by_template.groupBy("host").agg(F.sum("l").alias("host_l"), F.sum("b").alias("host_b"))
     overall = by_host.agg((F.sum("host_b") / F.greatest(F.sum("host_l"), F.lit(1))).alias("base"))
