@@ -164,6 +164,75 @@ def test_fingerprint_windows_cover_all_bytes():
             assert (np.cumsum(seen)[:-1] > 0).all()
 
 
+def plain_features(data, rank):
+    """Starts of features of a text of short words: leaders of neighbourhoods, by their definition."""
+    size = P.WINDOW
+    starts = {i for i in range(len(data)) if i == 0 or data[i] > 32 >= data[i - 1]} | ({len(data) - size} if len(data) >= size else set())
+    starts = sorted(i for i in starts if i + size <= len(data) or i == 0)
+    found, _, classes = P.windows(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert found.tolist() == starts
+    sort = lambda b: chr(b).lower() if chr(b) in string.ascii_letters else "space" if b < 33 else "digit" if 48 <= b < 58 else "sign" if b < 127 else b % 3
+    for i, c in zip(starts, classes, strict=True):
+        counts = Counter(sort(b) for b in data[i : i + size])
+        assert abs(sum(v / size * math.log2(size / v) for v in counts.values()) * P.RANKS / 5 - c) <= 1.01
+    keys = [(rank[c], i) for i, c in zip(starts, classes, strict=True)]
+    near = min(1 + len(keys) // P.GROWTH, P.NEAR)
+    return sorted({min(keys[k : k + near])[1] for k in range(len(keys) - near + 1)})
+
+
+def plain_filters(data, rank):
+    """Sets of bits, FULL distinct features a set."""
+    seen = list(dict.fromkeys(data[i : i + P.WINDOW] for i in plain_features(data, rank)))
+    out = []
+    for k, window in enumerate(seen):
+        named = (sum(int(P._BYTE_VALUES[b]) * int(P._BYTE_POWERS.get(len(data) + 1)[0][j]) for j, b in enumerate(window)) + len(window)) % (1 << 64)
+        h = int(P.mix(np.array([named], np.uint64))[0])
+        if k % P.FULL == 0:
+            out.append(set())
+        out[-1] |= {h >> 11 * j & P.BITS - 1 for j in range(P.HASHES)}
+    return out
+
+
+def plain_likeness(a, b):
+    def one(x, y):
+        chance = len(x) * len(y) / P.BITS
+        floor = chance + P.NOISE * math.sqrt(chance * (1 - len(x) / P.BITS) * (1 - len(y) / P.BITS))
+        return min(max((len(x & y) - floor) / max(min(len(x), len(y)) - floor, 1e-9), 0), 1)
+
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return float(not long)
+    return 1.0 if a == b else sum(max(one(x, y) for y in long) for x in short) / len(short)
+
+
+def test_digests_against_their_definition():
+    r = np.random.default_rng(9)
+    words = ["".join(chr(c) for c in r.choice([*range(97, 123), 65, 48, 44, 233], r.integers(1, 9))) for _ in range(900)]
+    texts = [" ".join(r.choice(words, n)) for n in (1, 3, 9, 15, 17, 40, 63, 64, 65, 120, 400, 3000)]
+    texts = [x for t in texts for x in (t, t[: len(t) // 2] + t[: len(t) // 3])] + ["", "aa " * 500, texts[5]]
+    data = [t.encode() for t in texts]
+    rank = r.permutation(P.RANKS)
+    got, want = P.digests(data, rank), [plain_filters(d, rank) for d in data]
+    for g, w in zip(got, want, strict=True):
+        assert [set(np.flatnonzero(row)) for row in np.unpackbits(g, axis=1)] == w
+    assert max(len(w) for w in want) > 1
+    for i in range(len(data)):
+        for j in range(max(0, i - 4), i + 1):
+            if len(want[i]) != len(want[j]) or len(want[i]) < 2:  # chains of one length go either way round
+                assert abs(P.likeness(got[i], got[j]) - plain_likeness(want[i], want[j])) < 1e-5
+
+
+def test_half_edited_texts_are_told_from_others(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    got = {r.doc_id: r for r in P.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    classes = {}
+    for k, t in enumerate(texts):
+        n = len(t.split())
+        if n >= 20:
+            classes.setdefault(min(int(math.log2(n / 20)), 6), []).append(got[k].near_edited > got[k].near_next)
+    assert len(classes) > 3 and all(np.mean(c) >= 0.9 for c in classes.values())
+
+
 def host_path(url):
     if not url or "://" not in url:
         return "", ""
@@ -256,6 +325,22 @@ def test_url_tree_against_recursion(spark):
             assert got[k].verdict == ("block" if labels and round(purity, 9) > 0.5 else "allow")
 
 
+def test_url_rounds_follow_forks_not_depth(spark):
+    def jobs(depth):
+        deep = "/".join(chr(97 + k % 26) * (1 + k % 3) for k in range(depth))
+        made = [f"http://com/{deep}", f"http://com/{deep[: len(deep) // 2]}", "http://com/en/1", "http://com/fr/1", "http://x.org/es/1", "http://x.org/es/1"]
+        spark.sparkContext.setJobGroup(f"depth{depth}", "")
+        got = {(r.page_id, r.url): (r.host, r.path, r.template, r.purity, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows = [(host, path, None if rule is None else verdict == "block") for host, path, _, _, rule, verdict in got.values()]
+        assert all((t, round(p, 9)) == (g[2], g[3]) for (t, p, _), g in zip(plain_tree(rows), got.values(), strict=True))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"depth{depth}"))
+
+    assert jobs(400) <= jobs(6) + 3
+    long = "http://com/" + "/".join(["s", "t"] * 1000)
+    assert urls.judge(spark.createDataFrame([(1, long), (2, None), (2, None)], "page_id long, url string")).where("template LIKE '/s/t/%'").count() == 1
+
+
 def test_pipeline_stages(spark, corpus, documents, tables):
     import corpus_pipeline as C
     from test_ngram_join import brute
