@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_queries, evaluation_queries, more_queries, page_queries, retrieval_queries, system_queries, text_queries  # noqa: F401
+from . import code_queries, evaluation_queries, graph_queries, more_queries, page_queries, retrieval_queries, system_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
