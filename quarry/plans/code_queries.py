@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import codes
+from quarry.functions import codes, keywords
 from quarry.operators import filters, index, tables
 
-from .registry import CODES, digits, query, rows, table
+from .registry import CODES, SPLICED, digits, query, rows, table
 
 FAMILY = f"CASE WHEN regexp_matches(code, '{codes.CDM}') THEN 'CDM' WHEN regexp_matches(code, '{codes.VCS}') THEN 'VCS' WHEN regexp_matches(code, '{codes.GS}') THEN 'GS' ELSE 'OTHER' END"
 
@@ -62,33 +62,63 @@ def strict(spark, sf_dir):
     return filters.valid_at(rows(spark, sf_dir, DATED), rows(spark, sf_dir, VERSIONS)).select("gid", "valid")
 
 
+# A project of each customer; codes with standards, a status, the latest end of their versions and scopes.
+STARTED = """SELECT c_custkey AS project, CASE c_custkey % 4 WHEN 0 THEN 'GS' WHEN 1 THEN 'VCS' WHEN 2 THEN '' ELSE NULL END AS registry,
+  CASE WHEN c_custkey % 9 > 0 THEN make_date(CAST(1992 + c_custkey % 9 AS INT), 6, 1) END AS start, CASE c_custkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'Large' ELSE NULL END AS scale,
+  CASE WHEN c_custkey % 16 = 0 THEN '' ELSE concat(lpad(CAST(c_custkey % 16 AS STRING), 2, '0'), '-scope') END AS scope FROM customer"""
+SPACE = f"""SELECT code, split(CASE min(p_size) % 3 WHEN 0 THEN 'GS' WHEN 1 THEN 'CDM,VCS' ELSE 'CDM' END, ',') AS standards, CASE WHEN min(p_partkey) % 11 = 0 THEN 'Withdrawn' ELSE 'Active' END AS status,
+  CASE WHEN min(p_partkey) % 5 = 0 THEN NULL WHEN min(p_partkey) % 5 = 1 THEN DATE '9999-12-31' ELSE make_date(CAST(1992 + min(p_partkey) % 8 AS INT), 3, 1) END AS last,
+  split(concat(CAST(min(p_size) % 15 + 1 AS STRING), ',', CAST(max(p_size) % 15 + 1 AS STRING)), ',') AS scopes FROM ({CODES}) GROUP BY code"""
+
+
 @query(
     "F06_allow_list",
-    f"WITH p AS (SELECT * FROM ({PROJECTS}), ({LISTED})), f AS (SELECT *, {KEEP} AS a, NOT (scale = 'large' AND code LIKE 'AMS-%') AS b FROM p) SELECT project, CAST(count(*) AS BIGINT) AS n_all, CAST(count_if(a) AS BIGINT) AS n_registry, CAST(count_if(a AND b) AS BIGINT) AS n_scale FROM f GROUP BY project",
+    f"""WITH p AS ({STARTED}), s AS ({SPACE}), f AS (SELECT project, coalesce(registry, '') NOT IN ('GS', 'VCS') OR {FAMILY} IN (registry, 'CDM') OR list_contains(standards, registry) AS a,
+      start IS NULL OR NOT (status = 'Withdrawn' OR coalesce(last < start, FALSE)) AS b, NOT (lower(coalesce(scale, '')) = 'large' AND code LIKE 'AMS-%') AS c,
+      scope <> '' AND list_contains(scopes, CAST(TRY_CAST(substr(scope, 1, 2) AS INT) AS STRING)) AS d FROM p, s)
+    SELECT project, CAST(count(*) AS BIGINT) AS n_all, CAST(count_if(a) AS BIGINT) AS n_registry, CAST(count_if(a AND b) AS BIGINT) AS n_date, CAST(count_if(a AND b AND c) AS BIGINT) AS n_scale, CAST(count_if(a AND b AND c AND d) AS BIGINT) AS n_boosted FROM f GROUP BY project""",
 )
 def allow_list(spark, sf_dir):
-    return filters.allow_list(rows(spark, sf_dir, PROJECTS), rows(spark, sf_dir, LISTED))
+    return filters.staged(rows(spark, sf_dir, STARTED), rows(spark, sf_dir, SPACE), dated=True).select("project", "n_all", "n_registry", "n_date", "n_scale", "n_boosted")
+
+
+def words_of(values: dict[str, list[str]]) -> str:
+    return ", ".join(f"('{k}', '{w}')" for k, v in values.items() for w in v)
+
+
+def pick(values: list[str], n: str) -> str:
+    return "CASE CAST(" + n + f" % {len(values)} AS INT) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 
-# Words of a document stand for features: keywords of four made-up dimensions of two words each.
-WORDS = {"wind": ["thati", "eaou"], "solar": ["ingre", "thst"], "hydro": ["que", "entre"]}
-HITS = [f"(contains(lower(text), '{a}') OR contains(lower(text), '{b}'))" for a, b in WORDS.values()]
+# A candidate of each document: its text with a code and three keywords in it, beside a project's features.
+SAID_WORDS = [w for v in (keywords.SCOPES | keywords.TECHNOLOGIES | keywords.GASES).values() for w in v]
+CANDIDATES = f"""SELECT doc_id, code, concat(text, ' ', {pick([*SAID_WORDS, 'small-scale', 'tidal'], 'doc_id')}, ' ', {pick(SAID_WORDS, '(doc_id * 7)')}, '. ', upper({pick([*SAID_WORDS, 'NF3'], '(doc_id * 11)')})) AS text,
+  CASE doc_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'large' WHEN 2 THEN 'large' ELSE NULL END AS scale, {pick([*keywords.SCOPES, '06-construction', ''], '(doc_id * 5)')} AS scope,
+  {pick([*keywords.TECHNOLOGIES, 'Tidal', ''], '(doc_id * 3)')} AS technology, split(concat({pick([*keywords.GASES, 'NF3'], 'doc_id')}, ',', {pick(list(keywords.GASES), '(doc_id * 5)')}), ',') AS gases FROM ({SPLICED})"""
+HAS = "EXISTS (SELECT 1 FROM (VALUES {0}) k(key, word) WHERE key = {1} AND contains(low, lower(word)))"
+MATCHES = f"""SELECT *, coalesce(CASE scale WHEN 'small' THEN code LIKE 'AMS-%' OR contains(low, 'small-scale') WHEN 'large' THEN code NOT LIKE 'AMS-%' END, FALSE) AS fits_scale, {HAS.format(words_of(keywords.SCOPES), 'scope')} AS fits_scope,
+  {HAS.format(words_of(keywords.TECHNOLOGIES), 'technology')} OR (technology = 'Tidal' AND contains(low, 'tidal')) AS fits_technology,
+  {HAS.format(words_of(keywords.GASES), 'gases[1]')} OR {HAS.format(words_of(keywords.GASES), 'gases[2]')} OR (gases[1] = 'NF3' AND contains(low, 'nf3')) AS fits_ghg FROM (SELECT *, lower(text) AS low FROM ({CANDIDATES}))"""
+COUNTED = f"SELECT *, CAST(fits_scale AS INT) + CAST(fits_scope AS INT) + CAST(fits_technology AS INT) + CAST(fits_ghg AS INT) AS n FROM ({MATCHES})"
 
 
-@query("F08_keyword_flags", "SELECT doc_id, " + ", ".join(f"{h} AS {k}" for k, h in zip(WORDS, HITS, strict=True)) + " FROM documents")
+@query("F08_keyword_flags", f"SELECT doc_id, fits_scale AS scale, fits_scope AS scope, fits_technology AS technology, fits_ghg AS ghg FROM ({MATCHES})")
 def keyword_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[filters.mentions(F.col("text"), w).alias(k) for k, w in WORDS.items()])
+    c = rows(spark, sf_dir, CANDIDATES)
+    flags = keywords.matches(c.text, c.code, scale=c.scale, scope=c.scope, technology=c.technology, gases=c.gases)
+    return c.select("doc_id", *[f.alias(k) for k, f in flags.items()])
 
 
-@query("F09_match_count", "SELECT doc_id, CAST(" + " + ".join(f"CAST({h} AS INT)" for h in HITS) + " AS BIGINT) AS match_count, lang = 'de' AS excluded FROM documents")
+@query("F09_match_count", f"SELECT doc_id, CAST(n AS BIGINT) AS match_count, coalesce(scale = 'large' AND code LIKE 'AMS-%', FALSE) AS excluded, CASE WHEN scale = 'large' AND code LIKE 'AMS-%' THEN 'scale=large but code is AMS-* (small-only)' ELSE '' END AS reasons FROM ({COUNTED})")
 def match_count(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return filters.matched(d, "text", WORDS, F.col("lang") == "de").select("doc_id", "match_count", "excluded")
+    return filters.matched(rows(spark, sf_dir, CANDIDATES)).select("doc_id", "match_count", "excluded", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("A11_match_histogram", "SELECT match_count, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(" + " + ".join(f"CAST({h} AS INT)" for h in HITS) + " AS BIGINT) AS match_count FROM documents) GROUP BY 1")
+@query("A11_match_histogram", f"SELECT CAST(n AS BIGINT) AS match_count, CAST(count(*) AS BIGINT) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 9) AS share FROM ({COUNTED}) c GROUP BY c.n")
 def histogram(spark, sf_dir):
-    return filters.matched(table(spark, sf_dir, "documents"), "text", WORDS, F.lit(False)).groupBy("match_count").agg(F.count(F.lit(1)).alias("n"))
+    """Candidates and their share of all for each match count."""
+    counts = filters.matched(rows(spark, sf_dir, CANDIDATES)).groupBy("match_count").agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("match_count", "n", F.round(F.col("n") / F.col("all"), 9).alias("share"))  # one row
 
 
 SAID = "SELECT l_orderkey AS gid, l_linenumber AS pos, l_suppkey % 40 AS code FROM lineitem"
