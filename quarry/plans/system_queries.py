@@ -14,7 +14,7 @@ from . import recommend
 from .code_queries import KEEP, LISTED, VERSIONS
 from .code_queries import PROJECTS as SEGMENTS
 from .registry import CODES, query, rows, table
-from .retrieval_queries import ROUTE, TWO, ranked, two
+from .retrieval_queries import ROUTE, SCORED, TWO, ranked, two
 
 TRUTH = "concat('src', CAST(qid % 20 AS STRING))"
 
@@ -313,3 +313,19 @@ def incremental_index(spark, sf_dir):
     table(spark, sf_dir, "documents").write.mode("overwrite").parquet(src)
     incremental.catch_up(spark, src, schema.simpleString()[7:-1].replace(":", " "), f"{out}/rows", f"{out}/checkpoint", "doc_id", "text")
     return spark.read.parquet(f"{out}/rows").select(F.col("doc").alias("doc_id"), "dl", F.size("terms").alias("n_terms"))
+
+
+@query(
+    "L07_index_statistics",
+    f"WITH {SCORED} SELECT term, CAST(df AS BIGINT) AS df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf, CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, (SELECT CAST(sum(tf) AS BIGINT) FROM post p WHERE p.term = terms.term) AS n_all FROM terms, tot",
+)
+def index_statistics(spark, sf_dir):
+    """Statistics of an index that three deliveries of documents were appended to, each by a run of its own."""
+    base, docs = landed.folder(spark), table(spark, sf_dir, "documents")
+    schema = docs.schema.simpleString()[7:-1].replace(":", " ")
+    for k in range(3):
+        docs.where(F.pmod("doc_id", F.lit(3)) == k).write.mode("append").parquet(f"{base}/in")
+        incremental.catch_up_index(spark, f"{base}/in", schema, f"{base}/index", f"{base}/checkpoint", "doc_id", "text")
+    ix = incremental.landed_index(spark, f"{base}/index")
+    uses = ix.postings.groupBy("term").agg(F.sum("tf").alias("n_all"))
+    return ix.terms.join(uses, "term").crossJoin(F.broadcast(ix.totals)).select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"), "n_all")  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import index
 
 
 def postings(docs: DataFrame, doc: str, column: str) -> DataFrame:
@@ -27,3 +28,40 @@ def catch_up(spark: SparkSession, folder: str, schema: str, out: str, checkpoint
     q = postings(stream, doc, column).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return sum(int(p["numInputRows"]) for p in q.recentProgress)
+
+
+def catch_up_index(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, doc: str, column: str, *, files: int = 10_000) -> int:
+    """Appends postings, document frequencies and totals of files that no earlier run has read; returns the micro-batches landed.
+
+    A micro-batch of at most ``files`` files has folders of its own, named by its number, and totals come
+    last.  A run that breaks off has its unfinished batch read again, with the same
+    files under the same number, and written over: nothing counts twice.  ``out`` and
+    ``checkpoint`` belong together.  Each row is a document; ids are expected to be unique.
+    """
+    landed = []
+
+    def land(batch: DataFrame, number: int) -> None:
+        at = {name: f"{out}/{name}/batch={number}" for name in ("postings", "terms", "totals")}
+        postings(batch, doc, column).write.mode("overwrite").parquet(at["postings"])
+        held = batch.sparkSession.read.parquet(at["postings"])
+        held.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(at["terms"])
+        held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(at["totals"])
+        landed.append(number)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return len(landed)
+
+
+def landed_index(spark: SparkSession, out: str) -> index.Index:
+    """The index of all that has landed: statistics summed over finished micro-batches, texts not read again.
+
+    A batch without totals is unfinished and left out.  At least one must have landed.
+    """
+    totals = spark.read.parquet(f"{out}/totals")
+    finished = totals.select("batch")
+    rows = spark.read.parquet(f"{out}/postings").join(finished, "batch", "left_semi")
+    whole = totals.agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+    df = spark.read.parquet(f"{out}/terms").join(finished, "batch", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    terms = df.crossJoin(F.broadcast(whole)).select("term", "df", index.idf(F.col("n"), F.col("df")).alias("idf"))  # one row
+    return index.Index(rows.select("doc", F.inline("terms")).select("term", "doc", F.col("tf").cast("long").alias("tf")), rows.select("doc", F.col("dl").cast("long").alias("dl")), terms, whole)
