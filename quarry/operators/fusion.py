@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import keywords
+
+from .filters import scale_fits
 from .retrieve import top
 
 
@@ -34,6 +37,39 @@ def fuse(channels: list[tuple[DataFrame, float]], k: int, excluded: DataFrame |
     return top(out, k, key)
 
 
+def match_counts(candidates: DataFrame, features: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds excluded and match_count, 0 to 4, to candidates(qid, code) by features(qid, scale, scope, technology, gases).
+
+    texts(code, text): the keys that a code's texts mention are found text by text and are
+    distinct before they meet the candidates, by code and key; texts are not shuffled.
+    Only keys with keywords of their own are matched here.  Queries without features match nothing.
+    """
+    facts = texts.select("code", F.explode(keywords.mentioned(F.col("text"))).alias("x")).select("code", "x.dimension", "x.key").distinct()
+    both = candidates.join(features, "qid", "left")
+    one = lambda d, k: F.struct(F.lit(d).alias("dimension"), k.alias("key"))
+    gases = F.transform(F.coalesce("gases", F.array().cast("array<string>")), lambda g: one("ghg", g))
+    asked = both.select("qid", "code", F.explode(F.concat(F.array(one("scope", F.col("scope")), one("technology", F.col("technology")), one("scale", F.col("scale"))), gases)).alias("x"))
+    met = asked.select("qid", "code", "x.dimension", "x.key").join(facts, ["code", "dimension", "key"]).groupBy("qid", "code")
+    met = met.agg(F.count_distinct(F.when(F.col("dimension") != "scale", F.col("dimension"))).alias("n"), F.max((F.col("dimension") == "scale").cast("int")).alias("said"))
+    small = F.col("code").startswith("AMS-")
+    scale = F.coalesce(F.when(F.col("scale") == "small", small | (F.coalesce("said", F.lit(0)) == 1)).when(F.col("scale") == "large", ~small), F.lit(False))
+    counted = both.join(met, ["qid", "code"], "left")
+    return counted.select("qid", "code", F.coalesce(~scale_fits(F.col("scale"), F.col("code")), F.lit(False)).alias("excluded"), (F.coalesce("n", F.lit(0)) + scale.cast("int")).cast("long").alias("match_count"))
+
+
+def fusion_only(sparse: DataFrame, dense: DataFrame, features: DataFrame, texts: DataFrame, k: int = 5, *, weights: tuple[float, float, float] = (0.5, 0.5, 0.0)) -> DataFrame:
+    """The best codes of each query with match_count (P17): both channels' candidates, min-max, less what is excluded, and match counts as a third channel.
+
+    sparse and dense are (qid, code, score), rolled up by code from the best clauses of each.
+    """
+    found = match_counts(sparse.select("qid", "code").union(dense.select("qid", "code")).distinct(), features, texts)
+    channels = [(sparse, weights[0]), (dense, weights[1])]
+    if weights[2]:
+        channels.append((found.where("NOT excluded").select("qid", "code", F.col("match_count").cast("double").alias("score")), weights[2]))
+    best = fuse(channels, k, excluded=found.where("excluded").select("qid", "code"))
+    return best.join(found.select("qid", "code", "match_count"), ["qid", "code"])
+
+
 def weighted_rrf(a: DataFrame, b: DataFrame, wa: float, wb: float, k: int, c: int = 60, key: str = "code") -> DataFrame:
     """Two lists by weighted reciprocal rank; absent means one after the list's last."""
     size = lambda x, n: x.groupBy("qid").agg(F.max("rank").alias(n))

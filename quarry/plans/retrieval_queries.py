@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text
+from quarry.functions import keywords, text
 from quarry.operators import fusion, index, retrieve, vector_index
 
 from quarry.sources import landed
 
+from .code_queries import CANDIDATES, pick
 from .registry import SPLICED, query, rows, table
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -316,11 +317,31 @@ def slot_rerank(spark, sf_dir):
     return fusion.slot_rerank(x)
 
 
-@query("P17_fusion_only", TWO + SCALED + ", f AS (SELECT qid, code, 0.5 * coalesce(na.x, 0) + 0.5 * coalesce(nb.x, 0) score FROM na FULL JOIN nb USING (qid, code)) " + TOP5.format("f"))
+# Every hundredth document is a project: its text and its vector ask, and its features are drawn by its id.
+FEATURES = f"""SELECT doc_id AS qid, CASE CAST(doc_id / 100 AS INT) % 3 WHEN 0 THEN 'large' WHEN 1 THEN 'small' END AS scale, {pick([*keywords.SCOPES, '06-construction'], 'CAST(doc_id / 100 AS INT)')} AS scope,
+  {pick([*keywords.TECHNOLOGIES], 'CAST(doc_id / 100 AS INT)')} AS technology, split(concat({pick([*keywords.GASES], 'CAST(doc_id / 100 AS INT)')}, ',CO2'), ',') AS gases FROM documents WHERE doc_id % 100 = 0"""
+ALL_WORDS = ", ".join(f"('{d}', '{k}', '{w}')" for d, words in (("scope", keywords.SCOPES), ("technology", keywords.TECHNOLOGIES), ("ghg", keywords.GASES)) for k, v in words.items() for w in v)
+
+
+@query(
+    "P17_fusion_only",
+    f"WITH {SCORED}, {DENSE}".replace("item_id qid", "doc_id qid").replace("FROM benchmark", "FROM documents WHERE doc_id % 100 = 0")
+    + f""", c AS ({CANDIDATES}), p AS ({FEATURES}), sr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) rank FROM s),
+a0 AS (SELECT qid, code, greatest(0, max(score)) score FROM sr JOIN c USING (doc_id) WHERE rank <= 50 GROUP BY ALL), b0 AS (SELECT qid, code, greatest(0, max(score)) score FROM dr JOIN c USING (doc_id) WHERE rank <= 50 GROUP BY ALL)"""
+    + SCALED
+    + f""", facts AS (SELECT DISTINCT code, dimension, key FROM c, (VALUES {ALL_WORDS}) k(dimension, key, word) WHERE contains(lower(text), lower(word))), small AS (SELECT DISTINCT code FROM c WHERE contains(lower(text), 'small-scale')),
+f AS (SELECT qid, code, 0.5 * coalesce(na.x, 0) + 0.5 * coalesce(nb.x, 0) score FROM na FULL JOIN nb USING (qid, code)),
+g AS (SELECT f.*, CAST(coalesce(CASE scale WHEN 'small' THEN code LIKE 'AMS-%' OR code IN (FROM small) WHEN 'large' THEN code NOT LIKE 'AMS-%' END, FALSE) AS INT) + CAST((code, 'scope', scope) IN (FROM facts) AS INT) + CAST((code, 'technology', technology) IN (FROM facts) AS INT)
+  + CAST((code, 'ghg', gases[1]) IN (FROM facts) OR (code, 'ghg', gases[2]) IN (FROM facts) AS INT) AS n FROM f LEFT JOIN p USING (qid) WHERE NOT coalesce(scale = 'large' AND code LIKE 'AMS-%', FALSE))
+SELECT qid, code, round(score, 6) AS score, CAST(rank AS INT) AS rank, CAST(coalesce(n, 0) AS BIGINT) AS match_count FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, code) rank FROM g) WHERE rank <= 5""",
+)
 def fusion_only(spark, sf_dir):
-    """The flagship: sparse scores rolled up by source and fused with a second channel."""
-    a, b = two(spark, sf_dir)
-    return five(fusion.fuse([(a, 0.5), (b, 0.5)], 5))
+    """The flagship: the best 50 clauses of the sparse and of the dense channel, rolled up by code and fused, less what the project's scale excludes."""
+    docs, texts = table(spark, sf_dir, "documents"), rows(spark, sf_dir, CANDIDATES).select(F.col("doc_id").alias("doc"), "code", "text")
+    keys = texts.select("doc", "code")
+    sparse = retrieve.top(retrieve.bm25(docs.where("doc_id % 100 = 0"), index.build(docs, "doc_id", "text"), "doc_id", "text"), 50, "doc")
+    fused = fusion.fusion_only(fusion.rolled_up(sparse, keys), fusion.rolled_up(near(spark, sf_dir, 50), keys), rows(spark, sf_dir, FEATURES), texts.select("code", "text"))
+    return fused.select("qid", "code", F.round("score", 6).alias("score"), "rank", "match_count")
 
 
 LINES = "SELECT conv_id, turn, concat(role, ': ', substr(text, 1, 120)) AS line FROM conversations"
