@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import filters, fusion, index, retrieve
 from quarry.operators.sections import json_part
+from quarry.sources import landed
 
 Transport = Callable[[list[str]], list[str]]
 
@@ -47,8 +48,8 @@ SYSTEMS = {
 def candidates(queries: DataFrame, docs: DataFrame, config: Config, second: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, code, score, rank) of queries(qid, text) over docs(doc, code, text); second is another channel (qid, code, score)."""
     ix = index.build(docs, "doc", "text")
-    s = retrieve.bm25(queries, ix, "qid", "text", allowed if config.masked else None)
-    channels = [(fusion.rolled_up(s, docs), config.alpha)]
+    s = retrieve.bm25_by_key(queries, docs, ix, "qid", "doc", "text", "code", allowed if config.masked else None)
+    channels = [(landed.kept(s.select("qid", F.col("key").alias("code"), F.col("best").alias("score"))), config.alpha)]
     if second is not None and config.beta:
         channels.append((second, config.beta))
     fused = fusion.fuse(channels, config.candidates)
