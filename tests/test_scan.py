@@ -57,3 +57,14 @@ def test_a_task_keeps_the_best_of_all_it_is_shown():
     query, docs, _ = kept.found()
     for q in range(6):
         assert list(docs[query == q]) == list(np.lexsort((np.arange(400), -scores[q]))[:9])
+
+
+def test_scores_for_the_document_that_a_query_names(spark):
+    docs = spark.createDataFrame([("a", "alpha beta beta"), ("b", "beta gamma"), ("c", None)], "code string, text string")
+    asked = spark.createDataFrame([(1, "a", "alpha beta"), (2, "b", "beta beta"), (3, "a", "unheard"), (4, "c", "beta")], "id long, code string, text string")
+    ix = index.build(docs, "code", "text", parts=True)
+    named = asked.withColumn("own", F.struct("id", F.col("code").alias("doc")))
+    got = {r.qid.id: r.x for r in retrieve.own_scores(retrieve.query_terms(named, "own", {"x": F.col("text")}), ix, ["x"]).collect()}
+    codes = {1: "a", 2: "b", 3: "a", 4: "c"}
+    want = {r.qid: r.score for r in retrieve.bm25(asked, ix, "id", "text").collect() if codes[r.qid] == r.doc}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and set(got) == {1, 2}
