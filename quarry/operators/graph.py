@@ -14,17 +14,19 @@ from quarry.sources import landed
 
 @dataclass(frozen=True)
 class Step:
-    """One edge of a kind to the node named ``to``, from dst to src if ``back``; ``any``: no edge or any number of them."""
+    """One edge of a kind to the node named ``to``, from dst to src if ``back``; ``any``: no edge or any number of them; ``least``: of the nodes that it leads to, the least alone."""
 
     kind: str
     to: str
     back: bool = False
     any: bool = False
+    least: bool = False
 
 
 def _hops(edges: DataFrame, step: Step) -> DataFrame:
     a, b = ("dst", "src") if step.back else ("src", "dst")
-    return edges.where(F.col("kind") == step.kind).select(F.col(a).alias("_from"), F.col(b).alias("_to")).dropna().distinct()
+    hops = edges.where(F.col("kind") == step.kind).select(F.col(a).alias("_from"), F.col(b).alias("_to")).dropna()
+    return hops.groupBy("_from").agg(F.min("_to").alias("_to")) if step.least else hops.distinct()
 
 
 def reach(starts: DataFrame, hops: DataFrame) -> DataFrame:
@@ -58,10 +60,14 @@ def match(starts: DataFrame, edges: DataFrame, steps: Sequence[Step]) -> DataFra
     A step is an equi-join with the edges of its kind, repeated edges counting once; one of
     any length meets the reach of the nodes that stand before it.  Names of steps are
     distinct, and none is the starts' column.  Null ends of edges and null starts lead nowhere;
-    kinds without edges give no path, but steps of any length stay where they are.
+    kinds without edges give no path, but steps of any length stay where they are.  A step to the
+    least node is for what asks for the least node first: each path before it goes on once,
+    where a node with many edges in and out would make a path of each two.
     """
     out = starts.select(starts.columns[0]).dropna().distinct()
     for step in steps:
+        if step.any and step.least:
+            raise ValueError("a step of any length has no least node")
         at, hops = out.columns[-1], _hops(edges, step)
         if step.any:
             hops = reach(out.select(at), hops).select(F.col("start").alias("_from"), F.col("node").alias("_to"))

@@ -39,9 +39,9 @@ def graph_clauses(spark, sf_dir):
     SELECT code, ssc_type, dimension, cap, unit, document FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY document, ssc_type, dimension, cap, unit) AS k FROM m) WHERE k = 1""",
 )
 def graph_thresholds(spark, sf_dir):
-    """A threshold of each code with the document that states it: that of the least document."""
+    """A threshold of each code with the document that states it: that of the least document, so of each threshold's documents only the least is followed."""
     applies = rows(spark, sf_dir, APPLIES)
     edges = applies.unionAll(rows(spark, sf_dir, STATED))
-    paths = graph.match(applies.select(F.col("dst").alias("code")), edges, [Step("threshold_applies_to", "threshold", back=True), Step("guidance_source_of", "document", back=True)])
+    paths = graph.match(applies.select(F.col("dst").alias("code")), edges, [Step("threshold_applies_to", "threshold", back=True), Step("guidance_source_of", "document", back=True, least=True)])
     found = graph.described(paths, "threshold", rows(spark, sf_dir, THRESHOLDS), "id").drop("threshold")
     return graph.first_of(found, "code", ["document", "ssc_type", "dimension", "cap", "unit"])

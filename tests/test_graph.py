@@ -38,3 +38,13 @@ def test_match_follows_every_path_once(spark):
     facts = spark.createDataFrame([("x", 3), ("w", 1)], "id string, cap int")
     told = graph.described(graph.match(starts, edges, [Step("r", "via", any=True), Step("t", "text", back=True)]), "text", facts, "id")
     assert graph.first_of(told, "code", ["cap", "text"]).select("code", "cap", "text", "via").orderBy("code").collect() == [("a", 3, "x", "d"), ("d", 3, "x", "d")]
+
+
+def test_a_step_to_the_least_node_goes_on_once(spark):
+    edges = spark.createDataFrame([*EDGES, *[(f"s{k}", "states", "hub") for k in range(9, 1, -1)], *[("hub", "applies", f"c{k}") for k in range(5)]], "src string, kind string, dst string")
+    starts = spark.createDataFrame([(f"c{k}",) for k in range(5)], "code string")
+    steps = lambda **x: [Step("applies", "threshold", back=True), Step("states", "document", back=True, **x)]
+    least = graph.match(starts, edges, steps(least=True))
+    assert sorted(map(tuple, least.collect())) == [(f"c{k}", "hub", "s2") for k in range(5)]
+    every = graph.match(starts, edges, steps())
+    assert every.count() == 40 and sorted(graph.first_of(every, "code", ["document"]).collect()) == sorted(graph.first_of(least, "code", ["document"]).collect())
