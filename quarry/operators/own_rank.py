@@ -1,4 +1,4 @@
-"""Rank of each document's own key among all keys (R06, R07) without a row for each document and key."""
+"""Rank of each document's own key among all keys (R07) without a row for each document and key."""
 
 from __future__ import annotations
 
