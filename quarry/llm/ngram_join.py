@@ -497,8 +497,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
 
     often = found.where("kind = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= shared(percent))
     # texts meet their requests by a merge at every size, so that plans at small and large sizes are the same
-    edges = links(often.select("a", "b").union(found.where("kind = 2").select("a", "b")).distinct(), base.hint("merge"))
-    labels = components(edges)
+    labels = components(links(often.select("a", "b").union(found.where("kind = 2").select("a", "b")).distinct(), base.hint("merge")))
     large = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("token")).distinct()
     # first each node with its nearest of another component, which joins most that can be joined; then all that are left
     for nearest in (True, False) if not large.isEmpty() else ():
@@ -519,8 +518,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
         release(named)
         if met.isEmpty():
             break
-        edges = edges.union(links(met, base))
-        labels = components(edges)
+        labels = components(links(met, base), labels)
         release(met)
     release(found)
     named = classes.select("node", F.col("id").alias("rep")).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")

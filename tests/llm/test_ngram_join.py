@@ -97,6 +97,51 @@ def test_components_of_chains(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def _joined_rows(spark, since):
+    """Rows that the joins of the queries from number ``since`` on have made."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(since, store.executionsCount()):
+        run = store.executionsList().apply(k).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def _group(size, seed):
+    """A group as a large bucket gives it: a pivot, a chain and some pairs more."""
+    r = random.Random(seed)
+    ids = r.sample(range(10 * size), size)
+    return [(ids[0], x) for x in ids[1:]] + list(zip(ids, ids[1:], strict=False)) + [tuple(r.sample(ids, 2)) for _ in range(size)], min(ids)
+
+
+def test_components_meet_settled_edges_no_more(spark):
+    for size in (400, 1600):
+        edges, least = _group(size, size)
+        frame = spark.createDataFrame(edges, "a long, b long")
+        count = spark._jsparkSession.sharedState().statusStore().executionsCount
+        before = count()
+        known = components(frame)
+        assert {r.component for r in known.collect()} == {least}
+        assert _joined_rows(spark, before) < 5 * len(edges)
+        before = count()
+        more = components(spark.createDataFrame([(edges[0][0], 10 * size), (10 * size, 10 * size + 1)], "a long, b long"), known)
+        assert {r.component for r in more.collect()} == {least}
+        assert _joined_rows(spark, before) < 2 * size
+
+
+def test_components_go_on_from_known_ones(spark):
+    r = random.Random(5)
+    for _ in range(3):
+        one, two = ([(r.randrange(120), r.randrange(120)) for _ in range(n)] for n in (60, 40))
+        first, more = (spark.createDataFrame([*x, (None, 3), (4, 4)], "a long, b long") for x in (one, two))
+        want = {x.node: x.component for x in components(first.union(more)).collect()}
+        assert {x.node: x.component for x in components(more, components(first)).collect()} == want
+        assert all(want[a] == want[b] for a, b in one + two if a != b) and all(c <= n for n, c in want.items())
+
+
 @pytest.mark.parametrize("percent", [70, 80])
 def test_large_buckets_of_many_sizes(spark, monkeypatch, percent):
     r, used = random.Random(11), []
