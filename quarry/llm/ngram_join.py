@@ -273,7 +273,8 @@ def _across(percent: int, nearest: bool):
     def pairs(rows: list[np.ndarray]) -> np.ndarray:
         i, j, own, home, n, node, component, bits = rows[2:]
         length = np.array([len(x) for x in bits])
-        whole = {k: np.stack([bits[x] for x in np.flatnonzero(length == k)]) for k in np.unique(length)}
+        # unsigned, as numpy counts the bits of a negative number's absolute value
+        whole = {k: np.stack([bits[x] for x in np.flatnonzero(length == k)]).view(U64) for k in np.unique(length)}
         at = np.zeros(len(n), np.int64)
         for k in whole:
             at[length == k] = np.arange((length == k).sum())

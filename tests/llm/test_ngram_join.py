@@ -167,3 +167,20 @@ def test_sizes_that_may_link_share_a_home(spark):
         for b in (a, min(a * 100 // 85, 1199)):
             homes = [c for c, home in cells[a] + cells[b] if home]
             assert any(c in homes for c in {c for c, _ in cells[a]} & {c for c, _ in cells[b]})
+
+
+@pytest.mark.parametrize("longer", [0, 60])
+def test_a_block_gives_every_pair_that_links(longer):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 2000 + longer).astype(np.uint64)  # bitmaps of 1,024 bits, and of 2,048 from 2,049 shingles on
+    sets = [np.unique(np.concatenate([np.delete(base, r.choice(len(base), r.integers(60, 100), replace=False)), r.integers(0, 1 << 63, r.integers(40, 60 + longer)).astype(np.uint64)])) for _ in range(40)]
+    bits = J._parity(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert len({len(x) for x in bits}) == (2 if longer else 1)
+    n = len(sets)
+    same, nodes = [pa.array(np.zeros(n, np.int32))] * 5, pa.array(np.arange(n))
+    columns = [*same, pa.array(np.ones(n, bool)), pa.array(np.array([len(s) for s in sets], np.int32)), nodes, nodes, bits]
+    block = pa.RecordBatch.from_arrays(columns, names=["token", "cell", "i", "j", "own", "home", "n", "node", "component", "bits"])
+    got = {p for out in J._across(85, False)(iter([block])) for p in zip(*out.to_pydict().values(), strict=True)}
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(n) for b in range(a + 1, n)}
+    linked = {(a, b) for (a, b), x in shared.items() if 100 * x >= 85 * (len(sets[a]) + len(sets[b]) - x)}
+    assert linked and linked <= got
