@@ -36,11 +36,11 @@ class _Tree:
 
     An end tag ends the nearest open element of its name and all opened in it, or nothing
     if there is none.  ``near`` names groups of tags: an element knows its nearest open
-    ancestor in each.
+    ancestor in each.  ``references``: those that texts decode; None: all, as HTML does.
     """
 
-    def __init__(self, page: str, near: dict[str, tuple[str, ...]]):
-        self.near, self.elements = near, []
+    def __init__(self, page: str, near: dict[str, tuple[str, ...]], references: dict[str, str] | None = None):
+        self.near, self.references, self.elements = near, references, []
         self.pieces, self.ink = [], [0]  # texts, and the signs that are no white space before each
         self.open: list[int] = []  # numbers of open elements
         self.named: dict[str, list[int]] = {}  # name -> places in the stack
@@ -66,9 +66,16 @@ class _Tree:
 
     def _text(self, text: str) -> None:
         if text:
-            self.pieces.append(html.unescape(text))
+            self.pieces.append(self._decoded(text))
             self.ink.append(self.ink[-1] + sum(map(len, self.pieces[-1].split())))
 
+    def _decoded(self, text: str) -> str:
+        if self.references is None:
+            return html.unescape(text)
+        for name, sign in self.references.items():
+            text = text.replace(name, sign)
+        return text
+
     def _line(self) -> None:
         if self.pieces and self.pieces[-1] != " ":
             self.pieces.append(" ")
@@ -120,12 +127,13 @@ class _Tree:
         return " ".join("".join(self.pieces[first : min(enough, element["after"])]).split())[:longest]
 
 
-def elements(pages: DataFrame, id: str, page: str, address: str, *, tags: tuple[str, ...] | None = None, near: dict[str, tuple[str, ...]] | None = None, longest: int = 180) -> DataFrame:
+def elements(pages: DataFrame, id: str, page: str, address: str, *, tags: tuple[str, ...] | None = None, near: dict[str, tuple[str, ...]] | None = None, longest: int = 180, references: dict[str, str] | None = None) -> DataFrame:
     """(id, n, tag, parent, depth, heading, attributes, near, address, text) of each element, or of those of ``tags``, in document order.
 
     ``near`` names groups of tags; near[name] is the number of the nearest open ancestor of
     the group; ``heading`` is that of the last h1 to h6 begun before.  ``address`` is the element's href against the page's base (its own address
-    or its first <base>); text is folded and cut to ``longest`` signs.  A map: each page is
+    or its first <base>); text is folded and cut to ``longest`` signs; it decodes ``references``
+    in turn, or all that HTML knows if None.  A map: each page is
     read on its own, in time that grows with its length, and no element lists its ancestors.
 
     Comments, scripts and styles hold no elements and no text; tags that are not closed end
@@ -145,7 +153,7 @@ def elements(pages: DataFrame, id: str, page: str, address: str, *, tags: tuple[
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text, own in zip(batch["id"], batch["page"], batch["address"], strict=True):
-                tree = _Tree(text or "", groups)
+                tree = _Tree(text or "", groups, references)
                 base = resolved(own or "", tree.base) or ""
                 chosen = [x for x in tree.elements if tags is None or x["tag"] in tags]
                 for at in range(0, len(chosen), 10_000):
@@ -181,13 +189,14 @@ def _first(condition: Column, value: Column) -> Column:
     return F.min_by(F.when(condition, value), F.when(condition, F.col("n")))
 
 
-def details(pages: DataFrame, id: str, page: str, address: str) -> DataFrame:
+def details(pages: DataFrame, id: str, page: str, address: str, references: dict[str, str] | None = None) -> DataFrame:
     """(id, title, released, pdf_url, code, version, category, categories) of each page (S27): one row a page.
 
     The first heading and the first time of the article (its datetime, else its text), the first link to a
     standards file, parsed by its name, and the texts of the article's links to methodologies, in order.
+    Texts decode ``references``, or all character references if None.
     """
-    tree = elements(pages, id, page, address, near={"article": ("article",)}, longest=300)
+    tree = elements(pages, id, page, address, near={"article": ("article",)}, longest=300, references=references)
     inside = F.col("near")["article"].isNotNull()
     href = F.coalesce(F.col("attributes")["href"], F.lit(""))
     moment = F.col("attributes")["datetime"]

@@ -1,4 +1,4 @@
-"""Queries against their SQL where numbers grow past a million or lines share their number."""
+"""Queries against their SQL where numbers grow past a million, lines share their number or titles hold references."""
 
 import shutil
 
@@ -39,3 +39,9 @@ def test_conditions_of_one_line_number_stand_in_the_order_of_their_text(spark, c
     for r in catalog.queries()["T33_eligibility_excerpt"](spark, sf).collect():
         flags = [w for w in r["long"].split() if w in ("Z", "C", "M")]
         assert flags == (["C", "M", "Z"] * 4)[: len(flags)]
+
+
+def test_titles_decode_the_references_that_the_sql_decodes(spark, copied):
+    sf, write = copied
+    write("pages", "SELECT * REPLACE (replace(html, '<article><h1>', '<article><h1>&quot;A&quot; &#65; &middot; &amp;middot; &amp;quot; R&amp ') AS html) FROM {}")
+    assert compare.differ(catalog.queries()["S27_detail_pages"](spark, sf), compare.duck(sf, TABLES), catalog.oracle_sql()["S27_detail_pages"]) is None
